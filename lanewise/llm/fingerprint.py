@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import adding
 from .textnum import CHUNK_BYTES, Densifier, WordHasher, one_permutation, text_chunks
 
 BIN_BITS = 9
@@ -57,7 +58,7 @@ class Sketcher:
 
 def fingerprints(docs: DataFrame, text: str = "text", bin_bits: int = BIN_BITS, low_bits: int = LOW_BITS) -> DataFrame:
     """All columns of docs and `fingerprint`.  A null text counts as empty; its fingerprint is empty."""
-    names = docs.columns
+    docs, names, schema = adding(docs, fingerprint="string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(bin_bits, low_bits)
@@ -66,7 +67,6 @@ def fingerprints(docs: DataFrame, text: str = "text", bin_bits: int = BIN_BITS,
             prints = pa.array([sketcher.pack(s) for s in sketcher.sketches(texts)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, prints], [*names, "fingerprint"])
 
-    schema = docs.schema.add("fingerprint", "string", False)
     return docs.mapInArrow(run, schema)
 
 

@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .frames import adding, restored
+
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -315,10 +317,11 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", check: bool =
 
     A null text has no ids and counts as the empty text.  U+2581 stands for a space, so a text with it has no round trip.
     """
-    names, shared = docs.columns, docs.sparkSession.sparkContext.broadcast(model)
+    docs, names, schema = adding(docs, **({"ids": "array<int>"} | ({"round_trip": "boolean"} if check else {})))
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = Encoder(restored(PieceModel, shared))
         for batch in batches:
             column, parts, counts, same = batch.column(names.index(text)), [], [0], []
             for lo in range(0, len(column), 64):
@@ -335,18 +338,20 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", check: bool =
             columns = [*batch.columns, lists] + [pa.array(same, pa.bool_())] * check
             yield pa.RecordBatch.from_arrays(columns, [*names, "ids"] + ["round_trip"] * check)
 
-    schema = docs.schema.add("ids", "array<int>", False)
-    return docs.mapInArrow(run, schema.add("round_trip", "boolean", False) if check else schema)
+    return docs.mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, model: PieceModel, ids: str = "ids", out: str = "text") -> DataFrame:
     """All columns of docs and `out`: the text of the ids.  Null ids give the empty text, as do none."""
-    names, shared = docs.columns, docs.sparkSession.sparkContext.broadcast(model)
+    if out == ids:
+        raise ValueError("the text needs a column of its own")
+    docs, names, schema = adding(docs, **{out: "string"})
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = Encoder(restored(PieceModel, shared))
         for batch in batches:
             texts = [encoder.decode(x or []) for x in batch.column(names.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, out])
 
-    return docs.mapInArrow(run, docs.schema.add(out, "string", False))
+    return docs.mapInArrow(run, schema)
