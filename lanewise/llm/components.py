@@ -37,4 +37,5 @@ def components(links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
         scratch.drop(f"{label}-{k - 1}")
         now = kept.select("id", "component")
         if kept.where("component <> was").isEmpty():
+            scratch.drop(f"{label}-edges")
             return now

@@ -5,9 +5,11 @@ Representatives share a bucket where the four minima of a band agree.  A pair of
 collision-corrected similarity of the packed signatures, estimated by bit counts, isn't clearly below the threshold;
 it is linked if the full sets confirm it.
 
-No bucket is expanded into all its pairs.  First each member is compared with the least member of its bucket alone.
-Only buckets whose members then still lie in different components are looked at again, and there only pairs across
-components are compared; all other pairs are connected already, and so can't change a component.
+No bucket is expanded into all its pairs.  First each document is compared with one other: of the least members of its
+buckets, the one that it meets most often.  Then large components that share a bucket are compared by one member each.
+At last only buckets whose members still lie in different components are looked at again, and there only pairs across
+components are compared, first those whose estimate reaches the threshold, then the doubtful ones; all other pairs are
+connected already, and so can't change a component.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,15 +29,21 @@ from .textnum import Densifier, WordHasher, mix, one_permutation, text_chunks
 
 #: 100 * intersection >= 75 * union.
 THRESHOLD = 75
-BIN_BITS = 8
+BIN_BITS = 10
 LOW_BITS = 2
 ROWS = 4
 #: A pair at the threshold misses all of 40 bands of 4 with a chance of (1 - 0.75**4)**40 = 2.5e-7.
 BANDS = 40
-#: Six standard deviations of an estimate from 256 bins of two bits at the threshold.
-SLACK = 0.19
+#: Five standard deviations of an estimate from 1024 bins of two bits at the threshold.
+SLACK = 0.082
 #: Members of one bucket that one task compares at once; larger buckets are dealt out as pairs of blocks.
 BLOCK = 2048
+#: Members up to which a bucket is compared along with others in one pass over a sorted partition.
+SMALL = 64
+#: Components from this size on are compared by one member for each bucket before all members are.
+LARGE = 8
+#: Bits of the filter that picks the texts whose sets are needed; 4 MB, whatever the input.
+FILTER_BITS = 1 << 25
 WORDS = LOW_BITS * (1 << BIN_BITS) // 64
 
 SETS = "doc_id long, n_shingles long, set_a long, set_b long, signature array<long>, bands array<long>"
@@ -115,18 +124,31 @@ def plausible(a: str, b: str) -> Column:
     )
 
 
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id may be in ids: a bitmap of hashed ids is broadcast, and no text is shuffled.  What
+    passes by chance meets no pair later."""
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("spot")
+    maps = (
+        ids.select(spot)
+        .groupBy(F.expr("bitmap_bucket_number(spot)").alias("page"))
+        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(spot))").alias("bits"))
+    )
+    near = docs.where("doc_id is not null").select("doc_id", "text", spot).join(
+        F.broadcast(maps), F.expr("bitmap_bucket_number(spot)") == F.col("page")
+    )
+    place = F.expr("bitmap_bit_position(spot)")
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return near.where(F.getbit(byte, (place % 8).cast("int")) == 1).select("doc_id", "text")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """Those of pairs(a, b) whose full sets reach the threshold.
 
     Sets are built once for the ids in pairs.  Both joins are plain sort-merge joins, which Spark splits where one id
     has very many partners; nothing is gathered by id.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = (
-        docs.where("doc_id is not null")
-        .join(ids, "doc_id", "left_semi")
-        .select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    )
+    ids = pairs.select(F.col("a").alias("doc_id")).distinct().union(pairs.select(F.col("b").alias("doc_id")).distinct())
+    wanted = _only(docs, ids).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sets = scratch.keep(full_sets(wanted), f"{label}-sets")
     left, right = (sets.select(F.col("id").alias(k), F.col("hashes").alias(f"{k}_set")) for k in "ab")
     both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
@@ -135,32 +157,85 @@ def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, label: str) -
     return scratch.keep(both.where(100 * inter >= THRESHOLD * union).select("a", "b").distinct(), label)
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Plausible pairs(a, b) of different components in each bucket of members(bucket, id, component, size, sig).
-
-    A bucket's most frequent component is its main one.  Everything is compared with what lies outside the main one;
+def _estimates(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """estimate() over rows of two arrays of signatures."""
+    t, half, chance = x ^ y, WORDS // LOW_BITS, 2.0**-LOW_BITS
+    differ = np.bitwise_count(t[:, :half] | t[:, half:]).sum(axis=1)
+    return ((1 - differ / (1 << BIN_BITS)) - chance) / (1 - chance)
+
+
+def _met_first(x: np.ndarray, y: np.ndarray, bucket: np.ndarray | int) -> np.ndarray:
+    """Whether a bucket is the first that the rows of two arrays of band keys share: one bucket reports each pair."""
+    if not len(x):
+        return np.zeros(0, bool)
+    first = x[np.arange(len(x)), (x == y).argmax(axis=1)]
+    return first == (bucket & 0xFFFFFFFF)
+
+
+def _sizes_fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return 100 * np.minimum(x, y) >= THRESHOLD * np.maximum(x, y)
+
+
+def _small_buckets(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows (bucket, id, component, size, sig, keys), sorted by bucket, whose buckets have at most SMALL rows."""
+    rest = None
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    for batch in _with_end(batches):
+        new = [] if batch is None else [pa.Table.from_batches([batch])]
+        table = pa.concat_tables(([] if rest is None else [rest]) + new) if new or rest is not None else None
+        if table is None or not table.num_rows:
+            continue
+        bucket = table.column(0).to_numpy()
+        end = len(bucket) if batch is None else int(np.searchsorted(bucket, bucket[-1], "left"))
+        rest, table, bucket = table.slice(end), table.slice(0, end), bucket[:end]
+        if not end:
+            continue
+        ids, comp, size = (table.column(k).to_numpy() for k in (1, 2, 3))
+        sig, keys = (pc.list_flatten(table.column(k)).to_numpy().reshape(end, -1) for k in (4, 5))
+        sig = sig.view(np.uint64)
+        for d in range(1, min(SMALL, end)):
+            i = np.flatnonzero(bucket[d:] == bucket[:-d])
+            if not len(i):
+                break
+            i = i[(comp[i] != comp[i + d]) & _sizes_fit(size[i], size[i + d])]
+            i = i[_estimates(sig[i], sig[i + d]) >= least]
+            i = i[_met_first(keys[i], keys[i + d], bucket[i])]
+            pair = np.sort(np.stack([ids[i], ids[i + d]], axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], schema=schema)
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _large_bucket(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Pairs of one block of a bucket's members with one block of those outside its main component."""
+    right = pdf["right"].to_numpy()
+    ids, comp, size = (pdf[c].to_numpy() for c in ("id", "component", "size"))
+    sig, keys = np.stack(pdf["sig"].to_numpy()).view(np.uint64), np.stack(pdf["keys"].to_numpy())
+    left, right = np.flatnonzero(~right), np.flatnonzero(right)
+    found = []
+    for k in range(0, len(left), 256):
+        x = left[k : k + 256]
+        i, j = np.nonzero(_sizes_fit(size[x][:, None], size[right][None, :]) & (comp[x][:, None] != comp[right][None, :]))
+        for s in range(0, len(i), 1 << 17):
+            p, q = x[i[s : s + (1 << 17)]], right[j[s : s + (1 << 17)]]
+            ok = _estimates(sig[p], sig[q]) >= least
+            p, q = p[ok], q[ok]
+            ok = _met_first(keys[p], keys[q], pdf["bucket"].iloc[0])
+            found.append(np.sort(np.stack([ids[p[ok]], ids[q[ok]]], axis=1), axis=1))
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _across(members: DataFrame, parts: int, least: float) -> DataFrame:
+    """Pairs(a, b) of different components whose estimate is `least` or more, in each bucket of members(bucket, id,
+    component, size, sig, keys).
+
+    In a large bucket the most frequent component is the main one.  Everything is compared with what lies outside it;
     both sides are dealt out in blocks, so a task holds two blocks however large the bucket is.
     """
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        right = pdf["right"].to_numpy()
-        ids, comp, size = (pdf[c].to_numpy() for c in ("id", "component", "size"))
-        sig = np.stack(pdf["sig"].to_numpy()).view(np.uint64)
-        left, right = np.flatnonzero(~right), np.flatnonzero(right)
-        half, chance, found = WORDS // LOW_BITS, 2.0**-LOW_BITS, []
-        for k in range(0, len(left), 256):
-            x = left[k : k + 256]
-            small, large = np.minimum.outer(size[x], size[right]), np.maximum.outer(size[x], size[right])
-            i, j = np.nonzero((100 * small >= THRESHOLD * large) & (comp[x][:, None] != comp[right][None, :]))
-            for s in range(0, len(i), 1 << 17):
-                p, q = x[i[s : s + (1 << 17)]], right[j[s : s + (1 << 17)]]
-                t = sig[p] ^ sig[q]
-                differ = np.bitwise_count(t[:, :half] | t[:, half:]).sum(axis=1)
-                ok = ((1 - differ / (1 << BIN_BITS)) - chance) / (1 - chance) >= THRESHOLD / 100 - SLACK
-                found.append(np.stack([np.minimum(ids[p[ok]], ids[q[ok]]), np.maximum(ids[p[ok]], ids[q[ok]])], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
     counts = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     shape = (
         counts.groupBy("bucket")
@@ -168,19 +243,26 @@ def _across(members: DataFrame) -> DataFrame:
         .where("components > 1")
         .select(
             "bucket",
+            "n",
             F.col("top.component").alias("main"),
             F.ceil(F.col("n") / BLOCK).alias("lefts"),
             F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("rights"),
         )
     )
     placed = members.join(shape, "bucket")
-    row, spot = ["bucket", "id", "component", "size", "sig"], F.xxhash64("id")
+    row, spot = ["bucket", "id", "component", "size", "sig", "keys"], F.xxhash64("id")
+    small = placed.where(F.col("n") <= SMALL).select(row).repartition(parts, "bucket").sortWithinPartitions("bucket")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = placed.select(*row, F.pmod(spot, "lefts").alias("x"), every("rights").alias("y"), F.lit(False).alias("right"))
-    right = placed.where("component <> main").select(
+    large = placed.where(F.col("n") > SMALL)
+    left = large.select(*row, F.pmod(spot, "lefts").alias("x"), every("rights").alias("y"), F.lit(False).alias("right"))
+    right = large.where("component <> main").select(
         *row, every("lefts").alias("x"), F.pmod(spot, "rights").alias("y"), F.lit(True).alias("right")
     )
-    return left.unionByName(right).groupBy("bucket", "x", "y").applyInPandas(compare, "a long, b long")
+    both = left.unionByName(right).repartition(parts, "bucket", "x", "y")
+    pairs = small.mapInArrow(lambda batches: _small_buckets(batches, least), "a long, b long").union(
+        both.groupBy("bucket", "x", "y").applyInPandas(lambda pdf: _large_bucket(pdf, least), "a long, b long")
+    )
+    return pairs.distinct()
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -203,29 +285,34 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     several = lowest.where("low <> high").select("doc_id", "low")
     through_id = members.join(several, "doc_id").where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
 
-    signed = reps.select("id", "size", "sig")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = F.transform("bands", lambda b: b.bitwiseAND(F.lit(0xFFFFFFFF)))
+    signed = reps.select("id", "size", "sig", keys.alias("keys"))
     placed = reps.select(F.explode("bands").alias("bucket"), "id")
     hubs = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
     shared = scratch.keep(placed.join(hubs, "bucket").select("bucket", "id", "hub"), "shared")
 
-    as_side = lambda k: signed.select(*(F.col(c).alias(f"{k}_{c}") for c in ("id", "size", "sig")))
-    star = shared.where("id <> hub").select(F.col("hub").alias("a_id"), F.col("id").alias("b_id")).distinct()
+    often = shared.where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("n"))
+    star = often.groupBy(F.col("id").alias("b_id")).agg(F.max(F.struct("n", -F.col("hub"))).alias("top"))
+    star = star.select("b_id", (-F.col("top.col2")).alias("a_id"))
+    as_side = lambda k: reps.select(*(F.col(c).alias(f"{k}_{c}") for c in ("id", "size", "sig")))
     star = star.join(as_side("b"), "b_id").join(as_side("a"), "a_id").where(plausible("a", "b"))
     star = scratch.keep(star.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "star")
-    first = confirmed(star, docs, scratch, "first")
-    near = components(first.union(through_id), scratch, "one")
+    near = components(confirmed(star, docs, scratch, "first").union(through_id), scratch, "one")
 
-    seen = shared.select("bucket", "id").join(near, "id", "left")
-    seen = seen.select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    apart = seen.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    open_members = scratch.keep(seen.join(apart.select("bucket"), "bucket", "left_semi").join(signed, "id"), "open")
-    second = confirmed(scratch.keep(_across(open_members).distinct(), "across"), docs, scratch, "second")
-    # The second round's links join components of the first.
-    far = components(_lifted(second, near), scratch, "two")
+    sure = THRESHOLD / 100
+    large = near.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= LARGE).select("component")
+    spokes = _open(shared, near).join(large, "component", "left_semi")
+    spokes = spokes.groupBy("bucket", "component").agg(F.min("id").alias("id"))
+    pairs = scratch.keep(_across(spokes.join(signed, "id"), parts, sure), "spokes")
+    near = _merged(near, confirmed(pairs, docs, scratch, "second"), scratch, "two")
+
+    for least, pairs_label, label in ((sure, "clear", "third"), (sure - SLACK, "doubtful", "fourth")):
+        pairs = scratch.keep(_across(_open(shared, near).join(signed, "id"), parts, least), pairs_label)
+        near = _merged(near, confirmed(pairs, docs, scratch, label), scratch, f"{label}-near")
 
     final = lowest.select("doc_id", "low").join(near.withColumnRenamed("id", "low"), "low", "left")
-    final = final.select("doc_id", F.coalesce("component", "low").alias("id")).join(far, "id", "left")
-    final = final.select("doc_id", F.coalesce("component", "id").alias("component_id"))
+    final = final.select("doc_id", F.coalesce("component", "low").alias("component_id"))
     result = sets.select("doc_id", "n_shingles").join(final, "doc_id", "left")
     result = result.select(
         "doc_id",
@@ -234,16 +321,32 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
         F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
     result = scratch.keep(result, "result")
-    scratch.drop("sets", "members", "reps", "shared", "star", "first", "first-sets", "open", "across", "second", "second-sets")
+    scratch.drop("sets", "members", "reps", "shared", "star", "first", "first-sets", "one")
+    scratch.drop("spokes", "second", "second-sets", "two", "clear", "third", "third-sets", "third-near")
+    scratch.drop("doubtful", "fourth", "fourth-sets", "fourth-near")
     return result
 
 
-def _lifted(links: DataFrame, near: DataFrame) -> DataFrame:
-    """links between ids as links between the components that near gives them."""
+def _open(shared: DataFrame, near: DataFrame) -> DataFrame:
+    """(bucket, id, component) of the buckets that hold more than one component."""
+    seen = shared.select("bucket", "id").join(near, "id", "left")
+    seen = seen.select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    span = seen.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return seen.join(span.where("low <> high").select("bucket"), "bucket", "left_semi")
+
+
+def _merged(near: DataFrame, links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
+    """near(id, component) after more links between ids: they join components."""
+    lifted = links
     for k in "ab":
         side = near.select(F.col("id").alias(k), F.col("component").alias("of"))
-        links = links.join(side, k, "left").withColumn(k, F.coalesce("of", k)).drop("of")
-    return links.select("a", "b").where("a <> b")
+        lifted = lifted.join(side, k, "left").withColumn(k, F.coalesce("of", k)).drop("of")
+    far = components(lifted.where("a <> b"), scratch, f"{label}-far").withColumnRenamed("component", "further")
+    known = near.select("id", F.col("component").alias("of")).unionByName(
+        links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(near, "id", "left_anti").select("id", F.col("id").alias("of"))
+    )
+    joined = known.join(far.withColumnRenamed("id", "of"), "of", "left")
+    return scratch.keep(joined.select("id", F.coalesce("further", "of").alias("component")), label)
 
 
 def drop_near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:

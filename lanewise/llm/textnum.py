@@ -84,8 +84,8 @@ class WordHasher:
             if b - a >= SHINGLE_WORDS:
                 out.append(runs[a : b - SHINGLE_WORDS + 1])
             elif b > a:
-                short = (words[a:b] * c[: b - a]).sum(dtype=np.uint64) + c[SHINGLE_WORDS] * np.uint64(b - a)
-                out.append(mix(np.array([short], np.uint64)))
+                parts = np.append(words[a:b] * c[: b - a], c[SHINGLE_WORDS] * np.array([b - a], np.uint64))
+                out.append(mix(parts.sum(keepdims=True, dtype=np.uint64)))
             else:
                 out.append(runs[:0])
         return out
