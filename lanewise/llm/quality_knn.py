@@ -99,11 +99,12 @@ class QualityModel:
         return np.clip(out, 0, 1)
 
 
-def train(rows: DataFrame, most: int = TRAIN_ROWS) -> QualityModel:
-    """A model from rows(doc_id, text, label) with label 0 or 1.
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> QualityModel:
+    """A model from docs(doc_id, text) and labels(doc_id, label) with label 0 or 1.
 
-    About `most` rows of each label are read: a fixed bound for what reaches the driver and for what is broadcast.
-    Labels other than 0 and 1 and null labels are left out; a null text counts as empty.
+    About `most` labels of each kind are picked before any text is read: a fixed bound for what is broadcast, for the
+    texts that are shuffled, and for what reaches the driver.  Other labels and null ones are left out; a null text
+    counts as empty.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,12 +120,12 @@ def train(rows: DataFrame, most: int = TRAIN_ROWS) -> QualityModel:
                 )
                 at += len(block)
 
-    known = rows.where("label in (0, 1)").select(
-        "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label")
-    )
+    known = labels.where("label in (0, 1) and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label"))
     totals = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     prior = totals.get(1, 0) / sum(totals.values()) if totals else 0.5
-    sample = bounded(known, most, "label").select("doc_id", "text", "label").repartition(8)
+    picked = F.broadcast(bounded(known, most, "label"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sample = texts.join(picked, "doc_id").select("doc_id", "text", "label").repartition(8)
     found = sample.mapInArrow(count, "doc_id long, label int, terms array<int>, counts array<float>").toPandas()
     found = found.sort_values(["doc_id", "label"], kind="stable").reset_index(drop=True)
     counts = np.zeros((len(found), TERMS), np.float32)

@@ -67,8 +67,8 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", _held_out(5, 0))
-    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    model = quality_knn.train(docs.where("not held_out").join(labels, "doc_id"))
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"), _held_out(5, 0))
+    model = quality_knn.train(docs, labels.where("not held_out"))
     return quality_knn.predict(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
@@ -113,11 +113,11 @@ common AS (
 links AS (
   SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
   WHERE 100 * common.n >= 75 * (x.n + y.n - common.n)),
-both AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+linked AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (
   SELECT doc_id, doc_id AS other FROM documents
   UNION
-  SELECT reach.doc_id, both.b FROM reach JOIN both ON both.a = reach.other)
+  SELECT reach.doc_id, linked.b FROM reach JOIN linked ON linked.a = reach.other)
 SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, r.c AS component_id, d.doc_id = r.c AS kept
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
 JOIN (SELECT doc_id, min(other) AS c FROM reach GROUP BY doc_id) r ON r.doc_id = d.doc_id
