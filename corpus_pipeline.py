@@ -18,8 +18,8 @@ from lanewise.llm.storage import Scratch
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts.  It learns from the labels of four folds of five."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
-    learn = docs.select("doc_id", "text").where(fold(F.col("doc_id"), 5) != 0).join(labels, "doc_id")
-    judged = quality_knn.predict(docs, quality_knn.train(learn))
+    model = quality_knn.train(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
+    judged = quality_knn.predict(docs, model)
     return judged.where("predicted = 1").select(docs.columns)
 
 
