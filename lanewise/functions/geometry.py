@@ -1,0 +1,65 @@
+"""Geometry of road points as Column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+Line = tuple[tuple[float, float], tuple[float, float]]
+
+
+def _cross(x: Column, y: Column, line: Line) -> Column:
+    (x1, y1), (x2, y2) = line
+    return F.lit(x2 - x1) * (y - F.lit(y1)) - F.lit(y2 - y1) * (x - F.lit(x1))
+
+
+def side(x: Column, y: Column, line: Line) -> Column:
+    """Whether a point lies on the line's left or on it, seen from its first end."""
+    return _cross(x, y, line) >= 0
+
+
+def below(line: Line) -> bool:
+    """The side of points with greater y than the line's middle."""
+    (x1, y1), (x2, y2) = line
+    return (x2 - x1) * ((y1 + y2) / 2 + 100 - y1) - (y2 - y1) * ((x1 + x2) / 2 - x1) >= 0
+
+
+def distance(x: Column, y: Column, line: Line) -> Column:
+    """Distance to the infinite line."""
+    (x1, y1), (x2, y2) = line
+    return F.abs(_cross(x, y, line)) / F.lit(((x2 - x1) ** 2 + (y2 - y1) ** 2) ** 0.5)
+
+
+def _turns_left(ax, ay, bx, by, cx, cy) -> Column:
+    return (cy - ay) * (bx - ax) > (by - ay) * (cx - ax)
+
+
+def intersects(ax: Column, ay: Column, bx: Column, by: Column, line: Line) -> Column:
+    """Whether the segment from a to b properly meets the line's segment."""
+    (x1, y1), (x2, y2) = [(F.lit(float(x)), F.lit(float(y))) for x, y in line]
+    return (_turns_left(ax, ay, x1, y1, x2, y2) != _turns_left(bx, by, x1, y1, x2, y2)) & (
+        _turns_left(ax, ay, bx, by, x1, y1) != _turns_left(ax, ay, bx, by, x2, y2)
+    )
+
+
+def in_polygon(x: Column, y: Column, polygon: tuple) -> Column:
+    """Whether a point lies inside a polygon or on its edge.
+
+    Its bounding box comes first, a cheap native filter; the edges' terms are then bound to one evaluated point, so the
+    point's expression isn't repeated for each of them.
+    """
+    xs, ys = [p[0] for p in polygon], [p[1] for p in polygon]
+    box = (x >= min(xs)) & (x <= max(xs)) & (y >= min(ys)) & (y <= max(ys))
+    point = F.array(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")))
+    return box & F.exists(point, lambda p: _on_or_inside(p["x"], p["y"], polygon))
+
+
+def _on_or_inside(x: Column, y: Column, polygon: tuple) -> Column:
+    crossings, edge = F.lit(0), F.lit(False)
+    for (x1, y1), (x2, y2) in zip(polygon, polygon[1:] + polygon[:1], strict=True):
+        if y1 != y2:
+            at = F.lit(float(x1)) + (y - y1) * F.lit(float(x2 - x1)) / F.lit(float(y2 - y1))
+            crossings = crossings + (((y >= min(y1, y2)) & (y < max(y1, y2))) & (x < at)).cast("int")
+        on = ((x - x1) * (y2 - y1) == (y - y1) * (x2 - x1)) & x.between(min(x1, x2), max(x1, x2)) & y.between(min(y1, y2), max(y1, y2))
+        edge = edge | on
+    return edge | (crossings % 2 == 1)
