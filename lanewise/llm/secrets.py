@@ -193,8 +193,20 @@ def redact(docs: DataFrame, ratios: str, mark: str = "[SECRET]") -> DataFrame:
             ).otherwise(acc["out"]).alias("out"),
         ),
     )
-    clean = F.concat(walked["out"], F.substring(F.col("text"), walked["at"] + 1, F.length("text")))
-    text = F.when(F.size("secret_spans") > 0, clean).otherwise(F.col("text"))
-    length = F.when(F.size("secret_spans") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    out = {"text": text} | ({"n_chars": length} if length is not None else {})
+    walked = F.when(F.size("secret_spans") > 0, walked)
+    found = found.withColumn("secret_walk", walked)
+    rest = F.substring(F.col("text"), F.col("secret_walk.at") + 1, F.length("text"))
+    out = {"text": F.when(F.col("secret_walk").isNull(), F.col("text")).otherwise(F.concat("secret_walk.out", rest))}
+    if "n_chars" in docs.columns:
+        # Counted from the spans: what they cover goes, a mark for each run of them comes.
+        runs = F.aggregate(
+            "secret_spans",
+            F.struct(F.lit(0).alias("at"), F.lit(0).alias("n")),
+            lambda acc, s: F.struct(
+                F.greatest(acc["at"], s["end"]).alias("at"),
+                (acc["n"] + F.when(s["start"] >= acc["at"], s["start"] - acc["at"] + len(mark)).otherwise(0)).alias("n"),
+            ),
+        )
+        count = runs["n"] + F.length("text") - runs["at"]
+        out["n_chars"] = F.when(F.col("secret_walk").isNull(), F.col("n_chars")).otherwise(count.cast("long"))
     return found.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns])
