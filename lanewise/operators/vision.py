@@ -17,12 +17,12 @@ THUMB_W, THUMB_H, MOVED, MOTION_RATIO, BRIGHT = 128, 72, 18, 0.005, 248
 
 
 def _image(data: bytes | None, height: int, width: int) -> np.ndarray | None:
-    if not data:
+    if not data or height <= 0 or width <= 0:
         return None
     flat = np.frombuffer(data, np.uint8)
     if flat.size == height * width * 3:
         return flat.reshape(height, width, 3)
-    return flat.reshape(-1, width)[:height] if flat.size >= height * width else None
+    return flat[: height * width].reshape(height, width) if flat.size >= height * width else None
 
 
 def gray(image: np.ndarray) -> np.ndarray:
