@@ -183,8 +183,9 @@ def metrics(truth: DataFrame, detections: DataFrame, matches: DataFrame) -> Data
     videos = truth.select("video").distinct()
     seen = detections.join(videos, "video", "left_semi").agg(F.count("*").alias("detected"))
     share = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
-    # Two frames of one row each.
-    return sums.join(F.broadcast(seen)).select(
+    # Two frames of one row each, made one.
+    both = sums.unionByName(seen, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns]).select(
         share("matched", "gt").alias("event_recall"), share("right_way", "matched").alias("direction_accuracy"),
         share("exact", "legible").alias("plate_exact_match"), share("right_chars", "chars").alias("character_accuracy"),
         F.col("unread").alias("unread_legible_plates"), share("first", "legible").alias("pos0_accuracy"),

@@ -7,7 +7,6 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..schema import DEFAULTS
 
@@ -105,5 +104,7 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
-def numbered_per(rows: DataFrame, by: str, *order: str) -> DataFrame:
-    return rows.withColumn("no", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+
+def exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
