@@ -66,10 +66,14 @@ ROOTS = frozenset(["article", "main"])
 ROOT_WORDS = frozenset("article main content post entry story".split())
 
 
+#: With these a name tells what a page has beside its content, such as "has-sidebar".
+_ABOUT = frozenset("has have no with without".split())
+
+
 class _Node:
     __slots__ = ("name", "parent", "path", "noise", "root", "depth", "weight")
 
-    def __init__(self, name: str, attributes: str, parent: _Node | None):
+    def __init__(self, name: str, attributes: str, parent: _Node | None, named: bool = True):
         self.name, self.parent, self.weight = name, parent, 0.0
         self.depth = parent.depth + 1 if parent else 0
         noise, root, inside, marks = bool(parent and parent.noise), name in ROOTS, bool(parent and parent.root), ""
@@ -82,7 +86,9 @@ class _Node:
                     words = set(_WORDS.findall(_CAMEL.sub(" ", value).lower()))
                     if key == "class":
                         marks = "." + " ".join(sorted(value.lower().split()))
-                    if name not in ("html", "body", "article", "main"):
+                    if not named or not words.isdisjoint(_ABOUT):
+                        pass
+                    elif name not in ("html", "body", "article", "main"):
                         noise |= not words.isdisjoint(NOISE_WORDS) or "header" in words and not inside and not root
                     elif name in ROOTS and not words.isdisjoint({"comment", "comments", "reply", "replies"}):
                         noise = True
@@ -92,9 +98,9 @@ class _Node:
         self.path = (parent.path + "/" if parent else "") + name + marks
 
 
-def leaves(page: str) -> list[tuple[_Node, str, bool]]:
+def leaves(page: str, named: bool = True) -> list[tuple[_Node, str, bool]]:
     """The page's text runs in order: (element, text, whether a block begins before it).  Comments, scripts, styles and
-    what lies in noise is left out; unclosed elements end where HTML lets them."""
+    what lies in noise is left out; unclosed elements end where HTML lets them.  named: whether class, id and role count."""
     node = base = _Node("", "", None)
     out, at, fresh = [], 0, True
 
@@ -128,7 +134,7 @@ def leaves(page: str) -> list[tuple[_Node, str, bool]]:
             if found is not base and found.name in ends:
                 node = found.parent
         if name not in VOID and not (m.group(4) or "").endswith("/"):
-            node = _Node(name, m.group(4) or "", node)
+            node = _Node(name, m.group(4) or "", node, named)
     if at < len(page):
         run(page[at:])
     return out
@@ -168,6 +174,8 @@ def content_paths(found: list[tuple[_Node, str, bool]]) -> set[str]:
 def main_text(page: str | None) -> str:
     """The main text; blocks and white space become single spaces.  Empty for null, an empty page, or no content."""
     found = leaves(page or "")
+    if not any(t.strip() for _, t, _ in found):  # a name that covers the whole page says nothing
+        found = leaves(page or "", named=False)
     paths = content_paths([x for x in found if x[0].root]) or content_paths(found)
     if not paths:
         return ""

@@ -481,6 +481,9 @@ INNER = "Long text of the article, with commas and stops. It goes on, and on; an
         (f"<div class='menu'><a>x</a></div><div><h2>T</h2>{PARA}<p>short</p></div><div id=comments>{PARA}</div>", f"T {INNER} short"),
         (f"<main>{PARA}<aside>a, b. c</aside><form>q<input></form><script>var x='</p>';</script><!-- {PARA} --></main><div class='cookie-notice'>We, use. it!</div>", INNER),
         (f"<article>{PARA}<p>cut of", f"{INNER} cut of"),
+        (f"<div class='page has-sidebar'><div class=sidebar>{PARA}</div><div class=entry-content>{PARA}</div></div>", INNER),
+        (f"<div class='menu'>{PARA}</div>", INNER),
+        (f"<article><header><h1>T</h1></header>{PARA}<section class='reader-comments'>{PARA}</section><ul class=share><li>S</li></ul></article>", f"T {INNER}"),
     ],
 )
 def test_html(page, text):
