@@ -18,7 +18,7 @@ class Shared:
         self.spark = spark
         found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not found:
-            if not spark.sparkContext.master.startswith("local"):
+            if not (spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(f"file://{tempfile.gettempdir()}/lanewise-store")
             found = spark.sparkContext.getCheckpointDir()
