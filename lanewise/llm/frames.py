@@ -19,3 +19,9 @@ def restored(kind: type, shared) -> object:
     found = kind.__new__(kind)
     found.__dict__.update(shared.value)
     return found
+
+
+def unreserved(docs: DataFrame, *prefixes: str) -> DataFrame:
+    """docs without columns whose names an operator keeps for itself."""
+    taken = [f for f in docs.columns if f.lower().startswith(prefixes)]
+    return docs.drop(*taken) if taken else docs

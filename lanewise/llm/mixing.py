@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .frames import unreserved
 from .storage import Scratch
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -52,7 +53,7 @@ def described(docs: DataFrame) -> DataFrame:
         "mix_topic": topic(F.col("text")),
         "mix_tokens": tokens(F.col("text")),
     }
-    return docs.drop(*new).withColumns(new)
+    return unreserved(docs, "mix_").withColumns(new)
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch) -> DataFrame:
@@ -146,4 +147,4 @@ def mixture(docs: DataFrame, scratch: Scratch, targets: dict[str, dict[str, floa
 
 def sampled(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     """The documents that the mixture draws, with the columns of docs."""
-    return mixture(docs, scratch, **options).where("sampled").select(*[f"`{c}`" for c in docs.columns])
+    return mixture(docs, scratch, **options).where("sampled").select(*[f"`{c}`" for c in docs.columns if not c.lower().startswith("mix_")])

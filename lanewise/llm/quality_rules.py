@@ -12,6 +12,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frames import unreserved
 from .storage import Scratch
 
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -147,9 +148,10 @@ def judge(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The columns of docs but the text, the five statistics, base_failed, probability_good and kept.
 
     A null text counts as empty: it has no word and so fails.  base_failed: fewer than 20 words, or more than 30 % of
-    them in repeated windows; such documents are never kept, others if the posterior reaches KEEP_FROM.
+    them in repeated windows; such documents are never kept, others if the posterior reaches KEEP_FROM.  Columns of docs
+    that begin with rule_ or vote_ are left out; those named as results are replaced.
     """
-    docs = docs.drop("base_failed", "probability_good", "kept")
+    docs = unreserved(docs.drop("base_failed", "probability_good", "kept"), "rule_", "vote_")
     text = docs.select("text").columns  # the text itself isn't written
     stats = statistics(docs)
     marks = {f"vote_{r}": v for r, v in zip(RULES, votes(), strict=True)}

@@ -13,6 +13,8 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .frames import unreserved
+
 #: Kinds, patterns and least lengths, in the order in which they are listed.
 ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -147,10 +149,10 @@ def _joined(spans: Column) -> Column:
 def scan(docs: DataFrame, ratios: str) -> DataFrame:
     """All columns of docs, and n_assign, n_access, n_hex, base_sha256, spans, and secret_spans (the same as structs).
 
-    A null text counts as empty and has no span.  Tokens that touch a span of a pattern aren't scored again.
+    A null text counts as empty and has no span.  Columns of docs that begin with scan_ are left out.  Tokens that touch a span of a pattern aren't scored again.
     """
     new = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "secret_spans"]
-    docs = docs.drop(*new, "scan_text", "scan_base", "scan_tokens")
+    docs = unreserved(docs.drop(*new), "scan_")
     names = [f"`{c}`" for c in docs.columns]
     text, table = F.col("scan_text"), F.from_json(F.lit(ratios), "array<double>")
     found = docs.withColumn("scan_text", F.coalesce("text", F.lit("")))
@@ -181,6 +183,7 @@ def redact(docs: DataFrame, ratios: str, mark: str = "[SECRET]") -> DataFrame:
 
     Texts without a secret stay as they are, null ones too.
     """
+    docs = unreserved(docs, "scan_", "secret_")
     found = scan(docs, ratios)
     walked = F.aggregate(
         "secret_spans",
