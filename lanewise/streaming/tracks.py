@@ -117,3 +117,40 @@ def latest_upsert(path: str, key: list[str]):
         store.upsert(rows.sparkSession, path, rows, key, batch)
 
     return write
+
+
+FRAME = "clip_id int, frame_idx bigint, t_s double, motion boolean, vehicle boolean"
+_GATE = "clip_id int, frame_idx bigint, t_s double, state string, run boolean"
+
+
+class Sampling(StatefulProcessor):
+    """The sampling gate of each clip: three times are all its state.  Frames of a clip must come in order."""
+
+    def __init__(self, settings: Settings = DEFAULT):
+        self.s = settings
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.times = handle.getValueState("times", "vehicle double, motion double, run double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        s, out = self.s, []
+        vehicle_at, motion_at, run_at = self.times.get() if self.times.exists() else (-1e9, -1e9, -1e9)
+        pause = {k: 1.0 / max(0.1, v) for k, v in (("ACTIVE", s.active_fps), ("PRE-ACTIVE", s.preactive_fps), ("SLEEP", s.sleep_fps))}
+        frame = pd.concat(list(rows)).sort_values(["t_s", "frame_idx"], kind="stable")
+        for i, t, motion, vehicle in zip(frame.frame_idx, frame.t_s, frame.motion, frame.vehicle, strict=True):
+            motion_at = t if motion else motion_at
+            state = "ACTIVE" if t - vehicle_at <= s.active_hold else "PRE-ACTIVE" if t - motion_at <= s.preactive_hold else "SLEEP"
+            run = t - run_at >= pause[state]
+            run_at = t if run else run_at
+            vehicle_at = t if run and vehicle else vehicle_at
+            out.append((*key, i, t, state, bool(run)))
+        self.times.update((float(vehicle_at), float(motion_at), float(run_at)))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _GATE.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def sampled(frames: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """frames(FRAME) with state and run, as they arrive; needs the RocksDB state store."""
+    return frames.groupBy("clip_id").transformWithStateInPandas(Sampling(settings), _GATE, "Append", "None")

@@ -144,3 +144,19 @@ def test_stream_counts_and_first_plates(spark, tmp_path):
         rows_.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination(60)
     assert spark.table("windows").agg(F.sum("n")).first()[0] == 11
     assert spark.table("firsts").count() == 1
+
+
+def test_stream_sampling_equals_batch(spark, tmp_path):
+    from lanewise.operators import sampling
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng = np.random.default_rng(5)
+    rows = [(c, k, k * 0.13, bool(rng.random() < 0.2), bool(rng.random() < 0.1)) for c in (1, 2) for k in range(120)]
+    frames = spark.createDataFrame(rows, live.FRAME)
+    for k in range(3):
+        frames.where(f"frame_idx div 40 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    live.sampled(stream).writeStream.format("memory").queryName("gate").trigger(availableNow=True).start().awaitTermination(120)
+    batch = sampling.adaptive_sampling(frames.withColumn("frame_idx", F.col("frame_idx").cast("int")))
+    key = lambda rows_: sorted((r.clip_id, r.frame_idx, r.state, r.run) for r in rows_)
+    assert key(spark.table("gate").collect()) == key(batch.collect())
