@@ -124,21 +124,23 @@ def plausible(a: str, b: str) -> Column:
     )
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id may be in ids: a bitmap of hashed ids is broadcast, and no text is shuffled.  What
-    passes by chance meets no pair later."""
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("spot")
+def marked(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """docs with a column that is false for rows whose doc_id is surely not in ids.
+
+    A bitmap of hashed ids is broadcast, and no text is shuffled.  True may be wrong; where it matters an exact join
+    follows, which then moves few rows besides the wanted ones.
+    """
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     maps = (
-        ids.select(spot)
-        .groupBy(F.expr("bitmap_bucket_number(spot)").alias("page"))
-        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(spot))").alias("bits"))
-    )
-    near = docs.where("doc_id is not null").select("doc_id", "text", spot).join(
-        F.broadcast(maps), F.expr("bitmap_bucket_number(spot)") == F.col("page")
-    )
-    place = F.expr("bitmap_bit_position(spot)")
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return near.where(F.getbit(byte, (place % 8).cast("int")) == 1).select("doc_id", "text")
+        ids.where("doc_id is not null").select(spot.alias("_spot"))
+        .groupBy(F.expr("bitmap_bucket_number(_spot)").alias("_page"))
+        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_spot))").alias("_bits"))
+    )
+    near = docs.withColumn("_spot", spot).join(F.broadcast(maps), F.expr("bitmap_bucket_number(_spot)") == F.col("_page"), "left")
+    place = F.expr("bitmap_bit_position(_spot)")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)) & F.col("doc_id").isNotNull()
+    return near.withColumn(name, held).drop("_spot", "_page", "_bits")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, label: str) -> DataFrame:
@@ -148,7 +150,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, label: str) -
     has very many partners; nothing is gathered by id.
     """
     ids = pairs.select(F.col("a").alias("doc_id")).distinct().union(pairs.select(F.col("b").alias("doc_id")).distinct())
-    wanted = _only(docs, ids).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # What passes the bitmap by chance meets no pair below.
+    wanted = marked(docs, ids, "_held").where("_held").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sets = scratch.keep(full_sets(wanted), f"{label}-sets")
     left, right = (sets.select(F.col("id").alias(k), F.col("hashes").alias(f"{k}_set")) for k in "ab")
     both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
@@ -169,7 +172,7 @@ def _met_first(x: np.ndarray, y: np.ndarray, bucket: np.ndarray | int) -> np.nda
     if not len(x):
         return np.zeros(0, bool)
     first = x[np.arange(len(x)), (x == y).argmax(axis=1)]
-    return first == (bucket & 0xFFFFFFFF)
+    return first == (bucket >> 32)
 
 
 def _sizes_fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -286,7 +289,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     through_id = members.join(several, "doc_id").where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = F.transform("bands", lambda b: b.bitwiseAND(F.lit(0xFFFFFFFF)))
+    keys = F.transform("bands", lambda b: F.shiftright(b, 32).cast("int"))  # four bytes tell two bands apart
     signed = reps.select("id", "size", "sig", keys.alias("keys"))
     placed = reps.select(F.explode("bands").alias("bucket"), "id")
     hubs = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
@@ -300,16 +303,21 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     star = scratch.keep(star.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "star")
     near = components(confirmed(star, docs, scratch, "first").union(through_id), scratch, "one")
 
+    scratch.sweep("star", "first", "first-sets")
     sure = THRESHOLD / 100
     large = near.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= LARGE).select("component")
     spokes = _open(shared, near).join(large, "component", "left_semi")
     spokes = spokes.groupBy("bucket", "component").agg(F.min("id").alias("id"))
     pairs = scratch.keep(_across(spokes.join(signed, "id"), parts, sure), "spokes")
-    near = _merged(near, confirmed(pairs, docs, scratch, "second"), scratch, "two")
+    if not pairs.isEmpty():
+        near = _merged(near, confirmed(pairs, docs, scratch, "second"), scratch, "two")
+    scratch.sweep("spokes", "second", "second-sets")
 
     for least, pairs_label, label in ((sure, "clear", "third"), (sure - SLACK, "doubtful", "fourth")):
         pairs = scratch.keep(_across(_open(shared, near).join(signed, "id"), parts, least), pairs_label)
-        near = _merged(near, confirmed(pairs, docs, scratch, label), scratch, f"{label}-near")
+        if not pairs.isEmpty():
+            near = _merged(near, confirmed(pairs, docs, scratch, label), scratch, f"{label}-near")
+        scratch.sweep(pairs_label, label, f"{label}-sets")
 
     final = lowest.select("doc_id", "low").join(near.withColumnRenamed("id", "low"), "low", "left")
     final = final.select("doc_id", F.coalesce("component", "low").alias("component_id"))
@@ -321,9 +329,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
         F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
     result = scratch.keep(result, "result")
-    scratch.drop("sets", "members", "reps", "shared", "star", "first", "first-sets", "one")
-    scratch.drop("spokes", "second", "second-sets", "two", "clear", "third", "third-sets", "third-near")
-    scratch.drop("doubtful", "fourth", "fourth-sets", "fourth-near")
+    scratch.sweep("sets", "members", "reps", "shared", "one", "two", "third-near", "fourth-near")
     return result
 
 
@@ -355,9 +361,13 @@ def drop_near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     Rows that repeat a kept doc_id are one document: the one with the least text stays.
     """
     found = near_duplicates(docs.select("doc_id", "text"), scratch)
-    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
-    once = docs.join(ids.where("kept and n = 1").select("doc_id"), "doc_id", "left_semi")
-    many = docs.join(ids.where("kept and n > 1").select("doc_id"), "doc_id", "left_semi")
-    whole = F.struct(F.col("text"), *[F.col(c) for c in docs.columns if c != "text"])
-    single = many.groupBy("doc_id").agg(F.min(whole).alias("row")).select(*[F.col(f"row.{c}").alias(c) for c in docs.columns])
-    return once.select(docs.columns).unionByName(single).unionByName(docs.where("doc_id is null"))
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("_kept"), F.count("*").alias("_n"))
+    # Only ids that go or repeat matter; texts of all others stay where they are.
+    ids = scratch.keep(ids.where("not _kept or _n > 1"), "touched")
+    held = marked(docs, ids, "_held")
+    near = held.where("_held").join(ids, "doc_id", "left").where("coalesce(_kept, true)")
+    many = near.where("_n > 1")
+    whole = F.struct(F.col("text"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    single = many.groupBy("doc_id").agg(F.min(whole).alias("_row")).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    names = [f"`{c}`" for c in docs.columns]
+    return held.where("not _held").select(*names).unionByName(near.where("_n is null").select(*names)).unionByName(single)

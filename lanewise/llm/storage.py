@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,3 +42,10 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def sweep(self, *names: str) -> None:
+        """Deletes tables, and lets Spark delete the shuffle files of plans that nothing refers to any more; it does so
+        when the driver's memory is collected, which may otherwise be long after the last use."""
+        self.drop(*names)
+        gc.collect()
+        self.spark._jvm.System.gc()
