@@ -26,7 +26,7 @@ TERMS = CLASSES**3 + 1
 #: Weight of that last term beside the trigrams.
 REPEAT_WEIGHT = 3
 #: Directions kept, neighbours that vote, and labelled rows of each label at most (about).
-RANK, NEIGHBOURS, TRAIN_ROWS = 48, 15, 2000
+RANK, NEIGHBOURS, TRAIN_ROWS = 48, 15, 1500
 THRESHOLD = 0.3
 _BLOCK = 512
 
@@ -66,9 +66,12 @@ def term_counts(column: pa.Array) -> Iterator[np.ndarray]:
 def damped(counts: np.ndarray, rarity: np.ndarray) -> np.ndarray:
     """Unit rows of log-damped shares, weighted by rarity; a text without terms stays zero."""
     total = counts.sum(axis=1, keepdims=True)
-    x = np.log1p(counts * (1000 / np.maximum(total, 1))) * rarity
+    x = counts * (1000 / np.maximum(total, 1))
+    np.log1p(x, out=x)
+    x *= rarity
     x[:, -1] *= REPEAT_WEIGHT
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    return x
 
 
 @dataclass
