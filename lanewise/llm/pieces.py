@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,10 @@ from .frames import adding, restored
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Segments and pairs of pieces remembered in a task; beyond that all are forgotten.
-CACHE_SEGMENTS, CACHE_PAIRS, CACHE_LENGTH = 250_000, 500_000, 40
+#: Segments and pairs of pieces remembered in a task; beyond that pairs are forgotten, and segments but for short ones.
+CACHE_SEGMENTS, CACHE_PAIRS, CACHE_LENGTH, CACHE_SHORT = 350_000, 500_000, 40, 7
+#: Rows of one outgoing batch.
+ROWS_OUT = 256
 #: So many characters between looks for a boundary that all paths pass.
 COMMIT_EVERY = 64
 #: Letters, for finding borders that no piece crosses; numbers that count as word characters are left out.
@@ -164,7 +166,7 @@ class Encoder:
             entry[0] = i
         self.pairs: dict[int, dict[int, bool]] = {}  # by the first piece, then the second
         self.known = 0
-        self.segments: dict[str, list[int]] = {}
+        self.segments: dict[str, tuple[int, ...]] = {}
         if model.cut_kind:
             split = f"\n| *{LETTER}+| *(?:(?!{LETTER})[^ \n])+| +"
         else:
@@ -282,21 +284,24 @@ class Encoder:
             ids = [i for part in self.search(inner) for i in part]
         if len(text) <= CACHE_LENGTH:
             if len(self.segments) >= CACHE_SEGMENTS:
-                self.segments.clear()
-            self.segments[text] = ids
+                short = {k: v for k, v in self.segments.items() if len(k) <= CACHE_SHORT}
+                self.segments = short if len(short) < CACHE_SEGMENTS // 2 else {}
+            self.segments[text] = tuple(ids)
         return ids
 
     def encode(self, text: str) -> list[int]:
-        m, get, ids = self.model, self.segments.get, []
+        m = self.model
         if m.escape and SPACE in text:
             text = text.replace(SPACE, " ")
         if m.squeeze:
             text = re.sub(" +", " ", text.strip(" "))
         if not text:
-            return ids
-        for part in self.split(" " + text if m.dummy_prefix else text):
-            found = get(part)
-            ids += self._segment(part) if found is None else found
+            return []
+        parts = self.split(" " + text if m.dummy_prefix else text)
+        found = list(map(self.segments.get, parts))
+        if None in found:
+            found = [self._segment(p) if x is None else x for p, x in zip(parts, found, strict=True)]
+        ids = list(chain.from_iterable(found))
         if not m.byte_fallback and m.unk in ids:  # a run of unknown characters is one id
             ids = [i for k, i in enumerate(ids) if i != m.unk or not k or ids[k - 1] != m.unk]
         return ids
@@ -322,21 +327,20 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", check: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(restored(PieceModel, shared))
-        for batch in batches:
-            column, parts, counts, same = batch.column(names.index(text)), [], [0], []
-            for lo in range(0, len(column), 64):
-                ids: list[int] = []
-                for t in column.slice(lo, 64).to_pylist():
+        for whole in batches:
+            # Small batches go out, so what a worker holds doesn't follow the size of those that come in.
+            for lo in range(0, whole.num_rows, ROWS_OUT):
+                batch = whole.slice(lo, ROWS_OUT)
+                ids, counts, same = [], [0], []
+                for t in batch.column(names.index(text)).to_pylist():
                     own = encoder.encode(t or "")
                     if check:
                         same.append(encoder.decode(own) == (t or ""))
-                    ids += own
+                    ids.append(np.array(own, np.int32))
                     counts.append(len(own))
-                parts.append(np.array(ids, np.int32))
-            values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(list(accumulate(counts)), pa.int32()), pa.array(values))
-            columns = [*batch.columns, lists] + [pa.array(same, pa.bool_())] * check
-            yield pa.RecordBatch.from_arrays(columns, [*names, "ids"] + ["round_trip"] * check)
+                lists = pa.ListArray.from_arrays(pa.array(list(accumulate(counts)), pa.int32()), pa.array(np.concatenate(ids)))
+                columns = [*batch.columns, lists] + [pa.array(same, pa.bool_())] * check
+                yield pa.RecordBatch.from_arrays(columns, [*names, "ids"] + ["round_trip"] * check)
 
     return docs.mapInArrow(run, schema)
 
