@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,9 @@ from .textnum import CHUNK_BYTES, Densifier, WordHasher, one_permutation, text_c
 
 BIN_BITS = 9
 LOW_BITS = 8
+#: Ranges of doc_id for each partition.
+RANGES_EACH = 4
+_STEP = 64
 
 
 def likeness(a: np.ndarray | None, b: np.ndarray | None, low_bits: int = LOW_BITS) -> float:
@@ -79,19 +83,26 @@ def _split_points(docs: DataFrame, parts: int) -> list[int]:
     return [] if row.low is None else sorted({row.low, *(row.cuts or [])})
 
 
-def with_next(docs: DataFrame, parts: int) -> tuple[DataFrame, str]:
+def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """docs dealt into ranges of ascending doc_id, each followed by a copy of the row that comes after it.
 
     One shuffle moves every row once; only the first row of each range is sent twice.  Returns (range, ahead, doc_id,
     text) sorted within partitions; ahead marks the copies.
     """
     ids = docs.select("doc_id").where("doc_id is not null")
-    cuts = _split_points(ids, parts)
+    # More ranges than partitions even out what hashing gives to each.
+    cuts = _split_points(ids, RANGES_EACH * parts)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    cut = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    own = F.expr("size(filter(cuts, c -> c <= doc_id))") - 1
-    placed = rows.withColumn("cuts", cut).withColumn("own", own)
-    before = F.when(F.array_contains("cuts", F.col("doc_id")), F.pmod(F.col("own") - 1, F.lit(max(1, len(cuts)))))
+    array = lambda xs: F.from_json(F.lit(json.dumps(xs)), "array<bigint>")
+    # Two steps find a row's range: every 64th cut, then the 64 from there.
+    placed = rows.withColumn("coarse", array(cuts[::_STEP])).withColumn(
+        "block", F.expr("size(filter(coarse, c -> c <= doc_id))") - 1
+    ).drop("coarse")
+    placed = placed.withColumn("fine", F.slice(array(cuts), F.col("block") * _STEP + 1, F.lit(_STEP)))
+    placed = placed.withColumn("inside", F.expr("size(filter(fine, c -> c <= doc_id))"))
+    placed = placed.withColumn("own", F.col("block") * _STEP + F.col("inside") - 1)
+    first = F.get("fine", F.col("inside") - 1) == F.col("doc_id")
+    before = F.when(first, F.pmod(F.col("own") - 1, F.lit(max(1, len(cuts)))))
     dealt = placed.select(
         F.explode(
             F.filter(
@@ -105,7 +116,7 @@ def with_next(docs: DataFrame, parts: int) -> tuple[DataFrame, str]:
         "doc_id",
         "text",
     ).select("to.range", "to.ahead", "doc_id", "text")
-    return dealt.repartition(max(1, len(cuts)), "range").sortWithinPartitions("range", "ahead", "doc_id", F.hash("text"))
+    return dealt.repartition(parts, "range").sortWithinPartitions("range", "ahead", "doc_id", F.hash("text"))
 
 
 RESULT = (

@@ -121,7 +121,7 @@ def test_fingerprints_follow_the_definition(spark):
     ids = rng.sample(range(-500, 10_000), len(texts))
     docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id bigint, text string")
     rows = sorted(zip(ids, [t or "" for t in texts], strict=True))
-    for parts in (1, 7):
+    for parts in (1, 7, 40):
         found = {r.doc_id: r for r in fingerprint.edited_fingerprints(docs, parts).collect()}
         assert len(found) == len(rows)
         for k, (i, t) in enumerate(rows):
