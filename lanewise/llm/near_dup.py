@@ -3,7 +3,8 @@
 Texts become sets of hashed five-word shingles.  Equal sets form a class, of which the least doc_id stands for all.
 Representatives share a bucket where the four minima of a band agree.  A pair of a bucket is a candidate if the
 collision-corrected similarity of the packed signatures, estimated by bit counts, isn't clearly below the threshold;
-it is linked if the full sets confirm it.
+it is linked if the full sets confirm it.  In small sets a few shingles fill all bins and the estimate says little:
+they go along whole, and two of them are compared by their sets instead.
 
 No bucket is expanded into all its pairs.  First each document is compared with one other: of the least members of its
 buckets, the one that it meets most often.  Then large components that share a bucket are compared by one member each.
@@ -36,6 +37,8 @@ ROWS = 4
 BANDS = 40
 #: Five standard deviations of an estimate from 1024 bins of two bits at the threshold.
 SLACK = 0.082
+#: Shingles up to which a set goes along with its signature.  Beyond it the bins are independent enough for SLACK.
+FEW = 64
 #: Members of one bucket that one task compares at once; larger buckets are dealt out as pairs of blocks.
 BLOCK = 2048
 #: Members up to which a bucket is compared along with others in one pass over a sorted partition.
@@ -46,7 +49,7 @@ LARGE = 8
 FILTER_BITS = 1 << 25
 WORDS = LOW_BITS * (1 << BIN_BITS) // 64
 
-SETS = "doc_id long, n_shingles long, set_a long, set_b long, signature array<long>, bands array<long>"
+SETS = "doc_id long, n_shingles long, set_a long, set_b long, signature array<long>, bands array<long>, few array<long>"
 
 
 def pack(low: np.ndarray) -> np.ndarray:
@@ -56,17 +59,19 @@ def pack(low: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """Size, two hashes of the set, signature and band keys of each row's shingle set; null text counts as empty."""
+    """Size, two hashes of the set, signature and band keys of each row's shingle set, and the set if it is small; null text
+    counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, densifier = WordHasher(), Densifier(BIN_BITS)
         salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
         for batch in batches:
-            sizes, one, two, signatures, bands = [], [], [], [], []
+            sizes, one, two, signatures, bands, few = [], [], [], [], [], []
             for _, _, data, starts in text_chunks(batch.column(1)):
                 for hashes in hasher.shingles(data, starts):
                     u = np.unique(hashes)
                     sizes.append(len(u))
+                    few.append(u.view(np.int64) if len(u) <= FEW else None)
                     one.append(u.sum(dtype=np.uint64))
                     two.append(mix(u ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
                     if not len(u):
@@ -80,9 +85,9 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                         key = mix(key + rows[:, k])
                     bands.append(key.view(np.int64))
             signed = [pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (one, two)]
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (signatures, bands)]
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (signatures, bands, few)]
             columns = [batch.column(0), pa.array(sizes, pa.int64()), *signed, *lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", "signature", "bands"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", "signature", "bands", "few"])
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SETS)
 
@@ -117,11 +122,13 @@ def estimate(a: Column, b: Column) -> Column:
 
 
 def plausible(a: str, b: str) -> Column:
-    """What a pair must meet before its full sets are read: sizes that allow the threshold, and the estimate."""
+    """What a pair must meet before its full sets are read: sizes that allow the threshold, and the estimate, or for two
+    small sets the threshold itself."""
     x, y = F.col(f"{a}_size"), F.col(f"{b}_size")
-    return (100 * F.least(x, y) >= THRESHOLD * F.greatest(x, y)) & (
-        estimate(F.col(f"{a}_sig"), F.col(f"{b}_sig")) >= THRESHOLD / 100 - SLACK
-    )
+    common = F.size(F.array_intersect(f"{a}_few", f"{b}_few"))
+    return (100 * F.least(x, y) >= THRESHOLD * F.greatest(x, y)) & F.when(
+        (x <= FEW) & (y <= FEW), 100 * common >= THRESHOLD * (x + y - common)
+    ).otherwise(estimate(F.col(f"{a}_sig"), F.col(f"{b}_sig")) >= THRESHOLD / 100 - SLACK)
 
 
 def marked(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
@@ -167,6 +174,29 @@ def _estimates(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ((1 - differ / (1 << BIN_BITS)) - chance) / (1 - chance)
 
 
+def _padded(sets: list, lengths: np.ndarray) -> np.ndarray:
+    """The small sets as rows of FEW hashes, zeros behind them; rows of large sets are all zeros."""
+    out = np.zeros((len(lengths), FEW), np.int64)
+    out[np.arange(FEW) < np.where(lengths <= FEW, lengths, 0)[:, None]] = sets
+    return out
+
+
+def _near(i: np.ndarray, j: np.ndarray, size: np.ndarray, sig: np.ndarray, few: np.ndarray, least: float) -> np.ndarray:
+    """Whether the pairs of rows i and j can be links: two small sets by the threshold, others by the estimate."""
+    ok, small = np.zeros(len(i), bool), (size[i] <= FEW) & (size[j] <= FEW)
+    large, small = np.flatnonzero(~small), np.flatnonzero(small)
+    ok[large] = _estimates(sig[i[large]], sig[j[large]]) >= least
+    for s in range(0, len(small), 1 << 14):
+        at = small[s : s + (1 << 14)]
+        m, n = size[i[at]], size[j[at]]
+        x, y = few[i[at], : m.max()].T, few[j[at], : n.max()].T  # a hash of each pair in turn
+        common = np.zeros(len(at), np.int64)
+        for k in range(len(x)):
+            common += (y == x[k]).any(axis=0) & (k < m)
+        ok[at] = 100 * common >= THRESHOLD * (m + n - common)
+    return ok
+
+
 def _met_first(x: np.ndarray, y: np.ndarray, bucket: np.ndarray | int) -> np.ndarray:
     """Whether a bucket is the first that the rows of two arrays of band keys share: one bucket reports each pair."""
     if not len(x):
@@ -180,7 +210,8 @@ def _sizes_fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _small_buckets(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows (bucket, id, component, size, sig, keys), sorted by bucket, whose buckets have at most SMALL rows."""
+    """Pairs of rows (bucket, id, component, size, sig, keys, few), sorted by bucket, whose buckets have at most SMALL
+    rows."""
     rest = None
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     for batch in _with_end(batches):
@@ -195,13 +226,13 @@ def _small_buckets(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[
             continue
         ids, comp, size = (table.column(k).to_numpy() for k in (1, 2, 3))
         sig, keys = (pc.list_flatten(table.column(k)).to_numpy().reshape(end, -1) for k in (4, 5))
-        sig = sig.view(np.uint64)
+        sig, few = sig.view(np.uint64), _padded(pc.list_flatten(table.column(6)).to_numpy(), size)
         for d in range(1, min(SMALL, end)):
             i = np.flatnonzero(bucket[d:] == bucket[:-d])
             if not len(i):
                 break
             i = i[(comp[i] != comp[i + d]) & _sizes_fit(size[i], size[i + d])]
-            i = i[_estimates(sig[i], sig[i + d]) >= least]
+            i = i[_near(i, i + d, size, sig, few, least)]
             i = i[_met_first(keys[i], keys[i + d], bucket[i])]
             pair = np.sort(np.stack([ids[i], ids[i + d]], axis=1), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], schema=schema)
@@ -217,6 +248,7 @@ def _large_bucket(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
     right = pdf["right"].to_numpy()
     ids, comp, size = (pdf[c].to_numpy() for c in ("id", "component", "size"))
     sig, keys = np.stack(pdf["sig"].to_numpy()).view(np.uint64), np.stack(pdf["keys"].to_numpy())
+    few = _padded(np.concatenate([np.zeros(0, np.int64), *(x for x in pdf["few"] if x is not None)]), size)
     left, right = np.flatnonzero(~right), np.flatnonzero(right)
     found = []
     for k in range(0, len(left), 256):
@@ -224,7 +256,7 @@ def _large_bucket(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
         i, j = np.nonzero(_sizes_fit(size[x][:, None], size[right][None, :]) & (comp[x][:, None] != comp[right][None, :]))
         for s in range(0, len(i), 1 << 17):
             p, q = x[i[s : s + (1 << 17)]], right[j[s : s + (1 << 17)]]
-            ok = _estimates(sig[p], sig[q]) >= least
+            ok = _near(p, q, size, sig, few, least)
             p, q = p[ok], q[ok]
             ok = _met_first(keys[p], keys[q], pdf["bucket"].iloc[0])
             found.append(np.sort(np.stack([ids[p[ok]], ids[q[ok]]], axis=1), axis=1))
@@ -233,8 +265,8 @@ def _large_bucket(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
 
 
 def _across(members: DataFrame, parts: int, least: float) -> DataFrame:
-    """Pairs(a, b) of different components whose estimate is `least` or more, in each bucket of members(bucket, id,
-    component, size, sig, keys).
+    """Pairs(a, b) of different components whose estimate is `least` or more, or whose small sets reach the threshold, in
+    each bucket of members(bucket, id, component, size, sig, keys, few).
 
     In a large bucket the most frequent component is the main one.  Everything is compared with what lies outside it;
     both sides are dealt out in blocks, so a task holds two blocks however large the bucket is.
@@ -253,7 +285,7 @@ def _across(members: DataFrame, parts: int, least: float) -> DataFrame:
         )
     )
     placed = members.join(shape, "bucket")
-    row, spot = ["bucket", "id", "component", "size", "sig", "keys"], F.xxhash64("id")
+    row, spot = ["bucket", "id", "component", "size", "sig", "keys", "few"], F.xxhash64("id")
     small = placed.where(F.col("n") <= SMALL).select(row).repartition(parts, "bucket").sortWithinPartitions("bucket")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     large = placed.where(F.col("n") > SMALL)
@@ -277,7 +309,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     sets = scratch.keep(shingle_sets(docs), "sets")
     known, same = sets.where("doc_id is not null and n_shingles > 0"), ["n_shingles", "set_a", "set_b"]
     reps = known.groupBy(*same).agg(
-        F.min("doc_id").alias("id"), F.first("signature").alias("sig"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("id"), *(F.first(c).alias(k) for c, k in (("signature", "sig"), ("bands", "bands"), ("few", "few")))
     )
     reps = scratch.keep(reps.withColumnRenamed("n_shingles", "size"), "reps")
     members = known.select("doc_id", *same).join(
@@ -290,7 +322,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = F.transform("bands", lambda b: F.shiftright(b, 32).cast("int"))  # four bytes tell two bands apart
-    signed = reps.select("id", "size", "sig", keys.alias("keys"))
+    signed = reps.select("id", "size", "sig", keys.alias("keys"), "few")
     placed = reps.select(F.explode("bands").alias("bucket"), "id")
     hubs = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
     shared = scratch.keep(placed.join(hubs, "bucket").select("bucket", "id", "hub"), "shared")
@@ -298,7 +330,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     often = shared.where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("n"))
     star = often.groupBy(F.col("id").alias("b_id")).agg(F.max(F.struct("n", -F.col("hub"))).alias("top"))
     star = star.select("b_id", (-F.col("top.col2")).alias("a_id"))
-    as_side = lambda k: reps.select(*(F.col(c).alias(f"{k}_{c}") for c in ("id", "size", "sig")))
+    as_side = lambda k: reps.select(*(F.col(c).alias(f"{k}_{c}") for c in ("id", "size", "sig", "few")))
     star = star.join(as_side("b"), "b_id").join(as_side("a"), "a_id").where(plausible("a", "b"))
     star = scratch.keep(star.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "star")
     near = components(confirmed(star, docs, scratch, "first").union(through_id), scratch, "one")

@@ -206,6 +206,27 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, small):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+def test_near_duplicates_of_short_texts_at_the_threshold(spark):
+    rng, texts = random.Random(12), []
+    for n in (3, 6, 9, 12, 48) * 60:  # n of n + n / 3 shingles
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(n + n // 3 + 4)]
+        texts += [" ".join(words[: n + 4]), " ".join(words)]
+    found = near_dup.near_duplicates(frame(spark, texts), Scratch(spark, "test")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == {
+        k: (len(shingles(t)), k - k % 2) for k, t in enumerate(texts)
+    }
+
+
+@pytest.mark.parametrize("bucket", [64, 2])
+def test_small_sets_are_compared_whole_in_every_pass(spark, monkeypatch, bucket):
+    monkeypatch.setattr(near_dup, "SMALL", bucket)
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(60)]
+    texts = [" ".join(words[a : a + n]) for a in range(0, 24, 2) for n in (7, 8, 11, 16, 20)]
+    found = near_dup.near_duplicates(frame(spark, texts), Scratch(spark, "test")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(list(enumerate(texts)))
+
+
 def test_near_duplicate_cases(spark):
     rows = [(1, "a b c d e f"), (1, "q r s t u v"), (2, "q r s t u v"), (None, "a b c d e f"), (3, None), (4, ""), (1, "a b c d e f")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
