@@ -2,7 +2,8 @@
 
 DataFrame functions only.  The models are character bigram models over one alphabet; the random one learns from strings
 that are labelled random because they are made from hashes, the ordinary one from identifiers made of the words of a
-bounded sample of documents.  A long token is a secret if the log-likelihood ratio speaks clearly for random.
+bounded sample of documents.  A long token is a secret if the log-likelihood ratio speaks clearly for random; in other
+long tokens, such as paths, the runs for which it does are.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 TOKEN = r"[A-Za-z0-9+/_=-]{%d,}" % MIN_TOKEN
 #: Nats for random over ordinary that a token needs, in all and on average for each pair of characters.
 MIN_RATIO, MIN_MEAN_RATIO = 15.0, 0.7
+#: Nats by which a run may fall below its best before it ends, and characters that one needs.
+MAX_DROP, MIN_RUN = 8.0, 16
 #: Labelled strings of each random form, and documents whose words make up ordinary identifiers (about).
 RANDOM_STRINGS, TRAIN_DOCUMENTS = 2000, 2000
 
@@ -146,10 +149,53 @@ def _joined(spans: Column) -> Column:
     )
 
 
+def _runs(s: Column, table: Column, base: Column) -> Column:
+    """Structs (start, kind, end) of the random runs of a token s outside the base spans: pieces whose ratios, less the
+    mean that a secret needs, sum highest; each is widened to the separators around it."""
+    none = F.expr("cast(array() as array<struct<a:int,b:int>>)")
+    double = sorted(ALPHABET.index(c) * (len(ALPHABET) + 1) + ALPHABET.index(c) + len(ALPHABET) + 2 for c in "+/_=-")
+    within = lambda k: F.exists(base, lambda b: (b["start"] < s["start"] + k + 2) & (s["start"] + k < b["end"]))
+    scores = F.transform(
+        _pairs(s["token"]),
+        lambda p, k: F.when(within(k) | p.isin(double), F.lit(-1e9)).otherwise(F.get(table, p) - MIN_MEAN_RATIO),
+    )
+
+    def step(acc: Column, r: Column) -> Column:
+        on = acc["sum"] + r
+        ends = (on <= 0) | (on < acc["best"] - MAX_DROP)
+        fit = acc["best"] + MIN_MEAN_RATIO * (acc["to"] - acc["from"] - 1) >= MIN_RATIO
+        run = F.struct(acc["from"].alias("a"), acc["to"].alias("b"))
+        return F.struct(
+            (acc["k"] + 1).alias("k"),
+            F.when(ends, 0.0).otherwise(on).alias("sum"),
+            F.when(ends, acc["k"] + 1).otherwise(acc["from"]).alias("from"),
+            F.when(ends, 0.0).otherwise(F.greatest(acc["best"], on)).alias("best"),
+            F.when(ends, acc["k"] + 1).when(on > acc["best"], acc["k"] + 2).otherwise(acc["to"]).alias("to"),
+            F.when(ends & fit, F.array_append(acc["found"], run)).otherwise(acc["found"]).alias("found"),
+        )
+
+    zero = F.struct(
+        F.lit(0).alias("k"), F.lit(0.0).alias("sum"), F.lit(0).alias("from"), F.lit(0.0).alias("best"), F.lit(0).alias("to"),
+        none.alias("found"),
+    )
+    found = F.aggregate(F.concat(scores, F.array(F.lit(-1e9))), zero, step)["found"]
+
+    def widened(r: Column) -> Column:
+        a, b = s["start"] + r["a"], s["start"] + r["b"]
+        left = F.length(F.regexp_extract(F.substring(s["token"], F.lit(1), r["a"]), "[A-Za-z0-9]*$", 0))
+        right = F.length(F.regexp_extract(F.substring(s["token"], r["b"] + 1, F.length(s["token"])), "^[A-Za-z0-9]*", 0))
+        low = F.array_max(F.transform(F.filter(base, lambda x: x["end"] <= a), lambda x: x["end"]))
+        high = F.array_min(F.transform(F.filter(base, lambda x: x["start"] >= b), lambda x: x["start"]))
+        return F.struct(F.greatest(a - left, low).alias("start"), F.lit(3).alias("kind"), F.least(b + right, high).alias("end"))
+
+    letter = lambda r: F.substring(s["token"], r["start"] - s["start"] + 1, r["end"] - r["start"]).rlike("[A-Za-z]")
+    return F.array_distinct(F.filter(F.transform(found, widened), lambda r: (r["end"] - r["start"] >= MIN_RUN) & letter(r)))
+
+
 def scan(docs: DataFrame, ratios: str) -> DataFrame:
     """All columns of docs, and n_assign, n_access, n_hex, base_sha256, spans, and secret_spans (the same as structs).
 
-    A null text counts as empty and has no span.  Columns of docs that begin with scan_ are left out.  Tokens that touch a span of a pattern aren't scored again.
+    A null text counts as empty and has no span.  Columns of docs that begin with scan_ are left out.  Of tokens that touch a span of a pattern only the rest is scored.
     """
     new = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "secret_spans"]
     docs = unreserved(docs.drop(*new), "scan_")
@@ -159,14 +205,13 @@ def scan(docs: DataFrame, ratios: str) -> DataFrame:
     found = found.withColumns({f"scan_{k}": _spans(text, k) for k in range(3)})
     found = found.withColumn("scan_base", F.array_sort(F.concat("scan_0", "scan_1", "scan_2")))
     tokens = F.when(text.rlike(TOKEN), _matches(text, TOKEN))
-    mixed = lambda t: t.rlike("[0-9]") & t.rlike("[A-Za-z]")
-    found = found.withColumn("scan_tokens", F.filter(tokens, lambda s: mixed(s["token"])))
+    found = found.withColumn("scan_tokens", F.filter(tokens, lambda s: s["token"].rlike("[A-Za-z]")))
     ratio = lambda t: F.aggregate(_pairs(t), F.lit(0.0), lambda acc, p: acc + F.get(table, p))
     apart = lambda s: ~F.exists("scan_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    random = lambda s: apart(s) & (ratio(s["token"]) >= F.greatest(F.lit(MIN_RATIO), MIN_MEAN_RATIO * (s["value"] - 1)))
-    learned = F.transform(
-        F.filter("scan_tokens", random),
-        lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end")),
+    random = lambda s: apart(s) & s["token"].rlike("[0-9]") & (ratio(s["token"]) >= F.greatest(F.lit(MIN_RATIO), MIN_MEAN_RATIO * (s["value"] - 1)))
+    whole = lambda s: F.array(F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end")))
+    learned = F.flatten(
+        F.transform("scan_tokens", lambda s: F.when(random(s), whole(s)).otherwise(_runs(s, table, F.col("scan_base"))))
     )
     found = found.withColumn("secret_spans", F.array_sort(F.concat("scan_base", F.coalesce(learned, _none()))))
     return found.select(

@@ -332,6 +332,21 @@ def test_secret_model_tells_random_from_ordinary(spark):
     assert secrets.scan(empty(spark), secrets.train(empty(spark))).count() == 0
 
 
+def test_secrets_inside_longer_tokens(spark):
+    rng = random.Random(14)
+    docs = frame(spark, [prose(rng, 80) for _ in range(60)])
+    made = ["".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(32)) for _ in range(40)]
+    letters = ["".join(rng.choice(secrets.ALPHABET[:52]) for _ in range(32)) for _ in range(40)]
+    path = lambda n: "/".join(rng.choice(WORDS) for _ in range(n))
+    texts = [f"{path(8)}/{t}/{path(3)}" for t in made] + letters + [f"{'deadbeef' * 3}_{t}" for t in made]
+    texts += [f"{a}/{path(5)}/{b}" for a, b in zip(made, made[1:])] + [path(12) for _ in range(40)] + ["-" * 40, "a" + "=" * 30, "9" * 30]
+    found = secrets.scan(frame(spark, texts), secrets.train(docs)).orderBy("doc_id").collect()
+    hidden = lambda r, t: any(s.kind == 3 and s.start <= r.text.index(t) and s.end >= r.text.index(t) + len(t) for s in r.secret_spans)
+    for at, part in ((0, made), (40, letters), (80, made), (120, made[:39]), (120, made[1:])):
+        assert sum(hidden(r, t) for r, t in zip(found[at:], part)) >= 0.95 * len(part)
+    assert not any(s.kind == 3 for r in found[159:] for s in r.secret_spans)
+
+
 def test_redaction(spark):
     texts = ['a token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" z', "clean text", None, "", "é AKIA" + "A1B2" * 4 + " " + "deadbeef" * 3]
     docs = frame(spark, texts).withColumn("n_chars", F.lit(1).cast("long"))
