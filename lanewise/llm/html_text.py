@@ -193,21 +193,24 @@ def main_text(page: str | None) -> str:
                     holders.append(node)
                 node.weight += size
                 node = node.parent
-    # The deepest element that holds nearly all content, but no lone paragraph: its neighbours count too.
-    best = max((x for x in holders if x.weight >= 0.85 * total), key=lambda x: x.depth)
+    # The deepest element that holds all content, in a named one nearly all, but no lone paragraph: its neighbours count too.
+    share = 0.85 if any(node.root for node, *_ in found if node.path in paths) else 1 - 1e-9
+    best = max((x for x in holders if x.weight >= share * total), key=lambda x: x.depth)
     while best.parent is not None and best.name in INLINE | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote", "td"}:
         best = best.parent
     while best.parent is not None and best.parent.root:
         best = best.parent
+    solid = [k for k, (node, text, _) in enumerate(found) if node.path in paths and text.strip()]
     out = []
-    for node, text, fresh in found:
+    for k, (node, text, fresh) in enumerate(found):
         holder, inner = node, None
         while holder is not None and holder is not best:
             holder, inner = holder.parent, holder
         if holder is None:
             continue
-        # In an element that isn't named as content, a neighbour without content and with links isn't part of it.
-        if best.root or node.path in paths or inner is None or inner.weight or not _is_link_block(node, inner):
+        # In an element that isn't named as content, a neighbour without content and with links isn't part of it,
+        # unless content stands on both sides.
+        if best.root or node.path in paths or inner is None or inner.weight or solid[0] < k < solid[-1] or not _is_link_block(node, inner):
             out.append(" " + text if fresh else text)
     return " ".join("".join(out).split())
 

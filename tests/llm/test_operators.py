@@ -519,6 +519,8 @@ INNER = "Long text of the article, with commas and stops. It goes on, and on; an
         (f"<article>{PARA}<p>cut of", f"{INNER} cut of"),
         (f"<div class='page has-sidebar'><div class=sidebar>{PARA}</div><div class=entry-content>{PARA}</div></div>", INNER),
         (f"<div class='menu'>{PARA}</div>", INNER),
+        (f"<div id=wrap><div class=sec>{PARA * 9}</div><div class=sec>{PARA}</div></div>", " ".join([INNER] * 10)),
+        (f"<div id=wrap>{PARA}<ul><li>a</li><li>b</li></ul><table><tr><td>1</td></tr></table>{PARA}</div><ul><li><a>Home</a></li></ul>", f"{INNER} a b 1 {INNER}"),
         (f"<article><header><h1>T</h1></header>{PARA}<section class='reader-comments'>{PARA}</section><ul class=share><li>S</li></ul></article>", f"T {INNER}"),
     ],
 )
