@@ -20,7 +20,8 @@ from .frames import adding
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|svg|math|iframe|object|title|xmp)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
+    r"|<(?:svg|math)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*/>"
+    r"|<(script|style|noscript|template|textarea|svg|iframe|title|xmp)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)"
     r"|</[^A-Za-z>][^>]*(?:>|\Z)",
@@ -34,7 +35,7 @@ _PUNCTUATION = re.compile(r"[.,;:!?。，！？；：、…]")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow msub msup".split()
 )
 #: A start tag ends an open element of these names, up to the nearest of the second.
 _CLOSES = {
@@ -53,7 +54,7 @@ _ENDS_P = frozenset(
     "pre section table ul".split()
 )
 #: Elements that never hold the article's text, and words by which others say so in class, id or role.
-NOISE_TAGS = frozenset("head nav footer aside form button select menu dialog input option label legend fieldset".split())
+NOISE_TAGS = frozenset("head nav footer aside form button select menu dialog input option label legend fieldset annotation".split())
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation "
     "menu breadcrumb breadcrumbs sidebar footer masthead comment comments disqus respond replies reply cookie cookies "
