@@ -28,6 +28,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _MARK = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_FORM = re.compile(r"<form[\s>]", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _PUNCTUATION = re.compile(r"[.,;:!?。，！？；：、…]")
@@ -61,6 +62,8 @@ NOISE_WORDS = frozenset(
     "consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended widget toolbar pagination pager search contentinfo complementary skip".split()
 )
+#: Those that may hold the whole page or be left open before the article.
+WRAPPERS = frozenset("form fieldset nav aside".split())
 #: Noise only outside an article: there it may hold the title.
 PAGE_TAGS = frozenset(["header"])
 ROOTS = frozenset(["article", "main"])
@@ -74,7 +77,7 @@ _ABOUT = frozenset("has have no with without".split())
 class _Node:
     __slots__ = ("name", "parent", "path", "noise", "root", "depth", "weight")
 
-    def __init__(self, name: str, attributes: str, parent: _Node | None, named: bool = True):
+    def __init__(self, name: str, attributes: str, parent: _Node | None, named: bool = True, tags: frozenset[str] = NOISE_TAGS):
         self.name, self.parent, self.weight = name, parent, 0.0
         self.depth = parent.depth + 1 if parent else 0
         noise, root, inside, marks = bool(parent and parent.noise), name in ROOTS, bool(parent and parent.root), ""
@@ -94,14 +97,15 @@ class _Node:
                     elif name in ROOTS and not words.isdisjoint({"comment", "comments", "reply", "replies"}):
                         noise = True
                     root |= name in ("div", "section") and not words.isdisjoint(ROOT_WORDS) and not noise
-        noise |= name in NOISE_TAGS or name in PAGE_TAGS and not inside
+        noise |= name in tags or name in PAGE_TAGS and not inside
         self.noise, self.root = noise, root or inside
         self.path = (parent.path + "/" if parent else "") + name + marks
 
 
-def leaves(page: str, named: bool = True) -> list[tuple[_Node, str, bool]]:
+def leaves(page: str, named: bool = True, tags: frozenset[str] = NOISE_TAGS) -> list[tuple[_Node, str, bool]]:
     """The page's text runs in order: (element, text, whether a block begins before it).  Comments, scripts, styles and
-    what lies in noise is left out; unclosed elements end where HTML lets them.  named: whether class, id and role count."""
+    what lies in noise is left out; unclosed elements end where HTML lets them.  named: whether class, id and role count; tags: the
+    elements that are noise."""
     node = base = _Node("", "", None)
     out, at, fresh = [], 0, True
 
@@ -135,7 +139,7 @@ def leaves(page: str, named: bool = True) -> list[tuple[_Node, str, bool]]:
             if found is not base and found.name in ends:
                 node = found.parent
         if name not in VOID and not (m.group(4) or "").endswith("/"):
-            node = _Node(name, m.group(4) or "", node, named)
+            node = _Node(name, m.group(4) or "", node, named, tags)
     if at < len(page):
         run(page[at:])
     return out
@@ -172,11 +176,22 @@ def content_paths(found: list[tuple[_Node, str, bool]]) -> set[str]:
     return {p for p, x in zip(paths, fused, strict=True) if x > 0 and x >= threshold}
 
 
+def _size(found: list[tuple[_Node, str, bool]]) -> int:
+    return sum(len(t.strip()) for _, t, _ in found)
+
+
 def main_text(page: str | None) -> str:
     """The main text; blocks and white space become single spaces.  Empty for null, an empty page, or no content."""
-    found = leaves(page or "")
-    if not any(t.strip() for _, t, _ in found):  # a name that covers the whole page says nothing
-        found = leaves(page or "", named=False)
+    page = page or ""
+    found = leaves(page)
+    if _FORM.search(page):  # a form that holds most of the text is the page, no form
+        wide = leaves(page, tags=NOISE_TAGS - {"form", "fieldset"})
+        if 4 * _size(found) < _size(wide):
+            found = wide
+    # A name or an element that covers the whole page says nothing.
+    for named, tags in ((True, NOISE_TAGS - WRAPPERS), (False, NOISE_TAGS), (False, NOISE_TAGS - WRAPPERS)):
+        if not _size(found):
+            found = leaves(page, named, tags)
     paths = content_paths([x for x in found if x[0].root]) or content_paths(found)
     if not paths:
         return ""

@@ -522,6 +522,10 @@ INNER = "Long text of the article, with commas and stops. It goes on, and on; an
         (f"<div id=wrap><div class=sec>{PARA * 9}</div><div class=sec>{PARA}</div></div>", " ".join([INNER] * 10)),
         (f"<article><svg a='b'/><p>x</p><svg-icon></svg-icon><title-bar>t</title-bar>{PARA}<svg><text>s</text></svg></article>", f"x t {INNER}"),
         (f"<article>{PARA}<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> <object data=u>shown</object></p><math/></article>", f"{INNER} so x=2 shown"),
+        (f"<body><form id=f><input><label>l</label><div>{PARA * 3}</div></form><footer>f</footer></body>", " ".join([INNER] * 3)),
+        (f"<body><form><article>{PARA}</article></form><p>c</p></body>", INNER),
+        (f"<body><nav><a>Home</a><article>{PARA}</article></body>", INNER),
+        (f"<body><aside><div>{PARA}</div></body>", INNER),
         (f"<div id=wrap>{PARA}<ul><li>a</li><li>b</li></ul><table><tr><td>1</td></tr></table>{PARA}</div><ul><li><a>Home</a></li></ul>", f"{INNER} a b 1 {INNER}"),
         (f"<article><header><h1>T</h1></header>{PARA}<section class='reader-comments'>{PARA}</section><ul class=share><li>S</li></ul></article>", f"T {INNER}"),
     ],
