@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -25,3 +27,26 @@ def unreserved(docs: DataFrame, *prefixes: str) -> DataFrame:
     """docs without columns whose names an operator keeps for itself."""
     taken = [f for f in docs.columns if f.lower().startswith(prefixes)]
     return docs.drop(*taken) if taken else docs
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow, which at the end of a task gives back the memory that it held: an executor keeps its Python
+    workers, and those of earlier stages stand beside those of later ones."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow
+
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not every C library has it
+                pass
+
+    return tidied

@@ -5,6 +5,8 @@ import hashlib
 import random
 import re
 import struct
+import time
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -528,12 +530,47 @@ INNER = "Long text of the article, with commas and stops. It goes on, and on; an
         (f"<body><aside><div>{PARA}</div></body>", INNER),
         (f"<div id=wrap>{PARA}<ul><li>a</li><li>b</li></ul><table><tr><td>1</td></tr></table>{PARA}</div><ul><li><a>Home</a></li></ul>", f"{INNER} a b 1 {INNER}"),
         (f"<article><header><h1>T</h1></header>{PARA}<section class='reader-comments'>{PARA}</section><ul class=share><li>S</li></ul></article>", f"T {INNER}"),
+        (f"<article>{PARA}<p class=share-price>The price, it rose. A lot, today.</p>{PARA}</article>", f"{INNER} The price, it rose. A lot, today. {INNER}"),
+        (f"<body><form>{PARA}<nav><a>x</a></nav><footer>foot, here. And, so.</footer>{PARA}</form></body>", f"{INNER} {INNER}"),
+        (f"<article><h1><a href=u>Title</a></h1>{PARA}<ul><li><a>one</a><li><a>two</a></ul></article>", f"Title {INNER}"),
+        (f"<body><header><p>Site of, all.</p></header><article>{PARA}<div class='post-share'>Share, this.</div><div class=comments>{PARA * 9}</div></article></body>", INNER),
     ],
 )
 def test_html(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_html_ratios_choose_the_content():
+    """No name says what is content: the path with long, punctuated leaves is, whatever the element."""
+    page = f"<div><span class=k1>Home</span><span class=k1>News</span></div><div class=k2>{PARA * 4}</div><div><i class=k3>a</i><i class=k3>b</i></div>"
+    nodes, found = html_text.leaves(page)
+    ratios = html_text.path_ratios(found)
+    # The same by path strings.
+    name = lambda n: (name(n.parent) + "/" if n.parent else "") + n.name
+    plain = {}
+    for node, text, _ in found:
+        plain.setdefault((name(node), node.path), []).append(text)
+    text = [sum(len(t) - t.count(" ") for t in ts) / len(ts) for ts in plain.values()]
+    marks = [sum(len(re.findall("[.,;:!?]", t)) for t in ts) / len(ts) for ts in plain.values()]
+    near = lambda v, k: 0.25 * v[max(0, k - 1)] + 0.5 * v[k] + 0.25 * v[min(len(v) - 1, k + 1)]
+    fused = [(text[k] * (1 + marks[k]) * near(text, k) * (1 + near(marks, k))) ** 0.5 for k in range(len(text))]
+    assert list(ratios.values()) == pytest.approx(fused)
+    mean = sum(fused) / len(fused)
+    spread = (sum((x - mean) ** 2 for x in fused) / len(fused)) ** 0.5
+    assert html_text.content_paths(ratios) == {p for (_, p), x in zip(plain, fused, strict=True) if x >= 0.5 * spread}
+    assert html_text.main_text(page) == " ".join([INNER] * 4)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x", "<b>x" * 16_000 + "</i>" * 16_000, "<b>" * 16_000 + "<p>x" * 16_000, "<ul><li>" * 20_000 + "x"])
+def test_html_of_many_unclosed_tags(page):
+    tracemalloc.start()
+    began = time.perf_counter()
+    text = html_text.main_text(page)
+    assert set(text) <= {"x", " "} and "x" in text
+    assert tracemalloc.get_traced_memory()[1] < 200e6 and time.perf_counter() - began < 60
+    tracemalloc.stop()
+
+
 def test_html_frame(spark):
     pages = spark.createDataFrame([(1, "u", f"<article>{PARA}</article>", "old"), (2, None, None, None)], "page_id bigint, url string, html string, text string")
     found = html_text.extract(pages).orderBy("page_id").collect()
