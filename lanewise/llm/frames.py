@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 def adding(docs: DataFrame, **kinds: str) -> tuple[DataFrame, list[str], T.StructType]:
     """docs without columns that new ones replace, its names, and its schema with the new columns after them."""
     old = [f for f in docs.schema.fields if f.name.lower() not in {k.lower() for k in kinds}]
-    kept = docs.select(*[f"`{f.name}`" for f in old])
+    kept = docs.select(*[quoted(f.name) for f in old])
     new = [T.StructField(k, T.StructType.fromDDL(f"x {kind}")[0].dataType, True) for k, kind in kinds.items()]
     return kept, [f.name for f in old], T.StructType(old + new)
 
@@ -23,10 +23,18 @@ def restored(kind: type, shared) -> object:
     return found
 
 
-def unreserved(docs: DataFrame, *prefixes: str) -> DataFrame:
-    """docs without columns whose names an operator keeps for itself."""
-    taken = [f for f in docs.columns if f.lower().startswith(prefixes)]
-    return docs.drop(*taken) if taken else docs
+def quoted(name: str) -> str:
+    """A column's name as it must be written where dots and spaces have a meaning."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_prefix(docs: DataFrame, prefix: str) -> str:
+    """The prefix, with underscores behind it until no column of docs begins with it; so an operator's own columns never
+    meet a caller's."""
+    taken = [f.lower() for f in docs.columns]
+    while any(f.startswith(prefix) for f in taken):
+        prefix += "_"
+    return prefix
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
@@ -50,3 +58,9 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
                 pass
 
     return tidied
+
+
+def unreserved(docs: DataFrame, *prefixes: str) -> DataFrame:
+    """docs without columns whose names an operator keeps for itself."""
+    taken = [f for f in docs.columns if f.lower().startswith(prefixes)]
+    return docs.drop(*taken) if taken else docs

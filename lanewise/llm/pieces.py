@@ -2,17 +2,23 @@
 
 The search walks a text once and keeps, for each place in a window, the last piece of the best path that ends there
 and where that piece began.  Ids are committed as soon as all paths that can still grow pass one boundary; what lies
-before it leaves the window.  No path can grow from further back than the longest piece.
+before it leaves the window.  That is so at once where no piece of any path reaches across a place; elsewhere the
+paths are followed back until they meet, each time that the window has grown by the longest piece.  No path can grow
+from further back than the longest piece.
 
 Unigram models: the best path has the greatest sum of scores.  Byte-pair models define their result by merges instead
 of sums; there a path may take a piece only if merging would leave it and the piece before it apart, which depends on
 these two alone, and exactly one path to each place fulfils that.  So one search serves both kinds.
+
+Where the vocabulary alone tells that all paths have a boundary, such as before a space that no piece holds inside, the
+search starts anew, and what it committed for the run up to there is remembered.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate, chain
 
@@ -20,20 +26,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .frames import adding, restored
+from .frames import adding, restored, tidy
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Segments and pairs of pieces remembered in a task; beyond that pairs are forgotten, and segments but for short ones.
-CACHE_SEGMENTS, CACHE_PAIRS, CACHE_LENGTH, CACHE_SHORT = 350_000, 500_000, 40, 7
+#: About so many bytes of committed runs are remembered in a task, in two halves of which the older one is forgotten, and
+#: so many pairs of pieces.  Runs longer than CACHE_LENGTH aren't kept.
+CACHE_BYTES, CACHE_PAIRS, CACHE_LENGTH = 48 << 20, 200_000, 40
+#: Bytes of an entry beside its characters and ids: two objects and a place in the table.
+_ENTRY = 190
 #: Rows of one outgoing batch.
 ROWS_OUT = 256
-#: So many characters between looks for a boundary that all paths pass.
-COMMIT_EVERY = 64
 #: Letters, for finding borders that no piece crosses; numbers that count as word characters are left out.
 LETTER = "[^\\W\\d_²³¹¼½¾⁰-₉]"
-_NEVER = 1 << 60
+_NEVER = (1 << 31) - 1
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -110,15 +117,20 @@ class PieceModel:
         self.cut_kind = self.cut_space and self.cut_line and not any(mixed.search(p) for p in self.ids)
 
     def _merges(self) -> None:
-        """The order of merges, and for each piece the parts at its left and right edge, the smallest first."""
+        """The order of merges, and for each piece the parts at its left and right edge, the smallest first.
+
+        Parts are numbered; joined gives the rank of the merge of two parts.  Edges lie one after another in flat arrays,
+        each a part and the rank of the merge that takes it up.
+        """
         order = sorted((i for p, i in self.ids.items() if len(p) > 1), key=lambda i: (-self.scores[i], i))
         same, rank = 0, {}
         for k, i in enumerate(order):
             same = same if k and self.scores[order[k - 1]] == self.scores[i] else k
             rank[self.pieces[i][0]] = same
-        self.rank, edges = rank, {}
+        number: dict[str, int] = {}
+        self.part, self.taken_up = array("i"), array("i")
+        self.left_at, self.right_at = (array("i", bytes(4 * len(self.pieces))) for _ in range(2))
         for p, i in list(self.ids.items()):
-            # left[k] and right[k]: (part, rank of the merge that takes it up)
             parts = list(p)
             left, right = [parts[0]], [parts[-1]]
             while len(parts) > 1:
@@ -131,26 +143,41 @@ class PieceModel:
             if len(parts) > 1:  # merging never gives this piece
                 del self.ids[p]
                 continue
-            up = lambda chain: [(q, rank[r]) for q, r in zip(chain, chain[1:], strict=False)] + [(chain[-1], _NEVER)]
-            edges[i] = up(left), up(right)
-        self.edges = edges
+            for at, edge in ((self.left_at, left), (self.right_at, right)):
+                at[i] = len(self.part)
+                self.part.extend(number.setdefault(q, len(number)) for q in edge)
+                self.taken_up.extend([*(rank[q] for q in edge[1:]), _NEVER])
+        self.parts = len(number)
+        self.joined = {
+            a * self.parts + b: k
+            for p, k in rank.items()
+            for cut in range(1, len(p))
+            if (a := number.get(p[:cut])) is not None and (b := number.get(p[cut:])) is not None
+        }
 
     def apart(self, a: int, b: int) -> bool:
         """Whether merging leaves pieces a and b side by side: no merge across their border comes before those that
         build them.  Of merges of equal rank the left one comes first."""
-        x, y = self.edges[a][1], self.edges[b][0]
-        i = j = 0
+        part, taken_up, joined, n = self.part, self.taken_up, self.joined, self.parts
+        i, j = self.right_at[a], self.left_at[b]
+        up, over = taken_up[i], taken_up[j]
         while True:
-            (p, up), (q, over) = x[i], y[j]
-            across = self.rank.get(p + q, _NEVER)
+            across = joined.get(part[i] * n + part[j], _NEVER)
             if across < up and across <= over and across < _NEVER:
                 return False
             if up == over == _NEVER:
                 return True
             if up <= over:
                 i += 1
+                up = taken_up[i]
             else:
                 j += 1
+                over = taken_up[j]
+
+    def slim(self) -> dict:
+        """What encoding and decoding need, for broadcasting."""
+        unneeded = {"pieces"} | ({"scores"} if self.kind == BPE else set())
+        return {k: v for k, v in vars(self).items() if k not in unneeded}
 
 
 class Encoder:
@@ -161,12 +188,16 @@ class Encoder:
         for p, i in model.ids.items():
             children = self.trie
             for c in p:
-                entry = children.setdefault(c, [None, {}])
+                entry = children.get(c)
+                if entry is None:
+                    entry = children[c] = [None, {}]
                 children = entry[1]
             entry[0] = i
         self.pairs: dict[int, dict[int, bool]] = {}  # by the first piece, then the second
         self.known = 0
-        self.segments: dict[str, tuple[int, ...]] = {}
+        self.runs: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.room = CACHE_BYTES // 2
         if model.cut_kind:
             split = f"\n| *{LETTER}+| *(?:(?!{LETTER})[^ \n])+| +"
         else:
@@ -181,88 +212,87 @@ class Encoder:
         return [m.unk]
 
     def _fits(self, after: dict[int, bool], before: int, i: int) -> bool:
-        ok = after.get(i)
-        if ok is None:
-            if self.known >= CACHE_PAIRS:
-                for x in self.pairs.values():
-                    x.clear()
-                self.known = 0
-            self.known += 1
-            ok = after[i] = self.model.apart(before, i)
+        if self.known >= CACHE_PAIRS:
+            for x in self.pairs.values():
+                x.clear()
+            self.known = 0
+        self.known += 1
+        ok = after[i] = before < 0 or self.model.apart(before, i)
         return ok
 
-    def _short(self, text: str) -> list[int]:
-        """The search over a text that is shorter than COMMIT_EVERY, for byte-pair models: the window holds all of it."""
-        trie, pairs, n = self.trie, self.pairs, len(text)
-        last, back = [None] * (n + 1), [0] * (n + 1)
-        last[0] = -1
-        for w in range(n):
-            before = last[w]
-            after = pairs.get(before)
-            if after is None:
-                after = pairs[before] = {}
-            children, single, k = trie, False, w
-            for c in text[w:]:
-                entry = children.get(c)
-                if entry is None:
-                    break
-                k += 1
-                i, children = entry
-                if i is not None:
-                    if k == w + 1:
-                        single = True
-                    if last[k] is None and (before < 0 or after.get(i) or (i not in after and self._fits(after, before, i))):
-                        last[k], back[k] = i, w
-            if not single and last[w + 1] is None:
-                last[w + 1], back[w + 1] = -1, w
-        return self._path(text, 0, last, back, n)
-
     def search(self, text: str) -> Iterator[list[int]]:
-        """Committed ids of a text, boundary by boundary; a lone unknown character gives its bytes or the unknown id."""
-        model, trie, pairs, bpe = self.model, self.trie, self.pairs, self.model.kind == BPE
-        n, base = len(text), 0  # base: the place of the window's first entry
-        last: list[int | None] = [-1]  # -1: the start or an unknown character
-        back, score = [0], [0.0]
+        """Committed ids of a text, boundary by boundary; a lone unknown character gives its bytes or the unknown id.
+
+        The window holds the places from the last boundary on and the longest piece ahead; so it is bounded but for texts
+        whose paths don't meet.
+        """
+        model, trie, pairs = self.model, self.trie, self.pairs
+        bpe, n, longest = model.kind == BPE, len(text), model.longest
+        base = w = reach = 0  # the text's place where the window begins; in the window, the present one and the furthest reached
+        look = 2 * longest  # the window's size at which paths are followed back
+        size = min(n, 3 * longest) + 1
+        last: list[int | None] = [None] * size  # -1: the start or an unknown character
+        back, score = [0] * size, [0.0] * size
+        last[0] = -1
         for j in range(n):
-            w = j - base
-            if len(last) <= w + model.longest:
-                more = w + model.longest + 1 - len(last)
-                last += [None] * more
-                back += [0] * more
-                score += [0.0] * more
-            before = last[w]
-            after = pairs.get(before)
-            if after is None:
-                after = pairs[before] = {}
-            children, k, single = trie, w, False
-            while base + k < n and (entry := children.get(text[base + k])) is not None:
-                k += 1
-                i, children = entry
-                if i is not None:
-                    single |= k == w + 1
-                    if bpe:
-                        if last[k] is None and (before < 0 or self._fits(after, before, i)):
+            if w >= longest and (reach == w or w >= look):
+                # No path reaches across this place, or those that still grow are followed back to where they meet.
+                meet = w if reach == w else self._meeting(last, back, w, reach)
+                if meet:
+                    yield self._path(text, base, last, back, meet)
+                    last, score = last[meet:] + [None] * meet, score[meet:] + [0.0] * meet
+                    back = [max(0, k - meet) for k in back[meet:]] + [0] * meet
+                    base, w, reach = base + meet, w - meet, reach - meet
+                look = w + 2 * longest
+                if (more := min(n - base, look + longest) + 1 - len(last)) > 0:
+                    last += [None] * more
+                    back += [0] * more
+                    score += [0.0] * more
+            before, k = last[w], w
+            entry = trie.get(text[j])
+            if entry is None or entry[0] is None:  # no piece, so its own bytes or the unknown id
+                if last[w + 1] is None or not bpe and score[w] + model.unk_score > score[w + 1]:
+                    last[w + 1], back[w + 1], score[w + 1] = -1, w, score[w] + model.unk_score
+                    reach = max(reach, w + 1)
+            children = trie
+            if bpe:
+                after = pairs.get(before)
+                if after is None:
+                    after = pairs[before] = {}
+                for c in text[j : j + longest]:
+                    entry = children.get(c)
+                    if entry is None:
+                        break
+                    k += 1
+                    i, children = entry
+                    if i is not None and last[k] is None:
+                        ok = after.get(i)
+                        if ok or ok is None and self._fits(after, before, i):
                             last[k], back[k] = i, w
-                    elif last[k] is None or score[w] + model.scores[i] > score[k]:
+                            if k > reach:
+                                reach = k
+            else:
+                for c in text[j : j + longest]:
+                    entry = children.get(c)
+                    if entry is None:
+                        break
+                    k += 1
+                    i, children = entry
+                    if i is not None and (last[k] is None or score[w] + model.scores[i] > score[k]):
                         last[k], back[k], score[k] = i, w, score[w] + model.scores[i]
-            if not single and (last[w + 1] is None or not bpe and score[w] + model.unk_score > score[w + 1]):
-                last[w + 1], back[w + 1], score[w + 1] = -1, w, score[w] + model.unk_score
-            if j % COMMIT_EVERY == COMMIT_EVERY - 1 and j + 1 < n:
-                # Paths that can still grow end after w; follow them back until they meet.
-                alive = {k for k in range(w + 1, min(len(last), w + 1 + model.longest)) if last[k] is not None}
-                while len(alive) > 1:
-                    top = max(alive)
-                    alive.remove(top)
-                    alive.add(back[top])
-                meet = alive.pop()
-                if meet > 0:
-                    yield self._path(text, base, last, back, meet)
-                    held = last[meet]
-                    del last[:meet], back[:meet], score[:meet]
-                    back = [max(0, k - meet) for k in back]
-                    last[0], base = held, base + meet
-        if n > base:
-            yield self._path(text, base, last, back, n - base)
+                        reach = max(reach, k)
+            w += 1
+        yield self._path(text, base, last, back, w)
+
+    @staticmethod
+    def _meeting(last: list, back: list, w: int, reach: int) -> int:
+        """The last place of the window that all paths pass that can still grow."""
+        alive = {k for k in range(w, reach + 1) if last[k] is not None}
+        while len(alive) > 1:
+            top = max(alive)
+            alive.remove(top)
+            alive.add(back[top])
+        return alive.pop()
 
     def _path(self, text: str, base: int, last: list, back: list, end: int) -> list[int]:
         out: list[int] = []
@@ -276,17 +306,19 @@ class Encoder:
         out.reverse()
         return out
 
-    def _segment(self, text: str) -> list[int]:
-        inner = text.replace(" ", SPACE) if self.model.escape else text
-        if self.model.kind == BPE and len(inner) < COMMIT_EVERY:
-            ids = self._short(inner)
-        else:
-            ids = [i for part in self.search(inner) for i in part]
+    def _run(self, text: str) -> tuple[int, ...]:
+        """Ids of a run between two places where the vocabulary leaves no piece across."""
+        ids = self.runs.get(text)
+        if ids is not None:
+            return ids
+        ids = self.older.get(text)
+        if ids is None:
+            ids = tuple(chain.from_iterable(self.search(text.replace(" ", SPACE) if self.model.escape else text)))
         if len(text) <= CACHE_LENGTH:
-            if len(self.segments) >= CACHE_SEGMENTS:
-                short = {k: v for k, v in self.segments.items() if len(k) <= CACHE_SHORT}
-                self.segments = short if len(short) < CACHE_SEGMENTS // 2 else {}
-            self.segments[text] = tuple(ids)
+            self.room -= _ENTRY + len(text) * (1 if text.isascii() else 4) + 8 * len(ids)
+            if self.room < 0:
+                self.older, self.runs, self.room = self.runs, {}, CACHE_BYTES // 2
+            self.runs[text] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
@@ -298,9 +330,9 @@ class Encoder:
         if not text:
             return []
         parts = self.split(" " + text if m.dummy_prefix else text)
-        found = list(map(self.segments.get, parts))
+        found = list(map(self.runs.get, parts))
         if None in found:
-            found = [self._segment(p) if x is None else x for p, x in zip(parts, found, strict=True)]
+            found = [self._run(p) if x is None else x for p, x in zip(parts, found, strict=True)]
         ids = list(chain.from_iterable(found))
         if not m.byte_fallback and m.unk in ids:  # a run of unknown characters is one id
             ids = [i for k, i in enumerate(ids) if i != m.unk or not k or ids[k - 1] != m.unk]
@@ -323,7 +355,7 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", check: bool =
     A null text has no ids and counts as the empty text.  U+2581 stands for a space, so a text with it has no round trip.
     """
     docs, names, schema = adding(docs, **({"ids": "array<int>"} | ({"round_trip": "boolean"} if check else {})))
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
+    shared = docs.sparkSession.sparkContext.broadcast(model.slim())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(restored(PieceModel, shared))
@@ -342,7 +374,7 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", check: bool =
                 columns = [*batch.columns, lists] + [pa.array(same, pa.bool_())] * check
                 yield pa.RecordBatch.from_arrays(columns, [*names, "ids"] + ["round_trip"] * check)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def decode(docs: DataFrame, model: PieceModel, ids: str = "ids", out: str = "text") -> DataFrame:
@@ -350,7 +382,7 @@ def decode(docs: DataFrame, model: PieceModel, ids: str = "ids", out: str = "tex
     if out == ids:
         raise ValueError("the text needs a column of its own")
     docs, names, schema = adding(docs, **{out: "string"})
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
+    shared = docs.sparkSession.sparkContext.broadcast(model.slim())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(restored(PieceModel, shared))
@@ -358,4 +390,4 @@ def decode(docs: DataFrame, model: PieceModel, ids: str = "ids", out: str = "tex
             texts = [encoder.decode(x or []) for x in batch.column(names.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
