@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .frames import free_prefix, quoted, tidy
 from .storage import Scratch
 from .textnum import Densifier, WordHasher, mix, one_permutation, text_chunks
 
@@ -45,8 +46,9 @@ BLOCK = 2048
 SMALL = 64
 #: Components from this size on are compared by one member for each bucket before all members are.
 LARGE = 8
-#: Bits of the filter that picks the texts whose sets are needed; 4 MB, whatever the input.
-FILTER_BITS = 1 << 25
+#: Bits of the filter that picks the texts whose sets are needed: so many for each id, 4 MB at most.  For more ids than
+#: that gives room to, texts are joined by id instead.
+FILTER_BITS, BITS_EACH = 1 << 25, 8
 WORDS = LOW_BITS * (1 << BIN_BITS) // 64
 
 SETS = "doc_id long, n_shingles long, set_a long, set_b long, signature array<long>, bands array<long>, few array<long>"
@@ -89,7 +91,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             columns = [batch.column(0), pa.array(sizes, pa.int64()), *signed, *lists]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", "signature", "bands", "few"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SETS)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(run), SETS)
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -103,7 +105,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
                 sets += [np.unique(h).view(np.int64) for h in hasher.shingles(data, starts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "hashes"])
 
-    return docs.mapInArrow(run, "id long, hashes array<long>")
+    return docs.mapInArrow(tidy(run), "id long, hashes array<long>")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -134,20 +136,28 @@ def plausible(a: str, b: str) -> Column:
 def marked(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     """docs with a column that is false for rows whose doc_id is surely not in ids.
 
-    A bitmap of hashed ids is broadcast, and no text is shuffled.  True may be wrong; where it matters an exact join
-    follows, which then moves few rows besides the wanted ones.
+    A bitmap of hashed ids is broadcast, and no text is shuffled; it is made as large as the number of ids needs.  True
+    may be wrong; where it matters an exact join follows, which then moves few rows besides the wanted ones.  Too many
+    ids for the largest bitmap are joined, so that all texts move once; then true is never wrong.
     """
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    p, n = free_prefix(docs, "near_"), ids.count()
+    if n * BITS_EACH > FILTER_BITS:
+        wanted = ids.select(F.col("doc_id").alias(f"{p}id")).distinct()
+        joined = docs.join(wanted.hint("merge"), F.col("doc_id") == F.col(f"{p}id"), "left")
+        return joined.withColumn(name, F.col(f"{p}id").isNotNull()).drop(f"{p}id")
+    bits = 1 << max(16, (n * BITS_EACH).bit_length())
+    spot, page, held = f"{p}spot", f"{p}page", f"{p}bits"
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias(spot)
     maps = (
-        ids.where("doc_id is not null").select(spot.alias("_spot"))
-        .groupBy(F.expr("bitmap_bucket_number(_spot)").alias("_page"))
-        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_spot))").alias("_bits"))
+        ids.where("doc_id is not null").select(hashed)
+        .groupBy(F.expr(f"bitmap_bucket_number({spot})").alias(page))
+        .agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({spot}))").alias(held))
     )
-    near = docs.withColumn("_spot", spot).join(F.broadcast(maps), F.expr("bitmap_bucket_number(_spot)") == F.col("_page"), "left")
-    place = F.expr("bitmap_bit_position(_spot)")
-    byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    held = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)) & F.col("doc_id").isNotNull()
-    return near.withColumn(name, held).drop("_spot", "_page", "_bits")
+    near = docs.withColumn(spot, hashed).join(F.broadcast(maps), F.expr(f"bitmap_bucket_number({spot})") == F.col(page), "left")
+    place = F.expr(f"bitmap_bit_position({spot})")
+    byte = F.conv(F.hex(F.substring(held, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)) & F.col("doc_id").isNotNull()
+    return near.withColumn(name, found).drop(spot, page, held)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, label: str) -> DataFrame:
@@ -264,12 +274,13 @@ def _large_bucket(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def _across(members: DataFrame, parts: int, least: float) -> DataFrame:
+def _across(members: DataFrame, signed: DataFrame, scratch: Scratch, label: str, parts: int, least: float) -> DataFrame:
     """Pairs(a, b) of different components whose estimate is `least` or more, or whose small sets reach the threshold, in
-    each bucket of members(bucket, id, component, size, sig, keys, few).
+    each bucket of members(bucket, id, component); signed(id, size, sig, keys, few) has what they are compared by.
 
     In a large bucket the most frequent component is the main one.  Everything is compared with what lies outside it;
-    both sides are dealt out in blocks, so a task holds two blocks however large the bucket is.
+    both sides are dealt out in blocks, so a task holds two blocks however large the bucket is.  The buckets' shapes are
+    written first: the join with them then is one of two plain shuffles, of which Spark splits the side with a hot bucket.
     """
     counts = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     shape = (
@@ -284,7 +295,7 @@ def _across(members: DataFrame, parts: int, least: float) -> DataFrame:
             F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("rights"),
         )
     )
-    placed = members.join(shape, "bucket")
+    placed = members.join(scratch.keep(shape, f"{label}-shape").hint("merge"), "bucket").join(signed, "id")
     row, spot = ["bucket", "id", "component", "size", "sig", "keys", "few"], F.xxhash64("id")
     small = placed.where(F.col("n") <= SMALL).select(row).repartition(parts, "bucket").sortWithinPartitions("bucket")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -294,7 +305,7 @@ def _across(members: DataFrame, parts: int, least: float) -> DataFrame:
         *row, every("lefts").alias("x"), F.pmod(spot, "rights").alias("y"), F.lit(True).alias("right")
     )
     both = left.unionByName(right).repartition(parts, "bucket", "x", "y")
-    pairs = small.mapInArrow(lambda batches: _small_buckets(batches, least), "a long, b long").union(
+    pairs = small.mapInArrow(tidy(lambda batches: _small_buckets(batches, least)), "a long, b long").union(
         both.groupBy("bucket", "x", "y").applyInPandas(lambda pdf: _large_bucket(pdf, least), "a long, b long")
     )
     return pairs.distinct()
@@ -324,8 +335,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     keys = F.transform("bands", lambda b: F.shiftright(b, 32).cast("int"))  # four bytes tell two bands apart
     signed = reps.select("id", "size", "sig", keys.alias("keys"), "few")
     placed = reps.select(F.explode("bands").alias("bucket"), "id")
-    hubs = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
-    shared = scratch.keep(placed.join(hubs, "bucket").select("bucket", "id", "hub"), "shared")
+    # Written, so that the join isn't bound to the aggregate's partitions and Spark can split a hot bucket.
+    hubs = scratch.keep(placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1"), "hubs")
+    shared = scratch.keep(placed.join(hubs.hint("merge"), "bucket").select("bucket", "id", "hub"), "shared")
 
     often = shared.where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("n"))
     star = often.groupBy(F.col("id").alias("b_id")).agg(F.max(F.struct("n", -F.col("hub"))).alias("top"))
@@ -335,21 +347,22 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     star = scratch.keep(star.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "star")
     near = components(confirmed(star, docs, scratch, "first").union(through_id), scratch, "one")
 
-    scratch.sweep("star", "first", "first-sets")
+    scratch.sweep("hubs", "star", "first", "first-sets")
     sure = THRESHOLD / 100
     large = near.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= LARGE).select("component")
-    spokes = _open(shared, near).join(large, "component", "left_semi")
-    spokes = spokes.groupBy("bucket", "component").agg(F.min("id").alias("id"))
-    pairs = scratch.keep(_across(spokes.join(signed, "id"), parts, sure), "spokes")
+    spokes = _placed(shared, near).join(large, "component", "left_semi")
+    spokes = scratch.keep(spokes.groupBy("bucket", "component").agg(F.min("id").alias("id")), "spokes-seen")
+    pairs = scratch.keep(_across(spokes, signed, scratch, "spokes", parts, sure), "spokes")
     if not pairs.isEmpty():
         near = _merged(near, confirmed(pairs, docs, scratch, "second"), scratch, "two")
-    scratch.sweep("spokes", "second", "second-sets")
+    scratch.sweep("spokes", "spokes-seen", "spokes-shape", "second", "second-sets")
 
     for least, pairs_label, label in ((sure, "clear", "third"), (sure - SLACK, "doubtful", "fourth")):
-        pairs = scratch.keep(_across(_open(shared, near).join(signed, "id"), parts, least), pairs_label)
+        seen = scratch.keep(_placed(shared, near), f"{pairs_label}-seen")
+        pairs = scratch.keep(_across(seen, signed, scratch, pairs_label, parts, least), pairs_label)
         if not pairs.isEmpty():
             near = _merged(near, confirmed(pairs, docs, scratch, label), scratch, f"{label}-near")
-        scratch.sweep(pairs_label, label, f"{label}-sets")
+        scratch.sweep(pairs_label, f"{pairs_label}-seen", f"{pairs_label}-shape", label, f"{label}-sets")
 
     final = lowest.select("doc_id", "low").join(near.withColumnRenamed("id", "low"), "low", "left")
     final = final.select("doc_id", F.coalesce("component", "low").alias("component_id"))
@@ -365,12 +378,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return result
 
 
-def _open(shared: DataFrame, near: DataFrame) -> DataFrame:
-    """(bucket, id, component) of the buckets that hold more than one component."""
-    seen = shared.select("bucket", "id").join(near, "id", "left")
-    seen = seen.select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    span = seen.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return seen.join(span.where("low <> high").select("bucket"), "bucket", "left_semi")
+def _placed(shared: DataFrame, near: DataFrame) -> DataFrame:
+    """(bucket, id, component): the members of the buckets with the component that each belongs to by now."""
+    return shared.select("bucket", "id").join(near, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
 
 
 def _merged(near: DataFrame, links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
@@ -390,16 +400,19 @@ def _merged(near: DataFrame, links: DataFrame, scratch: Scratch, label: str) ->
 def drop_near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs with one document of each group, its least doc_id; rows with a null doc_id all stay.
 
-    Rows that repeat a kept doc_id are one document: the one with the least text stays.
+    All columns of docs stay, whatever their names.  Rows that repeat a kept doc_id are one document: of those with a
+    text the one with the least stays.
     """
     found = near_duplicates(docs.select("doc_id", "text"), scratch)
-    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("_kept"), F.count("*").alias("_n"))
+    p = free_prefix(docs, "near_own_")
+    held, kept, n, row = (f"{p}{k}" for k in ("held", "kept", "n", "row"))
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias(kept), F.count("*").alias(n))
     # Only ids that go or repeat matter; texts of all others stay where they are.
-    ids = scratch.keep(ids.where("not _kept or _n > 1"), "touched")
-    held = marked(docs, ids, "_held")
-    near = held.where("_held").join(ids, "doc_id", "left").where("coalesce(_kept, true)")
-    many = near.where("_n > 1")
-    whole = F.struct(F.col("text"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
-    single = many.groupBy("doc_id").agg(F.min(whole).alias("_row")).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
-    names = [f"`{c}`" for c in docs.columns]
-    return held.where("not _held").select(*names).unionByName(near.where("_n is null").select(*names)).unionByName(single)
+    ids = scratch.keep(ids.where(f"not {kept} or {n} > 1"), "touched")
+    marks = marked(docs, ids, held)
+    near = marks.where(held).join(ids, "doc_id", "left").where(f"coalesce({kept}, true)")
+    names = [quoted(c) for c in docs.columns]
+    empty = F.coalesce(F.col("text"), F.lit("")) == ""
+    whole = F.struct(empty.alias(f"{p}empty"), F.col("text"), *[F.col(c) for c in names if c != quoted("text")])
+    single = near.where(f"{n} > 1").groupBy("doc_id").agg(F.min(whole).alias(row)).select(*[F.col(f"{row}.{c}") for c in names])
+    return marks.where(f"not {held}").select(*names).unionByName(near.where(f"{n} is null").select(*names)).unionByName(single)
