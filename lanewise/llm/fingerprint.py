@@ -9,10 +9,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import adding
+from .frames import adding, tidy
 from .textnum import CHUNK_BYTES, Densifier, WordHasher, one_permutation, text_chunks
 
 BIN_BITS = 9
@@ -71,38 +71,45 @@ def fingerprints(docs: DataFrame, text: str = "text", bin_bits: int = BIN_BITS,
             prints = pa.array([sketcher.pack(s) for s in sketcher.sketches(texts)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, prints], [*names, "fingerprint"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
-def _split_points(docs: DataFrame, parts: int) -> list[int]:
-    """Ids that start the ranges: the least id and the quantiles after it.  At most `parts` numbers reach the driver."""
-    row = docs.agg(
-        F.min("doc_id").alias("low"),
-        F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10 * parts).alias("cuts"),
+def _split_points(keys: DataFrame, parts: int) -> list[int]:
+    """The least key and the quantiles after it; at most `parts` numbers reach the driver."""
+    row = keys.agg(
+        F.min("key").alias("low"),
+        F.percentile_approx("key", [k / parts for k in range(1, parts)] or [0.5], 10 * parts).alias("cuts"),
     ).first()
     return [] if row.low is None else sorted({row.low, *(row.cuts or [])})
 
 
+def _place(key: Column, cuts: list[int]) -> tuple[Column, Column]:
+    """(the last cut not above the key, as its number; that cut).  Two steps: every 64th cut, then the 64 from there."""
+    array = lambda xs: F.from_json(F.lit(json.dumps(xs)), "array<bigint>")
+    below = lambda xs: F.size(F.filter(xs, lambda c: c <= key))
+    block = below(array(cuts[::_STEP])) - 1
+    fine = F.slice(array(cuts), F.greatest(block, F.lit(0)) * _STEP + 1, F.lit(_STEP))
+    at = F.greatest(block, F.lit(0)) * _STEP + below(fine) - 1
+    return at, F.get(array(cuts), at)
+
+
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """docs dealt into ranges of ascending doc_id, each followed by a copy of the row that comes after it.
 
-    One shuffle moves every row once; only the first row of each range is sent twice.  Returns (range, ahead, doc_id,
-    text) sorted within partitions; ahead marks the copies.
+    One shuffle moves every row once; only the first row of each range is sent twice.  Rows with a null doc_id come last,
+    in the order of their texts' hashes, in ranges of their own.  Returns (range, ahead, doc_id, text) sorted within
+    partitions; ahead marks the copies.
     """
-    ids = docs.select("doc_id").where("doc_id is not null")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    keyed = rows.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
     # More ranges than partitions even out what hashing gives to each.
-    cuts = _split_points(ids, RANGES_EACH * parts)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    array = lambda xs: F.from_json(F.lit(json.dumps(xs)), "array<bigint>")
-    # Two steps find a row's range: every 64th cut, then the 64 from there.
-    placed = rows.withColumn("coarse", array(cuts[::_STEP])).withColumn(
-        "block", F.expr("size(filter(coarse, c -> c <= doc_id))") - 1
-    ).drop("coarse")
-    placed = placed.withColumn("fine", F.slice(array(cuts), F.col("block") * _STEP + 1, F.lit(_STEP)))
-    placed = placed.withColumn("inside", F.expr("size(filter(fine, c -> c <= doc_id))"))
-    placed = placed.withColumn("own", F.col("block") * _STEP + F.col("inside") - 1)
-    first = F.get("fine", F.col("inside") - 1) == F.col("doc_id")
-    before = F.when(first, F.pmod(F.col("own") - 1, F.lit(max(1, len(cuts)))))
+    known = _split_points(docs.where("doc_id is not null").select(F.col("doc_id").alias("key")), RANGES_EACH * parts)
+    lost = _split_points(keyed.where("doc_id is null").select("key"), RANGES_EACH * parts)
+    no_id, key = F.col("doc_id").isNull(), F.col("key")
+    (at, cut), (at_lost, cut_lost) = _place(key, known), _place(key, lost)
+    placed = keyed.withColumn("own", F.when(no_id, len(known) + at_lost).otherwise(at) if lost else at)
+    first = F.when(no_id, cut_lost).otherwise(cut) == key if lost else cut == key
+    before = F.when(first, F.pmod(F.col("own") - 1, F.lit(max(1, len(known) + len(lost)))))
     dealt = placed.select(
         F.explode(
             F.filter(
@@ -115,8 +122,10 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
         ).alias("to"),
         "doc_id",
         "text",
-    ).select("to.range", "to.ahead", "doc_id", "text")
-    return dealt.repartition(parts, "range").sortWithinPartitions("range", "ahead", "doc_id", F.hash("text"))
+        "key",
+    ).select("to.range", "to.ahead", "doc_id", "text", "key")
+    ordered = dealt.repartition(parts, "range").sortWithinPartitions("range", "ahead", "key", F.hash("text"))
+    return ordered.select("range", "ahead", "doc_id", "text")
 
 
 RESULT = (
@@ -128,8 +137,8 @@ RESULT = (
 def edited_fingerprints(docs: DataFrame, parts: int) -> DataFrame:
     """The fingerprint of every text and of its edited text, with their likeness and that to the next document.
 
-    Rows with a null doc_id have no place in the order and are left out; a null text counts as empty; rows that share a
-    doc_id follow one another.  A text without words has an empty fingerprint.  A single document is its own next.
+    Rows with a null doc_id come after all others; a null text counts as empty; rows that share a doc_id follow one
+    another.  A text without words has an empty fingerprint.  A single document is its own next.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,4 +183,4 @@ def edited_fingerprints(docs: DataFrame, parts: int) -> DataFrame:
             columns = zip(*out, strict=True) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
 
-    return with_next(docs, parts).mapInArrow(run, RESULT)
+    return with_next(docs, parts).mapInArrow(tidy(run), RESULT)

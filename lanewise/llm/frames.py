@@ -58,9 +58,3 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
                 pass
 
     return tidied
-
-
-def unreserved(docs: DataFrame, *prefixes: str) -> DataFrame:
-    """docs without columns whose names an operator keeps for itself."""
-    taken = [f for f in docs.columns if f.lower().startswith(prefixes)]
-    return docs.drop(*taken) if taken else docs

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .frames import unreserved
+from .frames import free_prefix, quoted
 from .storage import Scratch
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -19,8 +19,8 @@ TEMPER = 0.5
 #: Share of all tokens to sample, the salt of the draw, the deviation of a marginal that ends the raking.
 BUDGET, SALT, TOLERANCE = 0.5, 97, 1e-6
 PASSES, MAX_ROUNDS = 4, 25
-#: Cells up to which their table is broadcast; larger ones are joined by shuffling.
-BROADCAST_CELLS = 20_000
+#: Cells up to which their table is broadcast; larger ones are joined by shuffling, each cell in so many parts.
+BROADCAST_CELLS, CELL_PARTS = 20_000, 64
 NONE = "(none)"
 TOPICS = ("empty", "table", "shout", "symbols", "figures", "lists", "prose")
 
@@ -45,15 +45,15 @@ def topic(text: Column) -> Column:
     )
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """docs with mix_source, mix_lang, mix_topic and mix_tokens; null sources and languages count as one of their own."""
+def described(docs: DataFrame, p: str = "mix_") -> DataFrame:
+    """docs with <p>source, <p>lang, <p>topic and <p>tokens; null sources and languages count as one of their own."""
     new = {
-        "mix_source": F.coalesce(F.col("source").cast("string"), F.lit(NONE)),
-        "mix_lang": F.coalesce(F.col("lang").cast("string"), F.lit(NONE)),
-        "mix_topic": topic(F.col("text")),
-        "mix_tokens": tokens(F.col("text")),
+        f"{p}source": F.coalesce(F.col("source").cast("string"), F.lit(NONE)),
+        f"{p}lang": F.coalesce(F.col("lang").cast("string"), F.lit(NONE)),
+        f"{p}topic": topic(F.col("text")),
+        f"{p}tokens": tokens(F.col("text")),
     }
-    return unreserved(docs, "mix_").withColumns(new)
+    return docs.withColumns(new)
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch) -> DataFrame:
@@ -116,18 +116,12 @@ def _scale(cells: DataFrame, budget: float) -> float:
         scale = max(0.0, budget - full) / row.rest if scale is None else max(scale, (budget - full) / row.rest)
 
 
-def mixture(docs: DataFrame, scratch: Scratch, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:
-    """docs with mix_topic, mix_tokens, probability (0 to 1) and sampled.
-
-    targets: shares for values of source, lang and topic; a dimension without them is tempered.  budget: the share of
-    all tokens to spend.  A text without words has no tokens and so a probability of 0, as has a cell without a target.
-    The draw hashes doc_id and text, so repeated rows share their luck, and a row's doesn't depend on any other row.
-    """
-    rows = described(docs)
+def _drawn(docs: DataFrame, scratch: Scratch, p: str, targets: dict[str, dict[str, float]] | None, budget: float) -> DataFrame:
+    """docs with <p>topic, <p>tokens, <p>probability and <p>sampled beside columns of their own."""
+    rows = described(docs, p)
     keys = [f"mix_{d}" for d in DIMENSIONS]
-    cells = scratch.keep(
-        rows.select(*keys, "mix_tokens").groupBy(*keys).agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("documents")), "cells"
-    )
+    named = rows.select(*[F.col(f"{p}{d}").alias(f"mix_{d}") for d in (*DIMENSIONS, "tokens")])
+    cells = scratch.keep(named.groupBy(*keys).agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("documents")), "cells")
     spark = docs.sparkSession
     wanted = {
         d: spark.createDataFrame(list(targets[d].items()), "value string, share double") if targets and d in targets else tempered(cells, d)
@@ -137,14 +131,32 @@ def mixture(docs: DataFrame, scratch: Scratch, targets: dict[str, dict[str, floa
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     scale = _scale(fitted, budget * total)
     probability = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("weight") * scale / F.col("tokens"))).otherwise(0.0)
-    table = scratch.keep(fitted.select(*keys, probability.alias("probability")), "probabilities")
+    table = fitted.select(*[F.col(f"mix_{d}").alias(f"{p}{d}") for d in DIMENSIONS], probability.alias(f"{p}probability"))
+    table, on = scratch.keep(table, "probabilities"), [f"{p}{d}" for d in DIMENSIONS]
     if table.count() <= BROADCAST_CELLS:
         table = F.broadcast(table)
-    placed = rows.drop("probability", "sampled").join(table, keys)
+    else:
+        # A cell may hold a third of all rows: its row is repeated for each of its parts.
+        on, part = [*on, f"{p}part"], F.pmod(F.xxhash64("doc_id", "text"), F.lit(CELL_PARTS))
+        rows, table = rows.withColumn(f"{p}part", part), table.withColumn(f"{p}part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(CELL_PARTS - 1).cast("long"))))
     spot = F.shiftrightunsigned(F.xxhash64(F.lit(SALT), "doc_id", "text"), 11) / F.lit(float(1 << 53))
-    return placed.withColumn("sampled", spot < F.col("probability"))
+    return rows.join(table, on).withColumn(f"{p}sampled", spot < F.col(f"{p}probability"))
+
+
+def mixture(docs: DataFrame, scratch: Scratch, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:
+    """docs with mix_topic, mix_tokens, probability (0 to 1) and sampled; columns of these names are replaced.
+
+    targets: shares for values of source, lang and topic; a dimension without them is tempered.  budget: the share of
+    all tokens to spend.  A text without words has no tokens and so a probability of 0, as has a cell without a target.
+    The draw hashes doc_id and text, so repeated rows share their luck, and a row's doesn't depend on any other row.
+    """
+    p = free_prefix(docs, "mix_own_")
+    new = {"mix_topic": "topic", "mix_tokens": "tokens", "probability": "probability", "sampled": "sampled"}
+    kept = [F.col(quoted(c)) for c in docs.columns if c.lower() not in new]
+    return _drawn(docs, scratch, p, targets, budget).select(*kept, *[F.col(f"{p}{v}").alias(k) for k, v in new.items()])
 
 
-def sampled(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
-    """The documents that the mixture draws, with the columns of docs."""
-    return mixture(docs, scratch, **options).where("sampled").select(*[f"`{c}`" for c in docs.columns if not c.lower().startswith("mix_")])
+def sampled(docs: DataFrame, scratch: Scratch, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:
+    """The documents that the mixture draws, with all columns of docs, whatever their names."""
+    p = free_prefix(docs, "mix_own_")
+    return _drawn(docs, scratch, p, targets, budget).where(f"{p}sampled").select(*[quoted(c) for c in docs.columns])

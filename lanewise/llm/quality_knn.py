@@ -1,9 +1,9 @@
 """Quality classifier: nearest-neighbour voting among labelled documents in a latent semantic space.
 
-A text becomes counts of trigrams of character classes and of words equal to the one before, damped and weighted by their rarity among labelled texts, then
-projected on the leading singular directions of the labelled sample.  All labelled vectors are broadcast; every
-document's cosines with all of them are computed exactly, block by block, and the nearest ones vote with weights that
-grow with similarity.
+A text becomes counts of hashed words, of trigrams of character classes, and of words equal to the one before; they are
+damped, weighted by their rarity among labelled texts, and projected on the leading singular directions of the labelled
+sample.  All labelled vectors are broadcast; every document's cosines with all of them are computed exactly, block by
+block, and the nearest ones vote with weights that grow with similarity.
 """
 
 from __future__ import annotations
@@ -16,19 +16,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import adding, restored
-from .samples import bounded
+from .frames import adding, restored, tidy
+from .samples import bounded, one_text
 from .textnum import WordHasher, text_chunks
 
 CLASSES = 16
-#: Class trigrams, and last the words that repeat the word before.
-TERMS = CLASSES**3 + 1
-#: Weight of that last term beside the trigrams.
-REPEAT_WEIGHT = 3
+#: Class trigrams, then the words that repeat the word before, then hashed words.
+SHAPES, WORDS = CLASSES**3 + 1, 4096
+TERMS = SHAPES + WORDS
+#: Weight of the repeats beside the trigrams, and of all words beside all of those.
+REPEAT_WEIGHT, WORD_WEIGHT = 3, 0.5
 #: Directions kept, neighbours that vote, and labelled rows of each label at most (about).
 RANK, NEIGHBOURS, TRAIN_ROWS = 48, 15, 1500
 THRESHOLD = 0.3
-_BLOCK = 512
+_BLOCK = 256
 
 
 def _classes() -> np.ndarray:
@@ -49,6 +50,7 @@ def term_counts(column: pa.Array) -> Iterator[np.ndarray]:
         classes = table[data]
         words, at = hasher.words(data, starts)
         again = np.concatenate([[0], np.cumsum(words[1:] == words[:-1])])
+        columns = (words % np.uint64(WORDS)).astype(np.int64)
         for a in range(lo, hi, _BLOCK):
             rows = range(a, min(hi, a + _BLOCK))
             out = np.zeros((len(rows), TERMS), np.float32)
@@ -59,17 +61,21 @@ def term_counts(column: pa.Array) -> Iterator[np.ndarray]:
                     out[k] = np.bincount((own[:-2] * CLASSES + own[1:-1]) * CLASSES + own[2:], minlength=TERMS)
                 first, end = at[row - lo], at[row - lo + 1]
                 if end > first:
-                    out[k, -1] = again[end - 1] - again[first]
+                    out[k, SHAPES - 1] = again[end - 1] - again[first]
+                    out[k, SHAPES:] = np.bincount(columns[first:end], minlength=WORDS)
             yield out
 
 
-def damped(counts: np.ndarray, rarity: np.ndarray) -> np.ndarray:
-    """Unit rows of log-damped shares, weighted by rarity; a text without terms stays zero."""
-    total = counts.sum(axis=1, keepdims=True)
-    x = counts * (1000 / np.maximum(total, 1))
+def damped(x: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """Counts become, in place, unit rows of log-damped shares, weighted by rarity; words and shapes each have their part.
+    A text without terms stays zero."""
+    for part in (x[:, :SHAPES], x[:, SHAPES:]):
+        part *= 1000 / np.maximum(part.sum(axis=1, keepdims=True), 1)
     np.log1p(x, out=x)
     x *= rarity
-    x[:, -1] *= REPEAT_WEIGHT
+    x[:, SHAPES - 1] *= REPEAT_WEIGHT
+    for part, weight in ((x[:, :SHAPES], 1.0), (x[:, SHAPES:], WORD_WEIGHT)):
+        part *= weight / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     return x
 
@@ -84,30 +90,43 @@ class QualityModel:
     prior: float
 
     def project(self, counts: np.ndarray) -> np.ndarray:
-        x = damped(counts, self.rarity) @ self.directions
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        """Unit rows in the space of the directions."""
+        return unit(damped(counts.copy(), self.rarity) @ self.directions)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
-        """Share of the votes for label 1.  Texts without terms, and all if there is no neighbour, get the prior."""
+        """Share of the votes for label 1.  Texts without terms, and all if there is no neighbour, get the prior.
+
+        Of labelled rows that are equally near at the last place each votes with an equal part of what is left.
+        """
         out = np.full(len(counts), self.prior)
         some = np.flatnonzero(counts.any(axis=1))
         if not len(self.labels) or not len(some):
             return out
-        cosine = self.project(counts[some]) @ self.vectors.T
+        # Rounded, so that neither the order of labelled rows nor a block's size decides.
+        cosine = np.round(self.project(counts[some]) @ self.vectors.T, 5)
         k = min(NEIGHBOURS, len(self.labels))
-        nearest = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, nearest, axis=1), 0) ** 8 + 1e-9
-        weight = weight * self.votes[nearest]
-        out[some] = (weight * self.labels[nearest]).sum(axis=1) / weight.sum(axis=1)
+        last = np.partition(cosine, -k, axis=1)[:, -k, None]
+        nearer, level = cosine > last, cosine == last
+        part = nearer + level * ((k - nearer.sum(axis=1, keepdims=True)) / level.sum(axis=1, keepdims=True))
+        weight = np.maximum(cosine, 0)
+        for _ in range(3):
+            weight *= weight
+        weight = (weight + 1e-9) * part * self.votes
+        out[some] = (weight @ self.labels) / weight.sum(axis=1)
         return np.clip(out, 0, 1)
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> QualityModel:
     """A model from docs(doc_id, text) and labels(doc_id, label) with label 0 or 1.
 
     About `most` labels of each kind are picked before any text is read: a fixed bound for what is broadcast, for the
-    texts that are shuffled, and for what reaches the driver.  Other labels and null ones are left out; a null text
-    counts as empty.
+    texts that are shuffled, and for what reaches the driver.  Other labels and null ones are left out; a label given
+    twice counts once, an id with both labels counts for both; of rows that share a doc_id the one with the least text
+    counts; a null text counts as empty.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,13 +142,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Quality
                 )
                 at += len(block)
 
-    known = labels.where("label in (0, 1) and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label"))
+    known = labels.where("label in (0, 1) and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label")).distinct()
     totals = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     prior = totals.get(1, 0) / sum(totals.values()) if totals else 0.5
     picked = F.broadcast(bounded(known, most, "label"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sample = texts.join(picked, "doc_id").select("doc_id", "text", "label").repartition(8)
-    found = sample.mapInArrow(count, "doc_id long, label int, terms array<int>, counts array<float>").toPandas()
+    sample = one_text(texts.join(picked, "doc_id"), "doc_id", "label").select("doc_id", "text", "label").repartition(8)
+    found = sample.mapInArrow(tidy(count), "doc_id long, label int, terms array<int>, counts array<float>").toPandas()
     found = found.sort_values(["doc_id", "label"], kind="stable").reset_index(drop=True)
     counts = np.zeros((len(found), TERMS), np.float32)
     for k, (terms, values) in enumerate(zip(found.terms, found["counts"], strict=True)):
@@ -137,12 +156,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Quality
     some = counts.any(axis=1)
     counts, labels = counts[some], found.label.to_numpy(np.float32)[some]
     rarity = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
-    x = damped(counts, rarity)
+    x = damped(counts, rarity)  # in place
     directions = leading_directions(x, RANK)
     shares = np.array([totals.get(k, 0) / max(1, (labels == k).sum()) for k in (0, 1)])
     votes = shares[labels.astype(int)] if len(labels) else np.zeros(0)
     model = QualityModel(rarity, directions, np.zeros((0, directions.shape[1]), np.float32), labels, votes, prior)
-    model.vectors = model.project(counts).astype(np.float32) if len(counts) else model.vectors
+    model.vectors = unit(x @ directions).astype(np.float32) if len(x) else model.vectors
     return model
 
 
@@ -157,20 +176,21 @@ def leading_directions(x: np.ndarray, rank: int) -> np.ndarray:
     return right[:good].T.astype(np.float32)
 
 
-def predict(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: QualityModel, text: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
     """All columns of docs, `score` (0 to 1, higher: label 1 likelier) and `predicted` (1 if score >= 0.3, else 0).
 
-    A null text counts as empty; an empty text gets the share of label 1 among all labelled rows.
+    Columns with the names of these two are replaced.  A null text counts as empty; an empty text gets the share of label
+    1 among all labelled rows.  Equal texts have equal scores.
     """
-    docs, names, schema = adding(docs, score="double", predicted="int")
+    docs, names, schema = adding(docs, **{score: "double", predicted: "int"})
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = restored(QualityModel, shared)
         for batch in batches:
             column = batch.column(names.index(text)).fill_null("")
-            score = np.concatenate([model.score(block) for block in term_counts(column)] or [np.zeros(0)])
-            columns = [*batch.columns, pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "score", "predicted"])
+            found = np.concatenate([model.score(block) for block in term_counts(column)] or [np.zeros(0)])
+            columns = [*batch.columns, pa.array(found), pa.array((found >= THRESHOLD).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, [*names, score, predicted])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -12,7 +12,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import unreserved
+from .frames import free_prefix, quoted
 from .storage import Scratch
 
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -29,57 +29,57 @@ RULES = (
 START = ((0.75, 0.02), (0.25, 0.5))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), and what else the rules read."""
+def statistics(docs: DataFrame, p: str) -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), and what else the rules read in columns
+    that begin with p."""
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    docs = docs.drop(*new)
-    names = [f"`{c}`" for c in docs.columns]
-    text = F.col("rule_text")
-    found = docs.withColumn("rule_text", F.coalesce("text", F.lit("")))
+    names = [quoted(c) for c in docs.columns if c.lower() not in new]
+    text = F.col(f"{p}text")
+    found = docs.withColumn(f"{p}text", F.coalesce("text", F.lit("")))
     found = found.withColumns(
         {
-            "rule_words": F.array_remove(F.split(text, SPACE), ""),
-            "rule_lines": F.filter(F.split(text, "\n"), lambda s: s.rlike("[^\\x20\\x09-\\x0D]")),
+            f"{p}words": F.array_remove(F.split(text, SPACE), ""),
+            f"{p}lines": F.filter(F.split(text, "\n"), lambda s: s.rlike("[^\\x20\\x09-\\x0D]")),
         }
     )
-    found = found.withColumn("rule_1", F.transform("rule_words", lambda w: F.xxhash64(w)))
+    found = found.withColumn(f"{p}1", F.transform(f"{p}words", lambda w: F.xxhash64(w)))
     for half in (1, 2, 4):
-        n = F.greatest(F.size(f"rule_{half}") - half, F.lit(0))
-        whole = F.col(f"rule_{half}")
+        n = F.greatest(F.size(f"{p}{half}") - half, F.lit(0))
+        whole = F.col(f"{p}{half}")
         doubled = F.zip_with(F.slice(whole, F.lit(1), n), F.slice(whole, F.lit(1 + half), n), lambda a, b: F.xxhash64(a, b))
-        found = found.withColumn(f"rule_{2 * half}", doubled)
-    windows = F.col("rule_8")
+        found = found.withColumn(f"{p}{2 * half}", doubled)
+    windows = F.col(f"{p}8")
     twice = F.size(F.array_distinct(windows)) < F.size(windows)
     ordered = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    found = found.withColumn("rule_sorted", F.when(twice, ordered))
-    same = lambda k, h: F.coalesce(F.get(F.col("rule_sorted"), k)["h"] == h, F.lit(False))
-    repeated = F.filter("rule_sorted", lambda x, k: F.when(k > 0, same(k - 1, x["h"])).otherwise(False) | same(k + 1, x["h"]))
+    found = found.withColumn(f"{p}sorted", F.when(twice, ordered))
+    same = lambda k, h: F.coalesce(F.get(F.col(f"{p}sorted"), k)["h"] == h, F.lit(False))
+    repeated = F.filter(f"{p}sorted", lambda x, k: F.when(k > 0, same(k - 1, x["h"])).otherwise(False) | same(k + 1, x["h"]))
     starts = F.array_sort(F.transform(repeated, lambda x: x["i"]))
     covered = F.aggregate(
         starts,
         F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")),
         lambda acc, i: F.struct((acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("n"), i.alias("last")),
     )["n"]
-    first = F.col("rule_1")
+    first = F.col(f"{p}1")
     stutter = F.filter(first, lambda h, k: (k > 0) & (h == F.get(first, F.greatest(k - 1, F.lit(0)))))
     return found.select(
         *names,
-        F.size("rule_words").cast("long").alias("n_words"),
-        F.length(F.array_join("rule_words", "")).cast("long").alias("word_chars"),
+        F.size(f"{p}words").cast("long").alias("n_words"),
+        F.length(F.array_join(f"{p}words", "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("rule_lines") - F.size(F.array_distinct("rule_lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(F.when(F.col("rule_sorted").isNotNull(), covered), F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.size("rule_lines").alias("rule_n_lines"),
-        F.regexp_count(text, F.lit("[A-Z]")).alias("rule_capitals"),
-        F.regexp_count(text, F.lit("!")).alias("rule_shouts"),
-        F.size(stutter).alias("rule_stutter"),
-        F.regexp_count(text, F.lit("(?:^|(?<=[\\x20\\x09-\\x0D]))[\\p{L}'-]+[.,;:!?]?(?=[\\x20\\x09-\\x0D]|$)")).alias("rule_plain"),
-        F.regexp_count(text, F.lit("[\\p{L}\\p{N}]")).alias("rule_letters"),
-        F.size(F.array_distinct(first)).alias("rule_distinct"),
+        (F.size(f"{p}lines") - F.size(F.array_distinct(f"{p}lines"))).cast("long").alias("n_dup_lines"),
+        F.coalesce(F.when(F.col(f"{p}sorted").isNotNull(), covered), F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.size(f"{p}lines").alias(f"{p}n_lines"),
+        F.regexp_count(text, F.lit("[A-Z]")).alias(f"{p}capitals"),
+        F.regexp_count(text, F.lit("!")).alias(f"{p}shouts"),
+        F.size(stutter).alias(f"{p}stutter"),
+        F.regexp_count(text, F.lit("(?:^|(?<=[\\x20\\x09-\\x0D]))[\\p{L}'-]+[.,;:!?]?(?=[\\x20\\x09-\\x0D]|$)")).alias(f"{p}plain"),
+        F.regexp_count(text, F.lit("[\\p{L}\\p{N}]")).alias(f"{p}letters"),
+        F.size(F.array_distinct(first)).alias(f"{p}distinct"),
     )
 
 
-def votes() -> list[Column]:
+def votes(p: str) -> list[Column]:
     """1 for good, 0 for bad, null to abstain, in the order of RULES."""
     n, chars = F.col("n_words"), F.col("word_chars")
     per_word = lambda c: F.try_divide(F.col(c), n)
@@ -89,14 +89,14 @@ def votes() -> list[Column]:
         F.when(n >= 40, 1).when(n < 20, 0),
         two_sided(per_word("n_symbols"), 0.02, 0.1),
         F.when(length.between(3, 9), 1).when((length < 2) | (length > 14), 0),
-        two_sided(F.try_divide("n_dup_lines", F.col("rule_n_lines")), 0.1, 0.4),
+        two_sided(F.try_divide("n_dup_lines", F.col(f"{p}n_lines")), 0.1, 0.4),
         two_sided(per_word("n_repeat_words"), 0.05, 0.3),
-        two_sided(F.try_divide("rule_capitals", chars), 0.2, 0.5),
-        two_sided(per_word("rule_stutter"), 0.05, 0.2),
-        two_sided(per_word("rule_shouts"), 0.05, 0.2),
-        two_sided(1 - per_word("rule_plain"), 0.1, 0.3),
-        two_sided(1 - F.try_divide("rule_letters", chars), 0.05, 0.12),
-        F.when((n >= 40) & (per_word("rule_distinct") < 0.3), 0).when(per_word("rule_distinct") >= 0.4, 1),
+        two_sided(F.try_divide(f"{p}capitals", chars), 0.2, 0.5),
+        two_sided(per_word(f"{p}stutter"), 0.05, 0.2),
+        two_sided(per_word(f"{p}shouts"), 0.05, 0.2),
+        two_sided(1 - per_word(f"{p}plain"), 0.1, 0.3),
+        two_sided(1 - F.try_divide(f"{p}letters", chars), 0.05, 0.12),
+        F.when((n >= 40) & (per_word(f"{p}distinct") < 0.3), 0).when(per_word(f"{p}distinct") >= 0.4, 1),
     ]
 
 
@@ -118,12 +118,11 @@ def _leaning(good: list[float], bad: list[float]) -> tuple:
     return (a, b), (c, d)
 
 
-def fit(voted: DataFrame, scratch: Scratch) -> tuple[list, float]:
-    """Chances of each rule's votes and the share of good documents, from frames with the columns vote_<rule>.
+def fit(voted: DataFrame, names: list[str], scratch: Scratch) -> tuple[list, float]:
+    """Chances of each rule's votes and the share of good documents, from the columns that hold the votes.
 
     The table of patterns has at most 3**11 rows, whatever the input; each round sums over it and sends one row.
     """
-    names = [f"vote_{r}" for r in RULES]
     patterns = scratch.keep(voted.groupBy(*names).agg(F.count("*").alias("n")), "patterns")
     columns, trust, prior = [F.col(c) for c in names], [START] * len(RULES), PRIOR_GOOD
     for _ in range(ROUNDS):
@@ -149,18 +148,17 @@ def judge(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     A null text counts as empty: it has no word and so fails.  base_failed: fewer than 20 words, or more than 30 % of
     them in repeated windows; such documents are never kept, others if the posterior reaches KEEP_FROM.  Columns of docs
-    that begin with rule_ or vote_ are left out; those named as results are replaced.
+    that are named as results are replaced, all others stay.  Equal texts have equal results.
     """
-    docs = unreserved(docs.drop("base_failed", "probability_good", "kept"), "rule_", "vote_")
-    text = docs.select("text").columns  # the text itself isn't written
-    stats = statistics(docs)
-    marks = {f"vote_{r}": v for r, v in zip(RULES, votes(), strict=True)}
-    kept = [f"`{c}`" for c in docs.columns if c not in (*text, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    # Statistics are computed once; what is written has the columns that the caller passed.
-    voted = scratch.keep(stats.withColumns(marks).select(*kept, *own, *marks), "voted")
-    trust, prior = fit(voted, scratch)
+    p, taken = free_prefix(docs, "rule_"), {"text", *own, "base_failed", "probability_good", "kept"}
+    kept = [quoted(c) for c in docs.columns if c.lower() not in taken]
+    marks = [f"{p}vote_{r}" for r in RULES]
+    # Statistics are computed once; the text itself isn't written.
+    voted = scratch.keep(statistics(docs, p).withColumns(dict(zip(marks, votes(p), strict=True))).select(*kept, *own, *marks), "voted")
+    trust, prior = fit(voted, marks, scratch)
     good = 1 / (1 + F.exp(-_log_odds([F.col(c) for c in marks], trust, prior)))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    out = voted.withColumns({"base_failed": failed, "probability_good": good})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("probability_good") >= KEEP_FROM)).drop(*marks)
+    keeps = ~F.col("base_failed") & (F.col("probability_good") >= KEEP_FROM)
+    out = voted.withColumns({"base_failed": failed, "probability_good": good}).withColumn("kept", keeps)
+    return out.select(*kept, *own, "base_failed", "probability_good", "kept")

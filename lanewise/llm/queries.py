@@ -47,7 +47,7 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", _held_out(4, 2))
-    model = language.train(docs.where("not held_out"))
+    model = language.train(docs.where("not held_out and doc_id is not null"))
     return language.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
@@ -68,7 +68,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", _held_out(5, 0))
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"), _held_out(5, 0))
-    model = quality_knn.train(docs, labels.where("not held_out"))
+    model = quality_knn.train(docs, labels.where("not held_out and doc_id is not null"))
     return quality_knn.predict(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 

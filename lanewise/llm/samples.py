@@ -12,10 +12,16 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def bounded(rows: DataFrame, most: int, *by: str) -> DataFrame:
-    """About `most` rows of each value of `by`, at the most 1.3 times as many but for a chance of almost nothing: those
-    whose hashed doc_id is lowest.  One count of the columns `by` sets the share; it reads no text."""
-    counts = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    """About `most` ids of each value of `by`, at the most 1.3 times as many but for a chance of almost nothing: those
+    whose hashed doc_id is lowest, with all their rows.  Rows without a doc_id are left out.  Counting reads no text."""
+    known = rows.where("doc_id is not null")
+    counts = known.select("doc_id", *by).distinct().groupBy(*by).agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), F.lit(float(most)) / F.col("n"))
     spot = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1 << 30)) / float(1 << 30)
     # The counts have one row for each class.
-    return rows.join(F.broadcast(counts.withColumn("share", share)), list(by)).where(spot < F.col("share")).drop("n", "share")
+    return known.join(F.broadcast(counts.withColumn("share", share)), list(by)).where(spot < F.col("share")).drop("n", "share")
+
+
+def one_text(rows: DataFrame, *by: str) -> DataFrame:
+    """One row for each value of `by`, with the least of its texts: ids that repeat don't widen a sample."""
+    return rows.groupBy(*by).agg(F.min("text").alias("text"))

@@ -13,19 +13,30 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import adding
+from .frames import adding, free_prefix, quoted
 
-#: A prime; the table has as many rows whatever the input, under 1 MB, and is broadcast.
-SLOTS = 65_537
-#: Shards at most, so that each holds 64 slots or more.
-MAX_SHARDS = SLOTS // 64
+#: A prime; the table has as many rows whatever the input, under 1 MB, and is broadcast.  Beyond 1024 shards it grows with
+#: them, so that each holds 64 slots or more.
+SLOTS, LEAST_EACH = 65_537, 64
 
 
 def _hash(name: str, salt: str) -> int:
     return int.from_bytes(hashlib.md5(f"{salt}:{name}".encode()).digest()[:8], "big")
 
 
-def lookup_table(shards: list[str], weights: list[int] | None = None, slots: int = SLOTS) -> np.ndarray:
+def _is_prime(n: int) -> bool:
+    return n > 2 and all(n % k for k in range(2, int(n**0.5) + 1))
+
+
+def slots_for(shards: int) -> int:
+    """SLOTS, or the first prime that gives each shard LEAST_EACH slots."""
+    n = max(SLOTS, LEAST_EACH * shards)
+    while not _is_prime(n):
+        n += 1
+    return n
+
+
+def lookup_table(shards: list[str], weights: list[int] | None = None, slots: int | None = None) -> np.ndarray:
     """The shard's index for each slot.  weights: turns of each shard in a round, 1 or more; all 1 if None.
 
     The k-th choice of a shard is (offset + k * skip) mod slots, both hashed from its name; slots must be prime, so
@@ -33,9 +44,8 @@ def lookup_table(shards: list[str], weights: list[int] | None = None, slots: int
     """
     if not shards or len(set(shards)) != len(shards):
         raise ValueError("shards need names, each once")
-    if len(shards) > max(1, slots // 64) and slots == SLOTS:
-        raise ValueError(f"at most {MAX_SHARDS} shards")
-    if slots < 3 or any(slots % k == 0 for k in range(2, int(slots**0.5) + 1)):
+    slots = slots or slots_for(len(shards))
+    if not _is_prime(slots):
         raise ValueError("the number of slots must be a prime over 2")
     turns = weights or [1] * len(shards)
     if len(turns) != len(shards) or min(turns) < 1:
@@ -73,12 +83,13 @@ def assign(docs: DataFrame, shards: list[str], weights: list[int] | None = None,
     Rows with equal keys share a shard.  A key that many rows share should be split first; doc_id is not such a key.
     """
     docs, names, _ = adding(docs, slot="int", shard="string")
-    placed = docs.withColumn("slot", slot(F.col(key)))
-    return placed.join(F.broadcast(table_frame(docs.sparkSession, shards, weights)), "slot").select(*names, "slot", "shard")
+    placed = docs.withColumn("slot", slot(F.col(quoted(key)), slots_for(len(shards))))
+    return placed.join(F.broadcast(table_frame(docs.sparkSession, shards, weights)), "slot").select(*map(quoted, names), "slot", "shard")
 
 
 def write_shards(docs: DataFrame, path: str, shards: list[str], weights: list[int] | None = None, files: int = 4) -> None:
     """Writes docs as Parquet partitioned by shard, about `files` files for each."""
     placed = assign(docs, shards, weights)
+    spot = free_prefix(placed, "part")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(files))
-    placed.withColumn("part", part).repartition(len(shards) * files, "shard", "part").drop("part", "slot").write.partitionBy("shard").parquet(path)
+    placed.withColumn(spot, part).repartition(len(shards) * files, "shard", spot).drop(spot, "slot").write.partitionBy("shard").parquet(path)

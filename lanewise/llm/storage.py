@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
 import uuid
@@ -25,11 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written tables of one run.  They outlive lost executors; drop() removes those that are no longer read."""
+    """Written tables of one run.  They outlive lost executors; drop() removes those that are no longer read, and what a
+    result is still read from goes when the driver ends."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        atexit.register(self._remove)
+
+    def _remove(self) -> None:
+        if self.spark.sparkContext._jsc is not None:
+            self.drop("")
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write df once and read it back, so that later steps neither recompute it nor carry its plan."""
@@ -40,7 +47,7 @@ class Scratch:
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def sweep(self, *names: str) -> None:

@@ -613,7 +613,9 @@ def test_sharding(spark):
         digest = int(hashlib.md5(("" if r.doc_id is None else str(r.doc_id)).encode()).hexdigest()[:15], 16)
         assert r.slot == digest % sharding.SLOTS and r.shard == names[full[r.slot]]
     assert len(found) == 3002 and sharding.assign(docs.limit(0), names).count() == 0
-    for bad in ([], ["a", "a"], [f"x{k}" for k in range(5000)]):
+    many = collections.Counter(sharding.lookup_table([f"x{k}" for k in range(5000)]).tolist())
+    assert len(many) == 5000 and min(many.values()) >= 64
+    for bad in ([], ["a", "a"]):
         with pytest.raises(ValueError):
             sharding.lookup_table(bad)
 
