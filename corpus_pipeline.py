@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise.llm import mixing, near_dup, pieces, quality_knn, secrets
+from lanewise.llm.frames import free_prefix, quoted
 from lanewise.llm.queries import PIECE_MODEL
 from lanewise.llm.samples import fold
 from lanewise.llm.storage import Scratch
@@ -19,8 +20,9 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Documents that the quality classifier accepts.  It learns from the labels of four folds of five."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
     model = quality_knn.train(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
-    judged = quality_knn.predict(docs, model)
-    return judged.where("predicted = 1").select(docs.columns)
+    p = free_prefix(docs, "quality_")
+    judged = quality_knn.predict(docs, model, score=f"{p}score", predicted=f"{p}predicted")
+    return judged.where(f"{p}predicted = 1").select(*map(quoted, docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
