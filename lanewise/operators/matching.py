@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -63,13 +65,12 @@ def one_to_one(pairs: DataFrame, left: str, right: str, rank: list[str], keep) -
         ).where("_o = _l and _o = _r").drop("_l", "_r")
         first = keep(first, f"taken-{k}")
         taken.append(first)
+        if len(taken) == 8:  # one table again, so that the plan doesn't grow with the rounds
+            taken = [keep(reduce(DataFrame.unionByName, taken), f"taken-to-{k}")]
         rest = keep(
             rest.join(first.select(left), left, "left_anti").join(first.select(right), right, "left_anti"), f"pairs-{k}"
         )
-    found = pairs.limit(0)
-    for part in taken:
-        found = found.unionByName(part.drop("_o"))
-    return found
+    return reduce(DataFrame.unionByName, taken, pairs.limit(0).withColumn("_o", order)).drop("_o")
 
 
 def by_equal_plate(audit: DataFrame, events: DataFrame, left: str, right: str, a: str, b: str, order_a: str, order_b: str) -> DataFrame:
@@ -92,9 +93,12 @@ def cross_validated(audit: DataFrame, events: DataFrame, width: float) -> DataFr
     near = near.groupBy("audit_idx").agg(
         F.min(F.when(same, F.col("evt_idx"))).alias("both"), F.min("evt_idx").alias("time")
     )
+    # Plates repeat: each meets the others once, with the last event that bears it.
     keyed = lambda side, plate: side.where(F.col(plate).isNotNull()).withColumn("key", F.explode(_plate_keys(F.upper(F.trim(F.col(plate))))))
-    pairs = keyed(audit.select("audit_idx", "audit_plate"), "audit_plate").join(keyed(events.select("evt_idx", "event_plate"), "event_plate"), "key")
-    alike = pairs.where(same).groupBy("audit_idx").agg(F.max("evt_idx").alias("plate"))
+    last = events.groupBy("event_plate").agg(F.max("evt_idx").alias("evt_idx"))
+    pairs = keyed(audit.select("audit_plate").distinct(), "audit_plate").join(keyed(last, "event_plate"), "key")
+    plate = pairs.where(same).groupBy("audit_plate").agg(F.max("evt_idx").alias("plate"))
+    alike = audit.select("audit_idx", "audit_plate").join(plate, "audit_plate").select("audit_idx", "plate")
     found = audit.select("audit_idx").join(near, "audit_idx", "left").join(alike, "audit_idx", "left")
     return found.select(
         "audit_idx",
@@ -123,21 +127,34 @@ def in_windows(points: DataFrame, windows: DataFrame, at: str, tolerance: float,
     """
     size = longest + 2 * tolerance
     low, high = F.col("win_start") - tolerance, F.col("win_end") + tolerance
-    placed = windows.withColumn("_k", F.explode(F.sequence(F.floor(low / size), F.floor(high / size))))
-    pairs = points.withColumn("_k", F.floor(F.col(at) / size)).join(placed, "_k").where(F.col(at).between(low, high))
-    first = pairs.groupBy(*points.columns).agg(F.min("win_idx").alias("win_idx"))
-    return points.join(first, points.columns, "left")
+    placed = windows.select(
+        "win_idx", low.alias("_low"), high.alias("_high"), F.explode(F.sequence(F.floor(low / size), F.floor(high / size))).alias("_k")
+    )
+    # Times decide, so each time is looked up once; a time's row may be null in any column.
+    times = points.select(F.col(at).alias("_at")).where(F.col(at).isNotNull()).distinct()
+    pairs = times.withColumn("_k", F.floor(F.col("_at") / size)).join(placed, "_k").where(F.col("_at").between(F.col("_low"), F.col("_high")))
+    first = pairs.groupBy("_at").agg(F.min("win_idx").alias("win_idx"))
+    return points.join(first, F.col(at) == F.col("_at"), "left").drop("_at")
 
 
 def evaluated(detections: DataFrame, truth: DataFrame, width: float = 25.0) -> DataFrame:
     """(video, det_idx, gt_idx, dt): detections in the order of time each take the nearest free record of their video,
     closer than the width; the earlier record wins ties.
 
-    The order of detections decides, not the distance, so a video is folded as one array; videos are independent, and a
-    video's records are what people entered for it.
+    The order of detections decides, not the distance, so what depends on each other is folded as one array: a video's
+    detections and records up to the next pause of the width, over which no two can meet.
     """
-    d = detections.groupBy("video").agg(F.sort_array(F.collect_list(F.struct("det_s", "det_idx"))).alias("d"))
-    t = truth.groupBy("video").agg(F.sort_array(F.collect_list(F.struct("gt_idx", "gt_s"))).alias("t"))
+    both = detections.select("video", F.col("det_s").alias("_s"), "det_idx", F.lit(None).cast("bigint").alias("gt_idx")).unionByName(
+        truth.select("video", F.col("gt_s").alias("_s"), F.lit(None).cast("bigint").alias("det_idx"), "gt_idx")
+    )
+    w = Window.partitionBy("video").orderBy("_s")
+    pause = F.coalesce(F.col("_s") - F.lag("_s").over(w) >= width, F.lit(True))
+    placed = both.withColumn("_pause", pause.cast("int")).withColumn("_part", F.sum("_pause").over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    of = lambda what, key, *c: F.sort_array(F.collect_list(F.when(F.col(what).isNotNull(), F.struct(*c)))).alias(key)
+    s = F.col("_s")
+    parts = placed.groupBy("video", "_part").agg(
+        of("det_idx", "d", s.alias("det_s"), F.col("det_idx")), of("gt_idx", "t", F.col("gt_idx"), s.alias("gt_s"))
+    ).where((F.size("d") > 0) & (F.size("t") > 0))
     best = lambda acc, x: F.array_min(
         F.transform(
             F.filter(acc["free"], lambda g: F.abs(g["gt_s"] - x["det_s"]) < width),
@@ -156,7 +173,7 @@ def evaluated(detections: DataFrame, truth: DataFrame, width: float = 25.0) -> D
             F.when(b.isNull(), acc["found"]).otherwise(F.array_append(acc["found"], hit)).alias("found"),
         )
 
-    return d.join(t, "video").select("video", F.explode(F.aggregate("d", start, take)["found"]).alias("m")).select("video", "m.*")
+    return parts.select("video", F.explode(F.aggregate("d", start, take)["found"]).alias("m")).select("video", "m.*")
 
 
 def metrics(truth: DataFrame, detections: DataFrame, matches: DataFrame) -> DataFrame:

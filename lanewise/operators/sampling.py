@@ -71,19 +71,25 @@ def suppressed(boxes: DataFrame, frame: str = "frame_id", limit: float = 0.45) -
     return out.select(*[F.col(c) if c == frame else F.col(f"_k.{c}").alias(c) for c in boxes.columns])
 
 
-def associated(boxes: DataFrame, clip: str = "clip_id", high: float = 0.20, low: float = 0.1, match: float = 0.35, lost: int = 60) -> DataFrame:
+def associated(
+    boxes: DataFrame, clip: str = "clip_id", high: float = 0.20, low: float = 0.1, match: float = 0.35, lost: int = 60,
+    fps: float = DEFAULT.active_fps,
+) -> DataFrame:
     """boxes(clip, frame_idx, det_idx, x1, y1, x2, y2, conf) with track_id, null for boxes of no track.
 
-    Two-round association in the manner of ByteTrack (arXiv 2110.06864): confident boxes meet tracks first, weak boxes
-    those that are left, each round by greatest overlap first; unmatched confident boxes begin tracks; a track that is
-    lost for too many frames ends.  Positions move on at constant speed.  Sequential within a clip.
+    Two-round association in the manner of ByteTrack (arXiv 2110.06864): confident boxes meet tracks first, where overlap
+    times confidence is 1 - match or more; weak boxes those that are left, where the overlap is a half or more; each round
+    by the greatest value first.  Unmatched boxes that are 0.1 more confident than `high` begin tracks.  A track ends when
+    it is lost for more frames than `lost`, which counts at 30 frames a second.  Positions move on at constant speed.
+    Sequential within a clip.
     """
+    longest = int(fps / 30.0 * lost)
 
-    def pairs(tracks: list, found: np.ndarray, least: float) -> list[tuple[int, int]]:
+    def pairs(tracks: list, found: np.ndarray, least: float, trust: np.ndarray) -> list[tuple[int, int]]:
         if not len(tracks) or not len(found):
             return []
         ahead = np.stack([t["box"] + t["speed"] for t in tracks])
-        scores = _overlaps(ahead[:, None, :], found[None, :, :])
+        scores = _overlaps(ahead[:, None, :], found[None, :, :]) * trust
         near = np.argwhere(scores >= least)
         out, rows, cols = [], set(), set()
         for r, c in near[np.argsort(-scores[near[:, 0], near[:, 1]], kind="stable")].tolist():
@@ -98,11 +104,11 @@ def associated(boxes: DataFrame, clip: str = "clip_id", high: float = 0.20, low:
         corners, conf = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf.conf.to_numpy(float)
         ids, tracks, made = np.zeros(len(pdf), np.int64), [], 0
         for frame, rows in pdf.groupby("frame_idx", sort=True).indices.items():
-            tracks = [t for t in tracks if frame - t["seen"] <= lost]
+            tracks = [t for t in tracks if frame - t["seen"] <= longest]
             free = list(tracks)
             for strong in (True, False):
                 own = rows[conf[rows] >= high] if strong else rows[(conf[rows] < high) & (conf[rows] >= low)]
-                met = pairs(free, corners[own], 1 - 0.8 if strong else match)
+                met = pairs(free, corners[own], 1 - match if strong else 0.5, conf[own] if strong else np.ones(len(own)))
                 for r, c in met:
                     t, k = free[r], own[c]
                     step = max(1, frame - t["seen"])
@@ -112,7 +118,7 @@ def associated(boxes: DataFrame, clip: str = "clip_id", high: float = 0.20, low:
                 free = [t for r, t in enumerate(free) if r not in taken]
                 if strong:
                     for k in own:
-                        if not ids[k]:
+                        if not ids[k] and conf[k] >= high + 0.1:
                             made += 1
                             ids[k] = made
                             tracks.append({"id": made, "box": corners[k], "speed": np.zeros(4), "seen": frame})

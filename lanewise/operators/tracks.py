@@ -107,36 +107,70 @@ def late_emission(segmented: DataFrame, by: list[str], order: list[str], s: Sett
 _LARGE, _SMALL = {"truck", "bus", "car"}, {"motorcycle", "person"}
 
 
-def stitched(points: DataFrame, clip: str = "clip_id", s: Settings = DEFAULT) -> DataFrame:
-    """points(clip, track_id, t_s, x, y, vehicle_class) with root_id: the first id of the chain that a track continues.
-
-    A new id continues the nearest track that was last seen 0.05 to 3 s ago, of a class that fits, within 450 pixels;
-    of equally near ones the one that has waited longest in the order of creation.  The order of frames matters, so a
-    clip is folded in one task; clips are independent.
+class _Live:
+    """A living track of the fold: where it was last, and its crossing as crossings() defines it."""
+
+    __slots__ = ("x", "y", "t", "kind", "root", "began", "n", "side", "crossed", "crossed_at", "settled", "emitted")
+
+    def __init__(self, t: float, kind: str, root: int):
+        self.t, self.kind, self.root, self.began = t, kind, root, t
+        self.x = self.y = self.side = self.crossed = self.crossed_at = None
+        self.n, self.settled, self.emitted = 0, False, False
+
+    def move(self, t: float, x: float, y: float, s: Settings) -> None:
+        (x1, y1), (x2, y2) = s.line
+        cross = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
+        side, far = cross >= 0, abs(cross) / ((x2 - x1) ** 2 + (y2 - y1) ** 2) ** 0.5 > s.commit_distance
+        if self.crossed is None:
+            if self.n and (side != self.side or geo.segments_meet((self.x, self.y), (x, y), *s.line)):
+                self.crossed, self.crossed_at = self.n, t
+        elif far or self.n >= s.commit_points - 1:
+            self.settled = True
+        self.x, self.y, self.t, self.side, self.n = x, y, t, side, self.n + 1
+
+
+def stitched(points: DataFrame, clip: str = "clip_id", s: Settings = DEFAULT, frames: DataFrame | None = None) -> DataFrame:
+    """points(clip, track_id, t_s, x, y, vehicle_class) with root_id and root_s: the first id of the chain that a track
+    continues and the time at which the chain began, which together name it.
+
+    A new id continues the nearest track that was last seen 0.05 to 3 s ago, of a class that fits, within 450 pixels, and
+    that hasn't been emitted; of equally near ones the one that has waited longest in the order of creation.  After each
+    frame tracks whose crossing is settled and whose window after it is over count as emitted, and tracks that have been
+    unseen for more than the idle limit end; an id that comes back later begins a chain of its own.  frames(clip, t_s)
+    are the analysed frames; without them those with points count.  The order of frames matters, so a clip is folded in
+    one task; clips are independent, and what is searched are the living tracks.
     """
     gap_low, gap_high = s.stitch_gap
+    names = points.columns
+    if frames is not None:
+        points = points.unionByName(frames.select(clip, F.col("t_s").cast(points.schema["t_s"].dataType)), allowMissingColumns=True)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t_s", "track_id"], kind="stable")
-        live: dict[int, list] = {}  # id: [x, y, last time, class, root]
-        roots = np.empty(len(pdf), np.int64)
-        for k, (i, t, x, y, kind) in enumerate(zip(pdf.track_id, pdf.t_s, pdf.x, pdf.y, pdf.vehicle_class, strict=True)):
-            if i not in live:
-                best, near = None, s.stitch_distance
-                for j, (ox, oy, last, other, _) in live.items():
-                    fits = other == kind or {other, kind} <= _LARGE or {other, kind} <= _SMALL
-                    if fits and gap_low <= t - last <= gap_high and (d := float(np.hypot(x - ox, y - oy))) < near:
-                        best, near = j, d
-                if best is None:
-                    live[i] = [x, y, t, kind, i]
-                else:
-                    old = live.pop(best)
-                    live[i] = [x, y, t, kind if kind != "vehicle" else old[3], old[4]]
-            live[i][:3] = x, y, t
-            roots[k] = live[i][4]
-            if k % 4096 == 4095:  # what can't be continued any more needn't be searched
-                live = {j: v for j, v in live.items() if t - v[2] <= max(gap_high, s.idle_seconds)}
-        return pdf.assign(root_id=roots)
-
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in points.schema.fields)}, root_id bigint"
+        pdf = pdf.sort_values(["t_s", "track_id", "x", "y"], kind="stable", na_position="first")
+        live: dict[int, _Live] = {}
+        roots, began = np.zeros(len(pdf), np.int64), np.zeros(len(pdf))
+        times = pdf.t_s.to_numpy(float)
+        for k, (i, t, x, y, kind) in enumerate(zip(pdf.track_id, times, pdf.x, pdf.y, pdf.vehicle_class, strict=True)):
+            if not pd.isna(i):
+                i = int(i)
+                if i not in live:
+                    best, near = None, s.stitch_distance
+                    for j, old in live.items():
+                        fits = old.kind == kind or {old.kind, kind} <= _LARGE or {old.kind, kind} <= _SMALL
+                        if not old.emitted and fits and gap_low <= t - old.t <= gap_high and (d := float(np.hypot(x - old.x, y - old.y))) < near:
+                            best, near = j, d
+                    if best is None:
+                        live[i] = _Live(t, kind, i)
+                    else:
+                        live[i] = live.pop(best)
+                        live[i].kind = kind if kind != "vehicle" else live[i].kind
+                live[i].move(t, x, y, s)
+                roots[k], began[k] = live[i].root, live[i].began
+            if k + 1 == len(times) or times[k + 1] != t:  # the frame is over
+                for track in live.values():
+                    track.emitted |= track.settled and t >= track.crossed_at + s.post_window_seconds
+                live = {j: v for j, v in live.items() if t - v.t <= s.idle_seconds}
+        return pdf.assign(root_id=roots, root_s=began)[pdf.track_id.notna()][[*names, "root_id", "root_s"]]
+
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in points.select(names).schema.fields)}, root_id bigint, root_s double"
     return points.groupBy(clip).applyInPandas(fold, schema)

@@ -291,10 +291,12 @@ ORACLES = {
         "audit", then=AUDIT_EVENTS),
     "audit_crossvalidate": rel(
         """SELECT audit_idx, coalesce(both_, plate_, time_) AS evt_idx, CASE WHEN both_ IS NOT NULL THEN 'PLACA_Y_HORA (EXACTO)' WHEN plate_ IS NOT NULL THEN 'SOLO_PLACA' WHEN time_ IS NOT NULL THEN 'SOLO_HORA' END AS "match"
-           FROM (SELECT audit_idx, min(CASE WHEN same AND near THEN evt_idx END) AS both_, max(CASE WHEN same THEN evt_idx END) AS plate_, min(CASE WHEN near THEN evt_idx END) AS time_ FROM (
-             SELECT audit_idx, evt_idx, abs(audit_s - event_s) <= 20 AS near, """ + _SAME + """ AS same
-             FROM (SELECT *, upper(trim(audit_plate)) AS a, upper(trim(event_plate)) AS b FROM audit, ae)) GROUP BY audit_idx)""",
-        "audit", then=AUDIT_EVENTS),
+           FROM audit LEFT JOIN near USING (audit_idx) LEFT JOIN alike USING (audit_plate)""",
+        "audit", then=AUDIT_EVENTS + ", alike AS (SELECT audit_plate, max(last_) AS plate_ FROM (SELECT audit_plate, last_, " + _SAME + """ AS same
+             FROM (SELECT audit_plate, last_, upper(trim(audit_plate)) AS a, upper(trim(event_plate)) AS b
+               FROM (SELECT DISTINCT audit_plate FROM audit), (SELECT event_plate, max(evt_idx) AS last_ FROM ae GROUP BY event_plate))) WHERE same GROUP BY audit_plate),
+           near AS (SELECT audit_idx, min(evt_idx) AS time_, min(CASE WHEN same THEN evt_idx END) AS both_ FROM (SELECT audit_idx, evt_idx, """ + _SAME + """ AS same
+             FROM (SELECT audit_idx, evt_idx, upper(trim(audit_plate)) AS a, upper(trim(event_plate)) AS b FROM audit JOIN ae ON event_s BETWEEN audit_s - 21 AND audit_s + 21 AND abs(audit_s - event_s) <= 20)) GROUP BY audit_idx)"""),
     "fuzzy_plate_equality": rel(f"SELECT audit_idx, evt_idx, {_SAME} AS same FROM (SELECT *, upper(trim(audit_plate)) AS a, upper(trim(event_plate)) AS b FROM audit JOIN ae ON abs(audit_s - event_s) <= 60)", "audit", then=AUDIT_EVENTS),
     "clip_windows": rel(
         """SELECT audit_idx, min(win_idx) AS win_idx FROM audit LEFT JOIN (SELECT i AS win_idx, i * 325.0::DOUBLE AS s, i * 325.0::DOUBLE + 330.0::DOUBLE AS e
@@ -376,3 +378,105 @@ ORACLES = {
     "checkpoint_antijoin": rel("SELECT clip_id, run_id FROM clips WHERE NOT (status = 'COMPLETED' AND clip_no % 5 <> 0)", "clips"),
     "event_filter": rel("SELECT event_id, event_timestamp FROM store_events WHERE processing_run_id = 'RUN_3' AND duplicate_of IS NULL", "store_events"),
 }
+
+
+# Sequential operators: one recursion step for each row of a clip or track, all clips or tracks at once ------------------
+
+_LIVE = "STRUCT(id BIGINT, x DOUBLE, y DOUBLE, t DOUBLE, kind VARCHAR, root BIGINT, began DOUBLE)[]"
+_FITS = """l.kind = p.kind OR (l.kind IN ('truck', 'bus', 'car') AND p.kind IN ('truck', 'bus', 'car'))
+           OR (l.kind IN ('motorcycle', 'person') AND p.kind IN ('motorcycle', 'person'))"""
+ORACLES["stitch_tracks"] = rel(
+    "SELECT clip_id, root_id, round(root_s, 6) AS root_s, count(*) AS n, count(DISTINCT track_id) AS ids FROM roots GROUP BY clip_id, root_id, root_s",
+    "points",
+    recursive=True,
+    then=f"""
+    ordered AS MATERIALIZED (
+      SELECT clip_id, id, t_s, x, y, kind, row_number() OVER w AS k, coalesce(lead(t_s) OVER w <> t_s, true) AS ends
+      FROM (SELECT *, track_id * 2 + event_id % 2 AS id, vehicle_class AS kind FROM points)
+      WINDOW w AS (PARTITION BY clip_id ORDER BY t_s, id, x, y)),
+    walk AS (
+      SELECT clip_id, 0::BIGINT AS k, []::{_LIVE} AS live, NULL::BIGINT AS id, NULL::BIGINT AS root, NULL::DOUBLE AS began
+      FROM (SELECT DISTINCT clip_id FROM ordered)
+      UNION ALL
+      SELECT clip_id, k, list_filter(after, lambda l: NOT ends OR t_s - l.t <= 3600.0::DOUBLE), id,
+             list_filter(after, lambda l: l.id = p_id)[1].root, list_filter(after, lambda l: l.id = p_id)[1].began
+      FROM (
+        SELECT *, id AS p_id, CASE
+          WHEN known THEN list_transform(live, lambda l: CASE WHEN l.id = id THEN {{'id': l.id, 'x': x, 'y': y, 't': t_s, 'kind': l.kind, 'root': l.root, 'began': l.began}} ELSE l END)
+          WHEN best IS NULL THEN list_append(live, {{'id': id, 'x': x, 'y': y, 't': t_s, 'kind': kind, 'root': id, 'began': t_s}})
+          ELSE list_append(list_filter(live, lambda l: l.id <> best.id),
+                 {{'id': id, 'x': x, 'y': y, 't': t_s, 'kind': CASE WHEN kind <> 'vehicle' THEN kind ELSE best.kind END, 'root': best.root, 'began': best.began}}) END AS after
+        FROM (
+          SELECT w.clip_id, p.k, w.live, p.id, p.t_s, p.x, p.y, p.kind, p.ends, len(list_filter(w.live, lambda l: l.id = p.id)) > 0 AS known,
+                 list_sort(list_transform(list_filter(list_zip(w.live, range(1, len(w.live) + 1)),
+                     lambda z: (z[1].kind = p.kind OR (z[1].kind IN ('truck', 'bus', 'car') AND p.kind IN ('truck', 'bus', 'car')))
+                               AND p.t_s - z[1].t BETWEEN 0.05::DOUBLE AND 3600.0::DOUBLE AND sqrt((p.x - z[1].x) ** 2 + (p.y - z[1].y) ** 2) < 450),
+                   lambda z: {{'d': sqrt((p.x - z[1].x) ** 2 + (p.y - z[1].y) ** 2), 'at': z[2], 'l': z[1]}}))[1].l AS best
+          FROM walk w JOIN ordered p ON p.clip_id = w.clip_id AND p.k = w.k + 1))),
+    roots AS (SELECT clip_id, id AS track_id, root AS root_id, began AS root_s FROM walk WHERE k > 0)""",
+)
+
+ORACLES["adaptive_sampling"] = rel(
+    "SELECT clip_id, state, run, count(*) AS n FROM walk WHERE k > 0 GROUP BY clip_id, state, run",
+    "points",
+    recursive=True,
+    then=f"""
+    ordered AS MATERIALIZED (
+      SELECT clip_id, t, motion, vehicle, row_number() OVER (PARTITION BY clip_id ORDER BY t, event_id) AS k
+      FROM (SELECT clip_id, event_id, t_s / 600 AS t, k < 20 AS motion, value > 100 AS vehicle FROM points)),
+    walk AS (
+      SELECT clip_id, 0::BIGINT AS k, -1e9::DOUBLE AS vehicle_at, -1e9::DOUBLE AS motion_at, -1e9::DOUBLE AS run_at, NULL::VARCHAR AS state, NULL::BOOLEAN AS run
+      FROM (SELECT DISTINCT clip_id FROM ordered)
+      UNION ALL
+      SELECT clip_id, k, CASE WHEN run AND vehicle THEN t ELSE vehicle_at END, motion_at, CASE WHEN run THEN t ELSE run_at END, state, run
+      FROM (
+        SELECT *, t - run_at >= CASE state WHEN 'ACTIVE' THEN 1.0::DOUBLE / {DEFAULT.active_fps}::DOUBLE WHEN 'PRE-ACTIVE' THEN 1.0::DOUBLE / {DEFAULT.preactive_fps}::DOUBLE
+                                     ELSE 1.0::DOUBLE / {DEFAULT.sleep_fps}::DOUBLE END AS run
+        FROM (
+          SELECT *, CASE WHEN t - vehicle_at <= {DEFAULT.active_hold} THEN 'ACTIVE' WHEN t - motion_at <= {DEFAULT.preactive_hold} THEN 'PRE-ACTIVE' ELSE 'SLEEP' END AS state
+          FROM (
+            SELECT w.clip_id, p.k, w.vehicle_at, CASE WHEN p.motion THEN p.t ELSE w.motion_at END AS motion_at, w.run_at, p.t, p.vehicle
+            FROM walk w JOIN ordered p ON p.clip_id = w.clip_id AND p.k = w.k + 1))))""",
+)
+
+ORACLES["top_m_diverse"] = rel(
+    "SELECT track_id, r::INT AS rank, kept[r].frame_id AS frame_id, kept[r].det_idx AS det_idx FROM (SELECT track_id, kept, unnest(range(1, len(kept) + 1)) AS r FROM walk JOIN ends USING (track_id, k))",
+    "boxes",
+    recursive=True,
+    then=f"""
+    ordered AS MATERIALIZED (
+      SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY frame_id, det_idx) AS k
+      FROM (SELECT frame_id % 500 AS track_id, frame_id, det_idx, frame_id::DOUBLE AS t, {VEHICLE_SCORE} AS score FROM boxes)),
+    ends AS (SELECT track_id, max(k) AS k FROM ordered GROUP BY track_id),
+    walk AS (
+      SELECT track_id, 0::BIGINT AS k, []::STRUCT(low DOUBLE, spot BIGINT, t DOUBLE, frame_id BIGINT, det_idx INT)[] AS kept FROM ends
+      UNION ALL
+      SELECT track_id, k, list_sort(list_transform(list_zip(changed, range(1, len(changed) + 1)),
+               lambda z: {{'low': z[1].low, 'spot': z[2], 't': z[1].t, 'frame_id': z[1].frame_id, 'det_idx': z[1].det_idx}}))[1:8]
+      FROM (
+        SELECT track_id, k, CASE WHEN near IS NULL THEN list_append(kept, own) WHEN own.low < kept[near].low
+                 THEN list_concat(list_append(kept[1:near - 1], own), kept[near + 1:]) ELSE kept END AS changed
+        FROM (
+          SELECT w.track_id, p.k, w.kept, {{'low': -p.score, 'spot': 0::BIGINT, 't': p.t, 'frame_id': p.frame_id, 'det_idx': p.det_idx}} AS own,
+                 list_filter(range(1, len(w.kept) + 1), lambda i: abs(p.t - w.kept[i].t) < 400)[1] AS near
+          FROM walk w JOIN ordered p ON p.track_id = w.track_id AND p.k = w.k + 1)))""",
+)
+
+ORACLES["greedy_eval"] = rel(
+    "SELECT video, det_idx, best.gt_idx AS gt_idx, round(best.dt, 6) AS dt FROM walk WHERE k > 0 AND best IS NOT NULL",
+    "truth",
+    "detections",
+    recursive=True,
+    then="""
+    choices AS MATERIALIZED (
+      SELECT d.video, d.det_idx, row_number() OVER (PARTITION BY d.video ORDER BY d.det_s, d.det_idx) AS k, c.choice
+      FROM detections d LEFT JOIN (
+        SELECT d.det_idx, list_sort(list({'dt': abs(t.gt_s - d.det_s), 'gt_idx': t.gt_idx})) AS choice
+        FROM detections d JOIN truth t ON t.video = d.video AND abs(t.gt_s - d.det_s) < 25 GROUP BY d.det_idx) c USING (det_idx)),
+    walk AS (
+      SELECT DISTINCT video, 0::BIGINT AS k, NULL::BIGINT AS det_idx, NULL::STRUCT(dt DOUBLE, gt_idx BIGINT) AS best, []::BIGINT[] AS used FROM detections
+      UNION ALL
+      SELECT video, k, det_idx, best, CASE WHEN best IS NULL THEN used ELSE list_append(used, best.gt_idx) END
+      FROM (SELECT c.video, c.k, c.det_idx, w.used, list_filter(c.choice, lambda x: NOT list_contains(w.used, x.gt_idx))[1] AS best
+            FROM walk w JOIN choices c ON c.video = w.video AND c.k = w.k + 1))""",
+)

@@ -67,11 +67,13 @@ def late_emission(spark, sf_dir):
 
 @query
 def stitch_tracks(spark, sf_dir):
-    """Ids that change every other event are joined again; sequential, so tests hold it against a plain fold."""
+    """Ids that change every other event are joined again.  The window after a crossing never ends here, so no track is
+    emitted; tests hold emission against a plain fold."""
     points = bridge.points(spark, sf_dir)
-    wide = replace(DEFAULT, stitch_gap=(0.05, 3600.0), idle_seconds=3600.0)
+    wide = replace(DEFAULT, stitch_gap=(0.05, 3600.0), idle_seconds=3600.0, post_window_seconds=1e12)
     rows = points.select("clip_id", (F.col("track_id") * 2 + F.col("event_id") % 2).alias("track_id"), "t_s", "x", "y", "vehicle_class")
-    return tracks.stitched(rows, s=wide).groupBy("clip_id", "root_id").agg(F.count("*").alias("n"), F.count_distinct("track_id").alias("ids"))
+    found = tracks.stitched(rows, s=wide).groupBy("clip_id", "root_id", "root_s").agg(F.count("*").alias("n"), F.count_distinct("track_id").alias("ids"))
+    return found.withColumn("root_s", _r("root_s"))
 
 
 @query
@@ -151,7 +153,7 @@ def letterbox_scale(spark, sf_dir):
 
 @query
 def adaptive_sampling(spark, sf_dir):
-    """Sequential by nature; tests hold it against a plain fold."""
+    """Sequential by nature: the detector's finds feed back."""
     p = bridge.points(spark, sf_dir).select(
         "clip_id", F.col("event_id").alias("frame_idx"), (F.col("t_s") / 600).alias("t_s"), (F.col("k") < 20).alias("motion"), (F.col("value") > 100).alias("vehicle")
     )
@@ -165,7 +167,7 @@ def nms(spark, sf_dir):
 
 @query
 def box_association(spark, sf_dir):
-    """Sequential within a clip; tests hold its tracks on a known scene."""
+    """Sequential within a clip; a test holds its tracks on a known scene."""
     b = bridge.boxes(spark, sf_dir).select(
         F.floor(F.col("frame_id") / 100).alias("clip_id"), F.col("frame_id").alias("frame_idx"), "det_idx", "x1", "y1", "x2", "y2", "conf"
     )
@@ -212,7 +214,7 @@ def top_k_plates(spark, sf_dir):
 
 @query
 def top_m_diverse(spark, sf_dir):
-    """Sequential within a track; tests hold it against a plain loop."""
+    """Sequential within a track."""
     found = ranking.top_apart(_vehicle_frames(spark, sf_dir), ["track_id"], ["frame_id", "det_idx"], 8, 400.0)
     return found.select("track_id", "rank", "frame_id", "det_idx")
 
@@ -361,7 +363,7 @@ def band_fuzzy_pairs(spark, sf_dir):
 @query
 def greedy_assign(spark, sf_dir):
     """Tests hold it against the sequential greedy pass."""
-    pairs = matching.candidate_pairs(bridge.audit(spark, sf_dir), _audit_events(spark, sf_dir), 10.0)
+    pairs = matching.candidate_pairs(bridge.audit(spark, sf_dir), _audit_events(spark, sf_dir))
     found = matching.one_to_one(pairs, "audit_idx", "evt_idx", ["tier", "score"], keeper(spark, "assign"))
     return found.select("audit_idx", "evt_idx", "tier")
 
@@ -399,7 +401,7 @@ def clip_windows(spark, sf_dir):
 
 @query
 def greedy_eval(spark, sf_dir):
-    """Tests hold it against the sequential pass."""
+    """Each detection in the order of time takes the nearest free record."""
     found = matching.evaluated(bridge.detections(spark, sf_dir), bridge.truth(spark, sf_dir).select("video", "gt_idx", "gt_s"))
     return found.select("video", "det_idx", "gt_idx", _r("dt").alias("dt"))
 

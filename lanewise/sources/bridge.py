@@ -147,9 +147,9 @@ def store_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(audit_idx, audit_plate, audit_s): what a person noted for every fifth event, some seconds off, now and then with
-    a wrong character."""
-    e = plate_events(spark, sf_dir).where(F.pmod(F.col("event_id"), F.lit(5)) == 0)
+    """(audit_idx, audit_plate, audit_s): what a person noted for each event, some seconds off, now and then with a wrong
+    character."""
+    e = plate_events(spark, sf_dir)
     wrong = F.concat(F.substring("true_plate", 1, 5), F.lit("77"))
     return e.select(
         F.col("event_id").alias("audit_idx"),
@@ -159,8 +159,8 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(video, gt_idx, gt_s, direction, plate, legible): every tenth event as ground truth of its video."""
-    e = plate_events(spark, sf_dir).where(F.pmod(F.col("event_id"), F.lit(10)) == 3)
+    """(video, gt_idx, gt_s, direction, plate, legible): the events as ground truth of their videos, some seconds late."""
+    e = plate_events(spark, sf_dir)
     return e.select(
         F.pmod(F.col("user_id"), F.lit(20)).cast("string").alias("video"),
         F.col("event_id").alias("gt_idx"),
@@ -172,8 +172,8 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(video, det_idx, det_s, direction, plate): the events that a run found."""
-    e = plate_events(spark, sf_dir).where(F.pmod(F.col("event_id"), F.lit(10)).isin(3, 4))
+    """(video, det_idx, det_s, direction, plate): the events as a run found them."""
+    e = plate_events(spark, sf_dir)
     return e.select(
         F.pmod(F.col("user_id"), F.lit(20)).cast("string").alias("video"),
         F.col("event_id").alias("det_idx"),
