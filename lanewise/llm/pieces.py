@@ -16,8 +16,11 @@ search starts anew, and what it committed for the run up to there is remembered.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
+import sys
+import types
 from array import array
 from collections.abc import Iterator
 from itertools import accumulate, chain
@@ -31,9 +34,9 @@ from .frames import adding, restored, tidy
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: About so many bytes of committed runs are remembered in a task, in two halves of which the older one is forgotten, and
+#: About so many bytes of committed runs are remembered in a worker, in two halves of which the older one is forgotten, and
 #: so many pairs of pieces.  Runs longer than CACHE_LENGTH aren't kept.
-CACHE_BYTES, CACHE_PAIRS, CACHE_LENGTH = 48 << 20, 200_000, 40
+CACHE_BYTES, CACHE_PAIRS, CACHE_LENGTH = 64 << 20, 200_000, 40
 #: Bytes of an entry beside its characters and ids: two objects and a place in the table.
 _ENTRY = 190
 #: Rows of one outgoing batch.
@@ -77,6 +80,7 @@ class PieceModel:
     """What a .model file holds, ready for the search.  Built once, on the driver; its size follows the vocabulary."""
 
     def __init__(self, data: bytes):
+        self.digest = hashlib.md5(data).hexdigest()
         self.pieces: list[tuple[str, float, int]] = []
         self.kind, self.byte_fallback, self.unk = UNIGRAM, False, 0
         self.dummy_prefix = self.squeeze = self.escape = True
@@ -343,6 +347,17 @@ class Encoder:
         return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
 
+def worker_encoder(shared) -> Encoder:
+    """The encoder of a broadcast model in this worker process.  One is kept from task to task, with what it remembers: its
+    size is bounded, and a task then needn't learn the frequent words anew.  A lost worker only loses time."""
+    kept = sys.modules.setdefault("_lanewise_worker", types.ModuleType("_lanewise_worker"))
+    found = getattr(kept, "encoder", None)
+    if found is None or found.model.digest != shared.value["digest"]:
+        kept.encoder = None
+        found = kept.encoder = Encoder(restored(PieceModel, shared))
+    return found
+
+
 def load(path: str) -> PieceModel:
     """Reads a .model file on the driver."""
     with open(path, "rb") as file:
@@ -358,7 +373,7 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", check: bool =
     shared = docs.sparkSession.sparkContext.broadcast(model.slim())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(restored(PieceModel, shared))
+        encoder = worker_encoder(shared)
         for whole in batches:
             # Small batches go out, so what a worker holds doesn't follow the size of those that come in.
             for lo in range(0, whole.num_rows, ROWS_OUT):
@@ -385,7 +400,7 @@ def decode(docs: DataFrame, model: PieceModel, ids: str = "ids", out: str = "tex
     shared = docs.sparkSession.sparkContext.broadcast(model.slim())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(restored(PieceModel, shared))
+        encoder = worker_encoder(shared)
         for batch in batches:
             texts = [encoder.decode(x or []) for x in batch.column(names.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, out])
