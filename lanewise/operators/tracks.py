@@ -99,6 +99,7 @@ def late_emission(segmented: DataFrame, by: list[str], order: list[str], s: Sett
         "state",
         late.alias("emitted"),
         F.when(late, F.coalesce("direction", net)).alias("direction"),
+        "crossing_s",
         "last_s",
         F.when(~late, "track_never_crossed").alias("reason"),
     )

@@ -17,7 +17,8 @@ from pyspark.sql.functions import pandas_udf
 from ..functions import clocks
 from ..schema import AUDIT, GROUND_TRUTH, MANIFEST
 
-VIDEO_GLOB = "*.{mp4,avi,mkv,mov,MP4,AVI,MKV,MOV}"
+#: Suffixes in any case.
+VIDEO_GLOB = "*.{[mM][pP]4,[aA][vV][iI],[mM][kK][vV],[mM][oO][vV]}"
 
 
 def video_files(spark: SparkSession, source: str) -> DataFrame:

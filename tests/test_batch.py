@@ -29,6 +29,22 @@ def test_batch(spark, tmp_path):
     assert {r.processing_run_id for r in redone.collect()} == {"R3"} and redone.count() == 2
 
 
+def test_batch_reads_changed_files_again(spark, tmp_path):
+    points = spark.createDataFrame([("c(1).mp4", 7, 0.4 * i, 900.0, y, "car") for i, y in enumerate([1000.0, 1100.0, 1250.0, 1350.0])] + [("c(2).mp4", 3, 1.0, 500.0, 700.0, "car")], "clip_id string, track_id bigint, t_s double, x double, y double, vehicle_class string")
+    readings = spark.createDataFrame([("c(1).mp4", 7, k, "PCW2492", 0.9, 0.8, 0.9) for k in range(2)] + [("c(1).mp4", 7, 5, "AB", 0.1, 0.1, 0.1)], "clip_id string, track_id bigint, ord int, text string, ocr_conf double, det_conf double, plate_score double")
+    clips = lambda h, status: spark.createDataFrame([("c(1).mp4", "/v/c(1).mp4", 1, h, None), ("c(2).mp4", "/v/c(2).mp4", 2, "x", status)], "clip_id string, path string, clip_order int, file_hash string, status string")
+    out = str(tmp_path / "s")
+    go = lambda h, run, n, status="CORRUPTED": batch.run(spark, points, readings, clips(h, status), out, run, n, rejections=f"{out}/rejected").collect()
+    (row,) = go("a", "R1", 1)
+    assert row.processing_run_id == "R1" and "PCW2492" in row.ocr_votes
+    assert go("a", "R2", 2)[0].processing_run_id == "R1"  # same content
+    assert go("b", "R3", 3)[0].processing_run_id == "R3"  # changed
+    state = {r.clip_id: r.status for r in batch.store.read(spark, f"{out}/clips", ["clip_id"]).collect()}
+    assert state == {"c(1).mp4": "COMPLETED", "c(2).mp4": "CORRUPTED"}
+    go("b", "R4", 4, None)
+    assert {r.reason for r in spark.read.json(f"{out}/rejected").collect()} == {"track_never_crossed"}
+
+
 def test_plugins(spark):
     frames = spark.createDataFrame([("c", 1), ("c", 2)], "clip_id string, frame_idx int")
 

@@ -1,5 +1,6 @@
 """Known cases of the plate, track, vote, duplicate and sampling operators."""
 
+import math
 import random
 from dataclasses import replace
 
@@ -124,6 +125,96 @@ def test_stitching(spark):
     assert {r.track_id: r.root_id for r in tracks.stitched(frame).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
+def _stitch(points, frames, s):
+    """A plain fold, frame by frame, over whole trajectories."""
+    side = lambda y: y >= 1200.0
+    live, out, order = {}, {}, 0
+    for t in sorted({p[1] for p in points} | set(frames)):
+        for i, _, x, y, kind in sorted(p for p in points if p[1] == t):
+            if i not in live:
+                near = []
+                for j, o in live.items():
+                    ox, oy = o["way"][-1]
+                    groups = ({"truck", "bus", "car"}, {"motorcycle", "person"})
+                    fits = o["kind"] == kind or any({o["kind"], kind} <= g for g in groups)
+                    d = math.hypot(x - ox, y - oy)
+                    if fits and not o["out"] and 0.05 <= t - o["t"] <= 3.0 and d < 450:
+                        near.append((d, o["made"], j))
+                order += 1
+                if near:
+                    old = live.pop(min(near)[2])
+                    live[i] = old | {"made": order, "kind": kind if kind != "vehicle" else old["kind"]}
+                else:
+                    live[i] = {"root": (i, t), "kind": kind, "way": [], "at": [], "made": order, "out": False}
+            o = live[i]
+            o["t"] = t
+            o["way"].append((x, y))
+            o["at"].append(t)
+            out[i, t] = o["root"]
+        for o in live.values():
+            ys = [y for _, y in o["way"]]
+            c = next((k for k in range(1, len(ys)) if side(ys[k]) != side(ys[k - 1])), None)
+            settled = c is not None and any(abs(ys[k] - 1200) > 20 or k >= 3 for k in range(c + 1, len(ys)))
+            o["out"] |= settled and t >= o["at"][c] + s.post_window_seconds
+        live = {j: o for j, o in live.items() if t - o["t"] <= 3.0}
+    return out
+
+
+@pytest.mark.parametrize(("seed", "n", "window"), [(1, 300, 0.0), (2, 300, 1.5), (3, 5000, 0.0)])
+def test_stitching_equals_a_plain_fold(spark, seed, n, window):
+    rng, rows, frames = random.Random(seed), [], []
+    s = replace(DEFAULT, post_window_seconds=window)
+    for k in range(n):
+        t = round(k * 0.25 + rng.choice([0, 0, 0, 4.0]) * (k % 40 == 0), 2)
+        frames.append(t)
+        for i in rng.sample(range(1, 30), rng.choice([0, 1, 2])):
+            rows.append((i, t, rng.uniform(500, 2200), rng.uniform(1000, 1400), rng.choice(["car", "truck", "motorcycle", "person", "vehicle"])))
+    rows = list({(r[0], r[1]): r for r in rows}.values())
+    frame = spark.createDataFrame([("c", *r) for r in rows], "clip_id string, track_id bigint, t_s double, x double, y double, vehicle_class string")
+    times = spark.createDataFrame([("c", t) for t in frames], "clip_id string, t_s double")
+    found = {(r.track_id, r.t_s): (r.root_id, r.root_s) for r in tracks.stitched(frame, s=s, frames=times).collect()}
+    assert found == _stitch(rows, frames, s)
+
+
+def test_stitching_does_not_depend_on_filler(spark):
+    """The same scene beside few and beside many other rows."""
+    scene = [(1, 0.0, 500.0, 1000.0, "car"), (1, 60.0, 500.0, 1000.0, "car"), (7, 62.0, 520.0, 1000.0, "car")]
+    for fill in (10, 5000):
+        rows = [("c", *r) for r in scene] + [("c", 1000 + k % 7, 0.0005 * k, 2200.0, 1000.0, "motorcycle") for k in range(fill)]
+        frame = spark.createDataFrame(rows, "clip_id string, track_id bigint, t_s double, x double, y double, vehicle_class string")
+        found = {(r.track_id, r.t_s): (r.root_id, r.root_s) for r in tracks.stitched(frame).where("track_id < 10").collect()}
+        # No frame lies between 2.5 and 60 s, so track 1 lives on if it comes back in the first one.
+        assert found == {(1, 0.0): (1, 0.0), (1, 60.0): (1, 0.0), (7, 62.0): (1, 0.0)}
+
+
+def test_windows_of_rows_with_nulls(spark):
+    points = spark.createDataFrame([(1, None, 5.0), (2, "x", 50.0), (3, "y", None)], "k int, note string, at double")
+    windows = spark.createDataFrame([(0, 0.0, 10.0), (1, 4.0, 12.0)], "win_idx int, win_start double, win_end double")
+    found = matching.in_windows(points, windows, "at", 1.0, 10.0)
+    assert {(r.k, r.note, r.win_idx) for r in found.collect()} == {(1, None, 0), (2, "x", None), (3, "y", None)}
+
+
+def test_top_apart_equals_a_loop(spark):
+    rng, rows = random.Random(5), []
+    for k in range(600):
+        rows.append((f"t{rng.randint(0, 5)}", k, round(rng.random(), 2), rng.uniform(0, 60)))
+    kept = {}
+    for track, k, score, t in rows:
+        own = kept.setdefault(track, [])
+        close = [j for j, o in enumerate(own) if abs(o[1] - t) < 2.0][:1]
+        if close and score <= own[close[0]][0]:
+            continue
+        if close:
+            own[close[0]] = (score, t, k)
+        else:
+            own.append((score, t, k))
+        own.sort(key=lambda o: -o[0])
+        del own[4:]
+    frame = spark.createDataFrame(rows, "track string, k int, score double, t_s double")
+    found = {(r.track, r["rank"]): r.k for r in ranking.top_apart(frame, ["track"], ["k"], 4, 2.0).collect()}
+    assert found == {(track, n): o[2] for track, own in kept.items() for n, o in enumerate(own, 1)}
+
+
 def test_top_apart(spark):
     rows = [("t", k, s, t) for k, (s, t) in enumerate([(0.8, 1.0), (0.75, 1.1), (0.9, 1.15), (0.7, 1.5), (0.85, 1.9)])]
     frame = spark.createDataFrame(rows, "track string, k int, score double, t_s double")
