@@ -36,28 +36,33 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text and of its edited text, and their likeness; null ids come after all others."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return edited_fingerprints(docs, _parts(spark))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's shingle count, its component of links of 75 % or more, and whether it is the least id there."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs, Scratch(spark, "near-dup"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from documents of three folds of four that have an id and a language."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", _held_out(4, 2))
     model = language.train(docs.where("not held_out and doc_id is not null"))
     return language.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the patterns' spans, and all spans with those that the models add."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan(docs, secrets.train(docs))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's cell, tokens, probability and draw under the raked mixture."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     found = mixing.mixture(docs, Scratch(spark, "mixing"))
     return found.select(
@@ -66,6 +71,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every whole text, learned from labels of four folds of five."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", _held_out(5, 0))
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"), _held_out(5, 0))
     model = quality_knn.train(docs, labels.where("not held_out and doc_id is not null"))
@@ -73,16 +79,19 @@ def op7_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's statistics, the base rules' verdict and the weakly supervised one."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.judge(docs, Scratch(spark, "rules"))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_text.extract(pages).select("page_id", "url", "text", "n_chars")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str, shards: list[str] | None = None) -> DataFrame:
+    """Each document's slot and shard."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     return sharding.assign(docs, shards or SHARDS)
 
@@ -125,3 +134,17 @@ JOIN (SELECT doc_id, min(other) AS c FROM reach GROUP BY doc_id) r ON r.doc_id =
 
 #: Queries without an entry depend on trained models, hashes or pieces that SQL doesn't have; brute force tests them.
 ORACLES = {"op3_near_dedup": NEAR_DEDUP_SQL}
+
+
+def sharding_sql(shards: list[str] | None = None) -> str:
+    """Placement by the table's slots; the table itself is given as a list, and tests hold it against its definition."""
+    table = sharding.lookup_table(shards or SHARDS).tolist()
+    names = ", ".join(f"'{s}'" for s in shards or SHARDS)
+    return f"""
+    SELECT doc_id, source, n_chars, slot::INT AS slot, names[places[slot + 1] + 1] AS shard
+    FROM (SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {len(table)} AS slot FROM documents),
+         (SELECT [{names}] AS names, {table}::SMALLINT[] AS places)"""
+
+
+def oracles() -> dict[str, str]:
+    return ORACLES | {"op10_sharding": sharding_sql()}
