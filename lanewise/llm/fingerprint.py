@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import adding, tidy
+from .frames import adding, through_arrow, tidy
 from .textnum import CHUNK_BYTES, Densifier, WordHasher, one_permutation, text_chunks
 
 BIN_BITS = 9
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, text: str = "text", bin_bits: int = BIN_BITS,
             prints = pa.array([sketcher.pack(s) for s in sketcher.sketches(texts)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, prints], [*names, "fingerprint"])
 
-    return docs.mapInArrow(tidy(run), schema)
+    return through_arrow(docs, run, schema)
 
 
 def _split_points(keys: DataFrame, parts: int) -> list[int]:
@@ -80,7 +80,12 @@ def _split_points(keys: DataFrame, parts: int) -> list[int]:
         F.min("key").alias("low"),
         F.percentile_approx("key", [k / parts for k in range(1, parts)] or [0.5], 10 * parts).alias("cuts"),
     ).first()
-    return [] if row.low is None else sorted({row.low, *(row.cuts or [])})
+    cuts = [] if row.low is None else sorted({row.low, *(row.cuts or [])})
+    if any(abs(c) >= 1 << 53 for c in cuts):
+        # Quantiles of such keys are rounded: the least key from each on is taken, so that every range has a first row.
+        at, _ = _place(F.col("key"), cuts)
+        cuts = sorted(r.low for r in keys.groupBy(at.alias("at")).agg(F.min("key").alias("low")).collect())
+    return cuts
 
 
 def _place(key: Column, cuts: list[int]) -> tuple[Column, Column]:

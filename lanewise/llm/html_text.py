@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .frames import adding, tidy
+from .frames import adding, through_arrow
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -272,4 +272,4 @@ def extract(pages: DataFrame, source: str = "html") -> DataFrame:
             columns = [*batch.columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [*names, "text", "n_chars"])
 
-    return pages.mapInArrow(tidy(run), schema)
+    return through_arrow(pages, run, schema)

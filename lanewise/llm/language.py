@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import adding, restored, tidy
+from .frames import adding, restored, through_arrow, tidy
 from .samples import bounded, one_text
 
 #: n-grams of one to ORDERS characters, hashed into 2**BITS columns for each order together.
@@ -133,4 +133,4 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
             columns = [*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(tidy(run), schema)
+    return through_arrow(docs, run, schema)

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .frames import adding, restored, tidy
+from .frames import adding, restored, through_arrow
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
@@ -389,7 +389,7 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", check: bool =
                 columns = [*batch.columns, lists] + [pa.array(same, pa.bool_())] * check
                 yield pa.RecordBatch.from_arrays(columns, [*names, "ids"] + ["round_trip"] * check)
 
-    return docs.mapInArrow(tidy(run), schema)
+    return through_arrow(docs, run, schema)
 
 
 def decode(docs: DataFrame, model: PieceModel, ids: str = "ids", out: str = "text") -> DataFrame:
@@ -405,4 +405,4 @@ def decode(docs: DataFrame, model: PieceModel, ids: str = "ids", out: str = "tex
             texts = [encoder.decode(x or []) for x in batch.column(names.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, out])
 
-    return docs.mapInArrow(tidy(run), schema)
+    return through_arrow(docs, run, schema)

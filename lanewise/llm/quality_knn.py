@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import adding, restored, tidy
+from .frames import adding, restored, through_arrow, tidy
 from .samples import bounded, one_text
 from .textnum import WordHasher, text_chunks
 
@@ -193,4 +193,4 @@ def predict(docs: DataFrame, model: QualityModel, text: str = "text", score: str
             columns = [*batch.columns, pa.array(found), pa.array((found >= THRESHOLD).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, [*names, score, predicted])
 
-    return docs.mapInArrow(tidy(run), schema)
+    return through_arrow(docs, run, schema)

@@ -142,7 +142,7 @@ def test_fingerprint_cases(spark):
     same = fingerprint.fingerprints(frame(spark, ODD).withColumn("fingerprint", F.lit(0))).orderBy("doc_id").collect()
     assert same[0].fingerprint == same[1].fingerprint == "" and same[8].fingerprint == same[9].fingerprint != ""
     twice = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (1, None), (None, "x")], "doc_id bigint, text string")
-    assert fingerprint.edited_fingerprints(twice, 3).count() == 3
+    assert fingerprint.edited_fingerprints(twice, 3).count() == 4
 
 
 def test_low_bits_are_corrected():
@@ -629,3 +629,141 @@ def test_word_hashes_depend_on_words_alone():
     words, at = hasher.words(data, starts)
     assert at.tolist() == [0, 3, 5, 7, 7, 9]
     assert words[0] == words[4] and words[1] == words[5] and words[2] == words[6] and words[7] != words[8]
+
+
+# Callers' columns, long texts, rows without an id ------------------------------------------------------------------------
+
+CLASHES = (
+    "_n", "_kept", "_held", "near_n", "near_own_kept", "scan_text", "scan_base", "secret_spans", "mix_source", "mix_own_topic",
+    "rule_words", "vote_words", "part", "key", "range", "a.dotted name", "Score", "predicted",
+)
+
+
+def clashing(spark, texts):
+    rows = [(k, t, "en", "s", len(t or "")) + tuple(f"{c}{k}" for c in CLASHES) for k, t in enumerate(texts)]
+    names = ", ".join(f"`{c}` string" for c in CLASHES)
+    return spark.createDataFrame(rows, f"doc_id bigint, text string, lang string, source string, n_chars bigint, {names}")
+
+
+def test_callers_columns_stay(spark):
+    """Whatever a caller's columns are called, they come back as they were."""
+    rng = random.Random(21)
+    texts = [prose(rng, 30) for _ in range(12)] + ["", None, "password: Xk29fjQ0a81", "AKIA" + "B7" * 10]
+    docs = clashing(spark, texts)
+    model = language.train(docs)
+    labels = docs.selectExpr("doc_id", "doc_id % 2 as label")
+    quality = quality_knn.train(docs, labels)
+    table = secrets.train(docs)
+    scratch = lambda: Scratch(spark, "test")
+    results = {
+        "language": (language.predict(docs, model), {"score"}),
+        "quality": (quality_knn.predict(docs, quality), {"score", "predicted"}),
+        "quality, named": (quality_knn.predict(docs, quality, score="q", predicted="p"), set()),
+        "secrets": (secrets.scan(docs, table), {"secret_spans"}),
+        "redacted": (secrets.redact(docs, table), set()),
+        "mixture": (mixing.mixture(docs, scratch()), set()),
+        "sampled": (mixing.sampled(docs, scratch(), budget=5.0), set()),
+        "rules": (quality_rules.judge(docs, scratch()), set()),
+        "near": (near_dup.drop_near_duplicates(docs, scratch()), set()),
+        "pieces": (pieces.encode(docs, pieces.load(PIECE_MODEL)), set()),
+        "prints": (fingerprint.fingerprints(docs), set()),
+        "shards": (sharding.assign(docs, ["x", "y"]), set()),
+    }
+    for name, (found, replaced) in results.items():
+        held = [c for c in CLASHES if c.lower() not in replaced]
+        rows = found.select("doc_id", *[f"`{c}`" for c in held]).collect()
+        assert len(rows) == len(texts) or name in ("sampled", "near") and rows, name
+        for r in rows:
+            assert tuple(r)[1:] == tuple(f"{c}{r.doc_id}" for c in held), name
+
+
+def test_very_long_text(spark):
+    """A text of over a million characters goes through every operator whole."""
+    rng = random.Random(22)
+    long = prose(rng, 150_000) + " token=Ab3dE5fG7hJ9"
+    docs = spark.createDataFrame([(1, long, "en", "s"), (2, long, "en", "s"), (3, "short text of a few words", "de", "s")], "doc_id bigint, text string, lang string, source string")
+    found = {r.doc_id: r for r in near_dup.near_duplicates(docs.select("doc_id", "text"), Scratch(spark, "test")).collect()}
+    assert found[2].component_id == 1 and found[1].n_shingles == len(shingles(long))
+    (row,) = secrets.scan(docs, secrets.train(docs)).where("doc_id = 1").collect()
+    at = long.index("token=")
+    assert row.n_assign == 1 and f"assign:{at}:{len(long)}" in row.spans
+    own = plain_statistics(long)
+    (row,) = quality_rules.judge(docs, Scratch(spark, "test")).where("doc_id = 1").collect()
+    assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == own
+    assert {r.lang_pred for r in language.predict(docs, language.train(docs)).where("doc_id < 3").collect()} == {"en"}
+    encoder = pieces.Encoder(pieces.load(PIECE_MODEL))
+    assert encoder.decode(encoder.encode(long)) == long
+
+
+def test_fingerprints_of_rows_without_an_id(spark):
+    texts = ["a b c d e f", "one two three four five six", None]
+    docs = spark.createDataFrame([(5, texts[0]), (None, texts[1]), (None, texts[2]), (9, "x y z")], "doc_id bigint, text string")
+    rows = fingerprint.edited_fingerprints(docs, 2).collect()
+    assert len(rows) == 4 and sum(r.doc_id is None for r in rows) == 2
+    by = {r.doc_id: r for r in rows if r.doc_id is not None}
+    assert by[5].edited_sha256 == hashlib.sha256(b"a b c " + b"x y z").hexdigest()
+
+
+def test_letters(spark):
+    docs = spark.createDataFrame([(1, "some english words", "en"), (2, "²½①", "en"), (None, "und so weiter", "de")], "doc_id bigint, text string, lang string")
+    model = language.train(docs)
+    assert model.languages == ["en"]
+    assert {r.text: r.lang_pred for r in language.predict(docs, model).collect()}["²½①"] == "und"
+
+
+def test_samples_stay_bounded_when_ids_repeat(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(3000)] + [(k, f"other {k}") for k in range(2, 50)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1)] * 3000 + [(k, k % 2) for k in range(2, 50)], "doc_id bigint, label int")
+    assert len(quality_knn.train(docs, labels).labels) <= 50
+
+
+def test_equal_neighbours_share_their_votes():
+    import numpy as np
+
+    n = quality_knn.NEIGHBOURS * 2
+    unit = np.zeros((n, 2), np.float32)
+    unit[:, 0] = 1
+    model = quality_knn.QualityModel(np.ones(quality_knn.TERMS), np.zeros((quality_knn.TERMS, 2), np.float32), unit, np.arange(n) % 2, np.ones(n), 0.5)
+    model.directions[:, 0] = 1
+    counts = np.zeros((1, quality_knn.TERMS), np.float32)
+    counts[0, 5] = 3
+    assert model.score(counts)[0] == pytest.approx(0.5)
+
+
+def test_bitmap_and_join_mark_alike(spark, monkeypatch):
+    docs = spark.createDataFrame([(k if k % 9 else None, f"t{k}") for k in range(200)], "doc_id bigint, text string")
+    ids = docs.where("doc_id % 7 = 0").select("doc_id")
+    wanted = {r.doc_id for r in ids.collect()}
+    marked = {r.text for r in near_dup.marked(docs, ids, "held").where("held").collect()}
+    assert {f"t{k}" for k in wanted} <= marked
+    monkeypatch.setattr(near_dup, "FILTER_BITS", 8)
+    assert {r.doc_id for r in near_dup.marked(docs, ids, "held").where("held").collect()} == wanted
+
+
+def test_identifier_parts_count_what_identifiers_hold(spark):
+    """The weighted parts have the pairs of the identifiers themselves."""
+    text = "Alpha beta Gamma delta beta Alpha"
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    words, plain = text.split(), collections.Counter()
+    number = {r.w: str(r.n) for r in spark.createDataFrame([(w,) for w in set(words)], "w string").selectExpr("w", "pmod(hash(w), 100) as n").collect()}
+    for a, b in zip(words, words[1:]):
+        for t in (a.lower(), f"{a}_{b}".lower(), a.lower() + b.capitalize(), f"{a}-{b}", f"{a}/{b}", f"{a}_{b}".upper(), f"{b.lower()}_{number[a]}"):
+            plain.update(zip(t, t[1:]))
+    found = collections.Counter()
+    for r in secrets.ordinary_parts(docs).collect():
+        for pair in zip(r.token, r.token[1:]):
+            found[pair] += r.weight
+    assert found == plain
+
+
+def test_sharding_sql():
+    duckdb = pytest.importorskip("duckdb")
+    from lanewise.llm.queries import sharding_sql
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT CASE WHEN i > 0 THEN i END AS doc_id, 's' AS source, 1::BIGINT AS n_chars FROM range(50) t(i)")
+    names = ["b", "a", "c"]
+    table = sharding.lookup_table(names)
+    for doc_id, _, _, slot, shard in con.execute(sharding_sql(names)).fetchall():
+        assert shard == names[table[slot]]
+        assert slot == int(hashlib.md5(("" if doc_id is None else str(doc_id)).encode()).hexdigest()[:15], 16) % sharding.SLOTS
