@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: The camera's start of recording, the time of clip 60, and the length of a clip.
 FIRST_DAY, UNNUMBERED, DAY_START, CLIP_60, CLIP_SECONDS = "2026-09-09", "16:00:00", "10:56:51", "16:17:16", 330.0
+#: What the audit takes for clip 60's start and for the pace of clips.
+AUDIT_CLIP_60, AUDIT_PACE = "16:17:20", 325
 
 
 def basename(path: Column) -> Column:
@@ -44,6 +46,20 @@ def clip_start(path: Column) -> Column:
     )
 
 
+def clip_key(text: Column) -> Column:
+    """The digits of the first number in brackets, or null."""
+    return F.nullif(F.regexp_extract(text, r"\((\d+)\)", 1), F.lit(""))
+
+
+def audit_clip_start(path: Column) -> Column:
+    """When the audit takes a clip to begin: numbered ones at an even pace around clip 60, others at a fixed time."""
+    name = basename(path)
+    day = F.coalesce(F.nullif(F.regexp_extract(name, r"_(\d{8})", 1), F.lit("")), F.lit(FIRST_DAY.replace("-", "")))
+    number = F.nullif(F.regexp_extract(name, r"\((\d+)\)\.mp4$", 1), F.lit("")).cast("long")
+    at = lambda t: F.to_timestamp_ntz(F.concat(day, F.lit(f" {t}")), F.lit("yyyyMMdd HH:mm:ss"))
+    return F.when(number.isNotNull(), F.timestamp_add("SECOND", (number - 60) * AUDIT_PACE, at(AUDIT_CLIP_60))).otherwise(at(UNNUMBERED))
+
+
 def event_id(clip: Column, track: Column, seconds: Column) -> Column:
     """EVT_, the clip's last four characters, the track in four digits or more, whole seconds."""
     stem = F.regexp_replace(basename(clip), r"\.[^.]*$", "")

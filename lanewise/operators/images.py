@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -69,3 +70,38 @@ def evidence(events: DataFrame) -> DataFrame:
         as_png(F.col("vehicle_pixels"), F.col("vehicle_h"), F.col("vehicle_w")).alias("vehicle_png"),
         as_png(F.col("plate_pixels"), F.coalesce("plate_h", F.lit(0)), F.coalesce("plate_w", F.lit(0))).alias("plate_png"),
     )
+
+
+def write_evidence(events: DataFrame, folder: str) -> DataFrame:
+    """(event_id, vehicle_crop_path, plate_crop_path) of evidence(), whose pictures are written below a folder that all
+    executors share, given as a URI or an absolute path; null where an event has no such picture.
+
+    Executors write the files of their own rows when the result is read, each to a name of its own and then moved, so a
+    task that runs again or twice leaves whole files.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import uuid
+
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+
+        def put(name: str | None, data: bytes | None) -> str | None:
+            if not name or not data:
+                return None
+            part = f"{root}/.{uuid.uuid4().hex}"
+            with store.open_output_stream(part) as f:
+                f.write(data)
+            store.move(part, f"{root}/{name}")
+            return f"{folder.rstrip('/')}/{name}"
+
+        for b in batches:
+            yield pd.DataFrame({
+                "event_id": b.event_id,
+                "vehicle_crop_path": [put(n, d) for n, d in zip(b.vehicle_crop_path, b.vehicle_png, strict=True)],
+                "plate_crop_path": [put(n, d) for n, d in zip(b.plate_crop_path, b.plate_png, strict=True)],
+            })
+
+    return evidence(events).mapInPandas(run, "event_id string, vehicle_crop_path string, plate_crop_path string")

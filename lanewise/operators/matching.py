@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import plates
+from ..functions import clocks, plates
 
 
 def banded(left: DataFrame, right: DataFrame, a: str, b: str, width: float, on: list[str] | None = None) -> DataFrame:
@@ -25,10 +25,56 @@ def banded(left: DataFrame, right: DataFrame, a: str, b: str, width: float, on:
 def nearest(left: DataFrame, right: DataFrame, key: str, a: str, b: str, width: float, position: str, on: list[str] | None = None, strict: bool = False) -> DataFrame:
     """left with the columns of its nearest right row within the width, null without one; of equally near rows the one
     with the least position.  strict leaves out pairs that are exactly that far apart."""
-    pairs = banded(left, right, a, b, width, on)
+    more = [c for c in right.columns if c not in (on or [])]
+    return _nearest_of(left, banded(left, right, a, b, width, on), more, key, a, b, width, position, strict)
+
+
+def nearest_by_clip(left: DataFrame, right: DataFrame, key: str, a: str, b: str, width: float, position: str, clip: str = "clip", strict: bool = False) -> DataFrame:
+    """As nearest() within a clip; a row whose clip is unknown, on either side, may meet rows of any clip.
+
+    Rows that both know their clip meet on clip and time, the others on time alone, which the band bounds.
+    """
+    known = lambda rows: rows.where(F.col(clip).isNotNull())
+    unknown = lambda rows: rows.where(F.col(clip).isNull()).drop(clip)
+    rows = left.select(key, a, clip)
+    pairs = (
+        banded(known(rows), known(right), a, b, width, [clip]).drop(clip)
+        .unionByName(banded(unknown(rows), right.drop(clip), a, b, width))
+        .unionByName(banded(known(rows).drop(clip), unknown(right), a, b, width))
+    )
+    return _nearest_of(left, pairs, [c for c in right.columns if c != clip], key, a, b, width, position, strict)
+
+
+def by_event_id(events: DataFrame, truth: DataFrame, key: str, width: float = 15.0) -> DataFrame:
+    """events with the nearest record of truth(gt_idx, gt_s, video_source): an event's id names its clip and second, a
+    record's source holds its clips' numbers in brackets.  Ids of another form meet nothing."""
+    part = lambda k: F.nullif(F.regexp_extract(key, r"EVT_\((\d+)\)_\d+_(\d+)", k), F.lit(""))
+    timed = events.withColumns({"_clip": part(1), "_at": part(2).cast("double")})
+    numbers = F.array_distinct(F.regexp_extract_all("video_source", F.lit(r"\((\d+)\)"), F.lit(1)))
+    return nearest(timed, truth.withColumn("_clip", F.explode(numbers)), key, "_at", "gt_s", width, "gt_idx", ["_clip"], strict=True).drop("_clip", "_at")
+
+
+def labelled(manifest: DataFrame, truth: DataFrame, position: str, tolerance: float = 6.0) -> DataFrame:
+    """The candidates of a manifest(event_id, timestamp, ...) with what the ground truth says of the nearest record of
+    their clip: ground_truth_id, ground_truth_plate, plate_legible, province, vehicle_type.
+
+    A missing time is 0.  Without a record the plate counts as illegible and the rest is null.  Candidates of one event
+    and time are looked up once.
+    """
+    told = ["ground_truth_id", "ground_truth_plate", "plate_legible", "province", "vehicle_type"]
+    keyed = manifest.drop(*told).withColumn("_case", F.struct(F.coalesce("event_id", F.lit("")).alias("e"), F.coalesce("timestamp", F.lit(0.0)).alias("t")))
+    cases = keyed.select("_case").distinct().select("_case", F.col("_case.t").alias("_t"), clocks.clip_key(F.col("_case.e")).alias("clip"))
+    records = truth.select(
+        position, F.coalesce("approx_timestamp", F.lit(0.0)).alias("_gt"), clocks.clip_key(F.col("video_source")).alias("clip"), "ground_truth_id",
+        F.col("plate_text").alias("ground_truth_plate"), F.coalesce("plate_legible", F.lit(True)).alias("plate_legible"), "province", "vehicle_type",
+    )
+    found = nearest_by_clip(cases, records, "_case", "_t", "_gt", tolerance, position).select("_case", *told)
+    return keyed.join(found, "_case").drop("_case").withColumn("plate_legible", F.coalesce("plate_legible", F.lit(False)))
+
+
+def _nearest_of(left: DataFrame, pairs: DataFrame, more: list[str], key: str, a: str, b: str, width: float, position: str, strict: bool) -> DataFrame:
     if strict:
         pairs = pairs.where(F.abs(F.col(a) - F.col(b)) < width)
-    more = [c for c in right.columns if c not in (on or [])]
     pick = F.min(F.struct(F.abs(F.col(a) - F.col(b)).alias("dt"), *[F.col(c) for c in [position, *[x for x in more if x != position]]])).alias("m")
     best = pairs.groupBy(key).agg(pick)
     return left.join(best, key, "left").select(*[left[c] for c in left.columns], "m.dt", *[F.col(f"m.{c}").alias(c) for c in more])
@@ -81,6 +127,43 @@ def by_equal_plate(audit: DataFrame, events: DataFrame, left: str, right: str, a
     return x.join(y, ["plate", "n"]).select(left, right, "plate")
 
 
+def outcomes(audit: DataFrame, events: DataFrame, taken: DataFrame) -> DataFrame:
+    """One row: entries in all, with an equal plate, a near one, a vehicle only, and missed; and the events left over.
+
+    taken(audit_idx, evt_idx, tier) comes from one_to_one(); what it leaves is matched by plate alone.
+    """
+    rest, free = audit.join(taken, "audit_idx", "left_anti"), events.join(taken, "evt_idx", "left_anti")
+    late = by_equal_plate(rest, free, "audit_idx", "evt_idx", "audit_plate", "event_plate", "audit_s", "event_s")
+    marked = taken.select("audit_idx", "evt_idx", "tier").unionByName(late.select("audit_idx", "evt_idx", F.lit(0).alias("tier")))
+    n = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    tier = F.col("tier")
+    sums = audit.select("audit_idx").join(marked, "audit_idx", "left").agg(
+        F.count("*").alias("total"), n(tier == 0, "exact"), n(tier == 1, "near"), n(tier == 2, "vehicle_only"), n(tier.isNull(), "missed")
+    )
+    # Two frames of one row each, made one.  An event is taken once, so what isn't missed is an event.
+    both = sums.unionByName(events.agg(F.count("*").alias("events")), allowMissingColumns=True)
+    one = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    return one.select(*sums.columns, F.greatest(F.lit(0), F.col("events") - (F.col("total") - F.col("missed"))).alias("extra"))
+
+
+def audit_report(audit: DataFrame, events: DataFrame, windows: DataFrame, tolerance: float, longest: float) -> DataFrame:
+    """(audit_idx, win_idx, evt_idx, match, reason): entries within the clips' windows, widened by the tolerance, are
+    cross-validated; the others have a reason."""
+    placed = in_windows(audit.select("audit_idx", "audit_plate", "audit_s"), windows, "audit_s", tolerance, longest)
+    found = cross_validated(placed.where("win_idx is not null").drop("win_idx"), events, tolerance)
+    reason = F.when(F.col("audit_s").isNull(), "Sin hora en Cam 2").when(F.col("win_idx").isNull(), "no cubierta por clips actuales")
+    return placed.join(found, "audit_idx", "left").select("audit_idx", "win_idx", "evt_idx", "match", reason.alias("reason"))
+
+
+def audit_recall(report: DataFrame) -> DataFrame:
+    """One row: entries inside the windows, those found by their plate, the percentage, and entries outside."""
+    n = lambda c: F.count(F.when(c, 1))
+    inside, hit = n(F.col("win_idx").isNotNull()), n(F.col("match").contains("PLACA"))
+    return report.agg(
+        inside.alias("inside"), hit.alias("detected"), F.coalesce(F.try_divide(hit, inside) * 100, F.lit(0.0)).alias("recall"), n(F.col("win_idx").isNull()).alias("outside")
+    )
+
+
 def cross_validated(audit: DataFrame, events: DataFrame, width: float) -> DataFrame:
     """(audit_idx, evt_idx, match): plate and time if any event has both, else the last event with the plate, else the
     first near in time.  Events count in the order evt_idx; one event may serve several entries.

@@ -120,20 +120,21 @@ def nv12_to_bgr(data: Column, height: Column, width: Column) -> Column:
 
 
 def difference(a: Column, b: Column, height: Column, width: Column) -> Column:
-    """Struct of mean absolute error, root mean square error, greatest error and both mean lumas of two images."""
+    """Struct of mean absolute error, root mean square error, greatest error and both mean lumas of two images, and of
+    each channel's mean absolute error."""
 
     def run(x: pd.Series, y: pd.Series, h: pd.Series, w: pd.Series) -> pd.DataFrame:
         rows = []
         for p, q, n, m in zip(x, y, h, w, strict=True):
             i, j = _image(p, int(n), int(m)), _image(q, int(n), int(m))
             if i is None or j is None or i.shape != j.shape:
-                rows.append((None,) * 5)
+                rows.append((None,) * 8)
                 continue
             d = i.astype(np.float64) - j
-            rows.append((np.abs(d).mean(), (d * d).mean() ** 0.5, np.abs(d).max(), gray(i).mean(), gray(j).mean()))
-        return pd.DataFrame(rows, columns=["mae", "rmse", "max", "luma_a", "luma_b"])
+            rows.append((np.abs(d).mean(), (d * d).mean() ** 0.5, np.abs(d).max(), gray(i).mean(), gray(j).mean(), *np.abs(d).mean(axis=(0, 1))))
+        return pd.DataFrame(rows, columns=["mae", "rmse", "max", "luma_a", "luma_b", "mae_b", "mae_g", "mae_r"])
 
-    return pandas_udf(run, "mae double, rmse double, max double, luma_a double, luma_b double")(a, b, height, width)
+    return pandas_udf(run, "mae double, rmse double, max double, luma_a double, luma_b double, mae_b double, mae_g double, mae_r double")(a, b, height, width)
 
 
 def clock_digits(data: Column, height: Column, width: Column, templates: dict[str, np.ndarray], slots: list[tuple[int, int, int, int]], least: float = 0.80) -> Column:

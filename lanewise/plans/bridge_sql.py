@@ -36,6 +36,11 @@ RELATIONS = {
              0.40::DOUBLE + (l_partkey % 60)::DOUBLE / 100.0::DOUBLE AS det_conf,
              0.20::DOUBLE + (l_partkey % 80)::DOUBLE / 100.0::DOUBLE AS plate_score
       FROM (SELECT *, {_plate("l_orderkey", 3, 5, 9)} AS p FROM lineitem)""",
+    "order_plates": f"""SELECT o_orderkey AS event_id, {_plate("o_orderkey", 3, 5, 9)} AS plate FROM orders""",
+    "named_detections": """
+      SELECT *, 'EVT_' || CASE WHEN det_idx % 41 <> 0 THEN '(' || video || ')' ELSE 'cam' END || '_' || det_idx::VARCHAR || '_' || floor(det_s)::BIGINT::VARCHAR AS event_id,
+             CASE WHEN det_idx % 41 <> 0 THEN video END AS clip FROM detections""",
+    "named_truth": """SELECT *, CASE WHEN gt_idx % 37 <> 0 THEN video END AS clip FROM truth""",
     "boxes": """
       SELECT frame_id, det_idx, x1, y1, x1 + w AS x2, y1 + h AS y2, conf, class_id, sharpness FROM (
         SELECT l_orderkey AS frame_id, l_linenumber::INT AS det_idx,
@@ -80,6 +85,7 @@ RELATIONS = {
 }
 _NEEDS = {
     "runs": ["clips"], "store_events": ["plate_events"], "audit": ["plate_events"], "truth": ["plate_events"], "detections": ["plate_events"],
+    "named_detections": ["plate_events", "detections"], "named_truth": ["plate_events", "truth"],
 }
 
 

@@ -163,16 +163,59 @@ _REPORT = f"""rep AS (SELECT *, {_norm('plate_raw')} AS norm FROM store_events),
     CASE WHEN len(texts) > 0 THEN agree::VARCHAR || '/' || len(texts)::VARCHAR || ' lecturas' WHEN final <> '' THEN '1 sola lectura' ELSE '-' END AS consensus FROM rep4)"""
 
 
-def _nearest(width: float, strict: bool) -> str:
-    op = "<" if strict else "<="
+def _nearest(width: float) -> str:
     return rel(
         f"""SELECT det_idx, gt_idx, round(dt, 6) AS dt FROM (
           SELECT d.det_idx, t.gt_idx, abs(d.det_s - t.gt_s) AS dt, row_number() OVER (PARTITION BY d.det_idx ORDER BY abs(d.det_s - t.gt_s) NULLS LAST, t.gt_idx) AS r
-          FROM detections d LEFT JOIN truth t ON d.video = t.video AND abs(d.det_s - t.gt_s) {op} {width}) WHERE r = 1""",
-        "detections", "truth",
+          FROM named_detections d LEFT JOIN named_truth t ON t.gt_s BETWEEN d.det_s - {width + 1} AND d.det_s + {width + 1} AND abs(d.det_s - t.gt_s) <= {width} AND coalesce(d.clip = t.clip, true)) WHERE r = 1""",
+        "named_detections", "named_truth",
     )
 
 
+def _consensus(by: list[str], source: str, beta: str) -> str:
+    """CTEs up to scored over readings grouped by some columns."""
+    same, mine, by = " AND ".join(f"o.{c} = u.{c}" for c in by), ", ".join(f"o.{c}" for c in by), ", ".join(by)
+    return f"""cleaned AS (SELECT {by}, ord, text, ocr_conf, plate_score + CASE WHEN regexp_matches(text, '^[A-Z]{{3}}[0-9]{{3,4}}$') OR regexp_matches(text, '^[A-Z]{{2}}[0-9]{{3}}[A-Z]$')
+              THEN 0.15::DOUBLE + CASE WHEN {PROVINCE_MAP}[substr(text, 1, 1)] IS NOT NULL THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END ELSE 0.0::DOUBLE END AS plate_score, {_plausible('text')} AS ok FROM {source}),
+          judged AS (SELECT *, bool_or(ok) OVER (PARTITION BY {by}) AS any_ok FROM cleaned),
+          used AS (SELECT *, ocr_conf * greatest(0.1::DOUBLE, plate_score) AS w FROM judged WHERE ok OR NOT any_ok),
+          own AS (SELECT {by}, text, sum(w) AS direct, count(*) AS reads, avg(ocr_conf) AS confidence, min((NOT any_ok)::INT) AS doubt FROM used GROUP BY ALL),
+          cross_ AS (SELECT {mine}, o.text, sum(u.w * (1 - levenshtein(o.text, u.text)::DOUBLE / greatest(length(o.text), length(u.text))) * (1 - levenshtein(o.text, u.text)::DOUBLE / greatest(length(o.text), length(u.text))) * 0.5::DOUBLE) AS c
+             FROM own o JOIN used u ON {same} AND o.text <> u.text AND levenshtein(o.text, u.text) <= 2 GROUP BY ALL),
+          scored AS (SELECT own.*, direct + CASE WHEN starts_with(own.text, 'P') THEN {beta} * reads ELSE 0.0::DOUBLE END + coalesce(c, 0.0::DOUBLE) AS score FROM own LEFT JOIN cross_ USING ({by}, text))"""
+
+
+_CROSS = AUDIT_EVENTS + ", alike AS (SELECT audit_plate, max(last_) AS plate_ FROM (SELECT audit_plate, last_, " + _SAME + """ AS same
+             FROM (SELECT audit_plate, last_, upper(trim(audit_plate)) AS a, upper(trim(event_plate)) AS b
+               FROM (SELECT DISTINCT audit_plate FROM audit), (SELECT event_plate, max(evt_idx) AS last_ FROM ae GROUP BY event_plate))) WHERE same GROUP BY audit_plate),
+           near AS (SELECT audit_idx, min(evt_idx) AS time_, min(CASE WHEN same THEN evt_idx END) AS both_ FROM (SELECT audit_idx, evt_idx, """ + _SAME + """ AS same
+             FROM (SELECT audit_idx, evt_idx, upper(trim(audit_plate)) AS a, upper(trim(event_plate)) AS b FROM audit JOIN ae ON event_s BETWEEN audit_s - 21 AND audit_s + 21 AND abs(audit_s - event_s) <= 20)) GROUP BY audit_idx)"""
+_ASSIGNED = PAIRS + """, r AS (
+  SELECT audit_idx, evt_idx, tier, row_number() OVER (ORDER BY tier, CASE WHEN tier = 1 THEN d * 1000 + dt ELSE dt END, audit_idx, evt_idx) AS o, 'rest' AS state FROM pairs WHERE tier IS NOT NULL
+  UNION ALL
+  SELECT audit_idx, evt_idx, tier, o, CASE WHEN mine THEN 'taken' WHEN bool_or(mine) OVER (PARTITION BY audit_idx) OR bool_or(mine) OVER (PARTITION BY evt_idx) THEN 'gone' ELSE 'rest' END
+  FROM (SELECT *, o = min(o) OVER (PARTITION BY audit_idx) AND o = min(o) OVER (PARTITION BY evt_idx) AS mine FROM r WHERE state = 'rest')),
+  taken AS (SELECT audit_idx, evt_idx, tier FROM r WHERE state = 'taken')"""
+_WINDOWS = """windows AS (SELECT i AS win_idx, i * 325.0::DOUBLE AS s, i * 325.0::DOUBLE + 330.0::DOUBLE AS e
+    FROM range(0, (SELECT (max(t_s) // 325)::BIGINT + 1 FROM plate_events)) t(i) WHERE i % 3 <> 1),
+  placed AS (SELECT audit_idx, min(win_idx) AS win_idx FROM audit LEFT JOIN windows ON audit_idx % 29 <> 0 AND audit_s BETWEEN s - 20.0::DOUBLE AND e + 20.0::DOUBLE GROUP BY audit_idx),
+  report AS (SELECT audit_idx, win_idx, CASE WHEN win_idx IS NOT NULL THEN coalesce(both_, plate_, time_) END AS evt_idx,
+    CASE WHEN win_idx IS NULL THEN NULL WHEN both_ IS NOT NULL THEN 'PLACA_Y_HORA (EXACTO)' WHEN plate_ IS NOT NULL THEN 'SOLO_PLACA' WHEN time_ IS NOT NULL THEN 'SOLO_HORA' END AS "match",
+    CASE WHEN audit_idx % 29 = 0 THEN 'Sin hora en Cam 2' WHEN win_idx IS NULL THEN 'no cubierta por clips actuales' END AS reason
+    FROM audit JOIN placed USING (audit_idx) LEFT JOIN near USING (audit_idx) LEFT JOIN alike USING (audit_plate))"""
+_MODELS = f"""modelled AS (SELECT event_id, ord, plate_score, unnest(['a', 'b', 'c']) AS model, unnest([text, text, translate(text, '7', '1')]) AS text,
+    unnest([ocr_conf, ocr_conf * 0.9::DOUBLE, ocr_conf]) AS ocr_conf FROM readings),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY model, event_id ORDER BY ord, text, ocr_conf, plate_score) AS n FROM modelled),
+  cells AS (SELECT * FROM ranked JOIN (SELECT unnest([3, 5, 7]) AS top_k) k ON n <= top_k CROSS JOIN (SELECT unnest([0.0, 0.05, 0.10, 0.20]::DOUBLE[]) AS beta_p) b),
+  {_consensus(["model", "top_k", "beta_p", "event_id"], "cells", "own.beta_p")},
+  voted AS (SELECT model, top_k, beta_p, event_id, arg_max(text, (score, text)) AS text FROM scored GROUP BY ALL),
+  odds AS (SELECT model, top_k, beta_p, event_id, text, min(ord) AS seen, sum(greatest(0.1::DOUBLE, plate_score) * ln(c / (1 - c)) + CASE WHEN starts_with(text, 'P') THEN 2 * beta_p ELSE 0.0::DOUBLE END) AS score
+    FROM (SELECT *, greatest(0.01::DOUBLE, least(0.99::DOUBLE, ocr_conf)) AS c FROM cells) WHERE length(text) >= 5 GROUP BY ALL),
+  summed AS (SELECT model, top_k, beta_p, event_id, arg_max(text, (score, -seen)) AS text FROM odds GROUP BY ALL),
+  fused AS (SELECT model, top_k, beta_p, event_id, 'char_voting' AS fusion, text FROM voted UNION ALL
+    SELECT v.model, v.top_k, v.beta_p, v.event_id, 'logprob_sum', coalesce(s.text, '') FROM voted v LEFT JOIN summed s USING (model, top_k, beta_p, event_id))"""
+
+
 ORACLES = {
     "crossing_events": rel("SELECT clip_id, track_id, n_points, state, direction, round(crossing_s, 6) AS crossing_s, round(crossing_y, 6) AS crossing_y FROM fsm", "points", then=TRACK_FSM),
     "crossing_by_direction": rel("SELECT clip_id, state, direction, count(*) AS n FROM fsm GROUP BY ALL", "points", then=TRACK_FSM),
@@ -252,14 +295,7 @@ ORACLES = {
              doubt = 1 OR coalesce(score - next_score < CASE WHEN substr(text, 1, 1) <> substr(next_text, 1, 1) THEN 0.15::DOUBLE ELSE 0.075::DOUBLE END, false) AS needs_review
            FROM (SELECT *, row_number() OVER w AS place, lead(text) OVER w AS next_text, lead(score) OVER w AS next_score FROM scored WINDOW w AS (PARTITION BY event_id ORDER BY score DESC, text DESC)) WHERE place = 1""",
         "readings",
-        then=f"""cleaned AS (SELECT event_id, ord, text, ocr_conf, plate_score + CASE WHEN regexp_matches(text, '^[A-Z]{{3}}[0-9]{{3,4}}$') OR regexp_matches(text, '^[A-Z]{{2}}[0-9]{{3}}[A-Z]$')
-              THEN 0.15::DOUBLE + CASE WHEN {PROVINCE_MAP}[substr(text, 1, 1)] IS NOT NULL THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END ELSE 0.0::DOUBLE END AS plate_score, {_plausible('text')} AS ok FROM readings),
-          judged AS (SELECT *, bool_or(ok) OVER (PARTITION BY event_id) AS any_ok FROM cleaned),
-          used AS (SELECT *, ocr_conf * greatest(0.1::DOUBLE, plate_score) AS w FROM judged WHERE ok OR NOT any_ok),
-          own AS (SELECT event_id, text, sum(w) AS direct, count(*) AS reads, avg(ocr_conf) AS confidence, min((NOT any_ok)::INT) AS doubt FROM used GROUP BY ALL),
-          cross_ AS (SELECT o.event_id, o.text, sum(u.w * (1 - levenshtein(o.text, u.text)::DOUBLE / greatest(length(o.text), length(u.text))) * (1 - levenshtein(o.text, u.text)::DOUBLE / greatest(length(o.text), length(u.text))) * 0.5::DOUBLE) AS c
-             FROM own o JOIN used u ON o.event_id = u.event_id AND o.text <> u.text AND levenshtein(o.text, u.text) <= 2 GROUP BY ALL),
-          scored AS (SELECT own.*, direct + CASE WHEN starts_with(own.text, 'P') THEN 0.10::DOUBLE * reads ELSE 0.0::DOUBLE END + coalesce(c, 0.0::DOUBLE) AS score FROM own LEFT JOIN cross_ USING (event_id, text))"""),
+        then=_consensus(["event_id"], "readings", "0.10::DOUBLE")),
     "logodds_fusion": rel(
         """SELECT event_id, text, round(score, 6) AS score, 0.85::DOUBLE AS consensus_conf FROM (
              SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, seen) AS r FROM (
@@ -281,8 +317,42 @@ ORACLES = {
         "plate_events", then="numbered AS (SELECT *, row_number() OVER (ORDER BY t_s, event_id) AS rn FROM plate_events)"),
     "visual_similarity": """SELECT vec_id, round(coalesce(list_cosine_similarity(list_transform(a, lambda z: z - list_avg(a)), list_transform(b, lambda z: z - list_avg(b))), 0), 5) AS similarity
       FROM (SELECT vec_id, embedding::DOUBLE[] AS a, lead(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings) WHERE b IS NOT NULL""",
-    "asof_gt": _nearest(6.0, False),
-    "asof_event_id": _nearest(15.0, True),
+    "asof_gt": _nearest(6.0),
+    "asof_event_id": rel(
+        """SELECT det_idx, gt_idx, round(dt, 6) AS dt FROM (
+          SELECT d.det_idx, t.gt_idx, abs(floor(d.det_s) - t.gt_s) AS dt, row_number() OVER (PARTITION BY d.det_idx ORDER BY abs(floor(d.det_s) - t.gt_s) NULLS LAST, t.gt_idx) AS r
+          FROM named_detections d LEFT JOIN named_truth t ON d.clip = t.clip AND abs(floor(d.det_s) - t.gt_s) < 15) WHERE r = 1""", "named_detections", "named_truth"),
+    "plate_dataset": rel(
+        """SELECT event_id, 'GT_' || gt_idx::VARCHAR AS ground_truth_id, plate AS ground_truth_plate, coalesce(legible, false) AS plate_legible, NULL::VARCHAR AS province, CASE WHEN gt_idx IS NOT NULL THEN 'car' END AS vehicle_type
+           FROM (SELECT d.event_id, t.gt_idx, t.plate, t.legible, row_number() OVER (PARTITION BY d.event_id ORDER BY abs(d.at - t.gt_s) NULLS LAST, t.gt_idx) AS r
+             FROM (SELECT *, CASE WHEN det_idx % 53 <> 0 THEN det_s ELSE 0.0::DOUBLE END AS at FROM named_detections) d
+             LEFT JOIN named_truth t ON t.gt_s BETWEEN d.at - 7 AND d.at + 7 AND abs(d.at - t.gt_s) <= 6 AND coalesce(d.clip = t.clip, true)) WHERE r = 1""", "named_detections", "named_truth"),
+    "greedy_assign": rel("SELECT audit_idx, evt_idx, tier FROM taken", "audit", recursive=True, then=_ASSIGNED),
+    "match_outcomes": rel(
+        """SELECT count(*) AS total, count_if(tier = 0)::BIGINT AS exact, count_if(tier = 1)::BIGINT AS near, count_if(tier = 2)::BIGINT AS vehicle_only, count_if(tier IS NULL)::BIGINT AS missed,
+             greatest(0, (SELECT count(*) FROM ae) - count(evt_idx)) AS extra FROM audit LEFT JOIN marked USING (audit_idx)""", "audit", recursive=True,
+        then=_ASSIGNED + """, late AS (SELECT x.audit_idx, y.evt_idx FROM
+             (SELECT audit_idx, audit_plate AS plate, row_number() OVER (PARTITION BY audit_plate ORDER BY audit_s, audit_idx) AS n FROM audit WHERE audit_idx NOT IN (SELECT audit_idx FROM taken)) x
+             JOIN (SELECT evt_idx, event_plate AS plate, row_number() OVER (PARTITION BY event_plate ORDER BY event_s, evt_idx) AS n FROM ae WHERE event_plate IS NOT NULL AND evt_idx NOT IN (SELECT evt_idx FROM taken)) y USING (plate, n)),
+           marked AS (SELECT * FROM taken UNION ALL SELECT audit_idx, evt_idx, 0 FROM late)"""),
+    "audit_report": rel("SELECT * FROM report", "audit", then=_CROSS + ", " + _WINDOWS),
+    "audit_recall": rel(
+        """SELECT count(win_idx) AS inside, count_if("match" LIKE '%PLACA%')::BIGINT AS detected, round(coalesce(count_if("match" LIKE '%PLACA%') / nullif(count(win_idx), 0) * 100, 0), 4) AS recall,
+             count_if(win_idx IS NULL)::BIGINT AS outside FROM report""", "audit", then=_CROSS + ", " + _WINDOWS),
+    "audit_log": rel(
+        """SELECT event_id AS row_idx, CASE WHEN event_id % 6 <> 0 THEN true_plate END AS plate, 'car' AS vehicle_type, (event_id % 4)::VARCHAR AS axles, NULL::VARCHAR AS time_cam1, t AS time_cam2,
+             CASE WHEN event_id % 5 >= 2 AND user_id % 30 < 24 THEN ((user_id % 30) * 3600 + (k % 60) * 60 + CASE WHEN event_id % 5 > 2 THEN k % 60 ELSE 0 END)::INT END AS cam2_s, '' AS note
+           FROM (SELECT *, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'noon' WHEN 2 THEN (user_id % 30)::VARCHAR || ':' || lpad((k % 60)::VARCHAR, 2, '0')
+             ELSE (user_id % 30)::VARCHAR || ': ' || lpad((k % 60)::VARCHAR, 2, '0') || ':' || lpad((k % 60)::VARCHAR, 2, '0') END AS t FROM plate_events) WHERE event_id % 6 <> 0 OR event_id % 5 <> 0""", "plate_events"),
+    "audit_clip_start": rel("SELECT clip_id, strftime(TIMESTAMP '2024-01-01 16:17:20' + to_seconds(((clip_no - 60) * 325)::BIGINT), '%Y-%m-%d %H:%M:%S') AS start FROM clips", "clips"),
+    "ocr_matrix": rel(
+        """SELECT model, top_k, fusion, beta_p, floor((count_if(d = 0) * 2000 + count(*)) / (count(*) * 2)) / 10 AS exact_match_pct,
+             floor((sum(greatest(0, length(plate) - d)) * 2000 + sum(length(plate))) / (sum(length(plate)) * 2)) / 10 AS char_acc_pct, floor((count_if(text <> '' AND text[1] = plate[1]) * 2000 + count(*)) / (count(*) * 2)) / 10 AS pos0_acc_pct, count_if(starts_with(text, 'P') AND NOT starts_with(plate, 'P'))::BIGINT AS non_p_corrupted, count(*) AS evaluated_events
+           FROM (SELECT *, levenshtein(plate, text) AS d FROM fused JOIN order_plates USING (event_id) WHERE event_id % 3 <> 0) GROUP BY ALL""", "readings", "order_plates", then=_MODELS),
+    "largest_crops": rel(
+        """SELECT target, frame_id, det_idx, w::VARCHAR || 'x' || h::VARCHAR AS crop_size, place::INT AS place FROM (
+             SELECT *, row_number() OVER (PARTITION BY target ORDER BY w * h DESC, frame_id, det_idx) AS place FROM (
+               SELECT frame_id % 500 AS target, frame_id, det_idx, trunc(x2 - x1)::BIGINT AS w, trunc(y2 - y1)::BIGINT AS h FROM boxes)) WHERE place <= 5""", "boxes"),
     "band_fuzzy_pairs": rel("SELECT audit_idx, evt_idx, tier, round(CASE WHEN tier = 1 THEN d * 1000 + dt ELSE dt END, 4) AS score, CASE WHEN tier < 2 THEN d::INT END AS distance FROM pairs WHERE tier IS NOT NULL", "audit", then=PAIRS),
     "match_histogram": rel("SELECT tier, count(*) AS pairs, count(DISTINCT evt_idx) AS events FROM pairs WHERE tier IS NOT NULL GROUP BY tier", "audit", then=PAIRS),
     "exact_plate_fallback": rel(
@@ -292,11 +362,7 @@ ORACLES = {
     "audit_crossvalidate": rel(
         """SELECT audit_idx, coalesce(both_, plate_, time_) AS evt_idx, CASE WHEN both_ IS NOT NULL THEN 'PLACA_Y_HORA (EXACTO)' WHEN plate_ IS NOT NULL THEN 'SOLO_PLACA' WHEN time_ IS NOT NULL THEN 'SOLO_HORA' END AS "match"
            FROM audit LEFT JOIN near USING (audit_idx) LEFT JOIN alike USING (audit_plate)""",
-        "audit", then=AUDIT_EVENTS + ", alike AS (SELECT audit_plate, max(last_) AS plate_ FROM (SELECT audit_plate, last_, " + _SAME + """ AS same
-             FROM (SELECT audit_plate, last_, upper(trim(audit_plate)) AS a, upper(trim(event_plate)) AS b
-               FROM (SELECT DISTINCT audit_plate FROM audit), (SELECT event_plate, max(evt_idx) AS last_ FROM ae GROUP BY event_plate))) WHERE same GROUP BY audit_plate),
-           near AS (SELECT audit_idx, min(evt_idx) AS time_, min(CASE WHEN same THEN evt_idx END) AS both_ FROM (SELECT audit_idx, evt_idx, """ + _SAME + """ AS same
-             FROM (SELECT audit_idx, evt_idx, upper(trim(audit_plate)) AS a, upper(trim(event_plate)) AS b FROM audit JOIN ae ON event_s BETWEEN audit_s - 21 AND audit_s + 21 AND abs(audit_s - event_s) <= 20)) GROUP BY audit_idx)"""),
+        "audit", then=_CROSS),
     "fuzzy_plate_equality": rel(f"SELECT audit_idx, evt_idx, {_SAME} AS same FROM (SELECT *, upper(trim(audit_plate)) AS a, upper(trim(event_plate)) AS b FROM audit JOIN ae ON abs(audit_s - event_s) <= 60)", "audit", then=AUDIT_EVENTS),
     "clip_windows": rel(
         """SELECT audit_idx, min(win_idx) AS win_idx FROM audit LEFT JOIN (SELECT i AS win_idx, i * 325.0::DOUBLE AS s, i * 325.0::DOUBLE + 330.0::DOUBLE AS e

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions import boxes as bx
 from ..functions import clocks, geometry, plates, scores
-from ..operators import dedup, matching, ordering, ranking, reports, sampling, telemetry, tracks, voting
-from ..sources import bridge, store
+from ..operators import dedup, fusion, matching, ordering, ranking, reports, sampling, telemetry, tracks, voting
+from ..sources import bridge, files, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: A pause of twelve hours plays the part of three seconds on the bridge tracks.
@@ -340,20 +340,45 @@ def _audit_events(spark, sf_dir):
     return e.select(F.col("event_id").alias("evt_idx"), F.col("plate").alias("event_plate"), F.col("t_s").alias("event_s"))
 
 
+def _named(spark, sf_dir):
+    """Detections by event id, and the truth by its source; some of both don't name their clip."""
+    d, t = bridge.detections(spark, sf_dir), bridge.truth(spark, sf_dir)
+    number = F.concat(F.lit("("), "video", F.lit(")"))
+    name = F.concat(F.lit("EVT_"), F.when(F.col("det_idx") % 41 != 0, number).otherwise("cam"), F.lit("_"), F.col("det_idx").cast("string"), F.lit("_"), F.floor("det_s").cast("string"))
+    source = F.concat(F.lit("Camara"), F.when(F.col("gt_idx") % 37 != 0, number).otherwise(""), F.lit(".mp4"))
+    return d.withColumn("event_id", name), t.withColumn("video_source", source)
+
+
 @query
 def asof_gt(spark, sf_dir):
-    d, t = bridge.detections(spark, sf_dir), bridge.truth(spark, sf_dir).select("video", "gt_idx", "gt_s")
-    found = matching.nearest(d, t, "det_idx", "det_s", "gt_s", 6.0, "gt_idx", ["video"])
+    """Events and records that don't name their clip may meet any."""
+    d, t = _named(spark, sf_dir)
+    found = matching.nearest_by_clip(
+        d.withColumn("clip", clocks.clip_key(F.col("event_id"))), t.select("gt_idx", "gt_s", clocks.clip_key(F.col("video_source")).alias("clip")), "det_idx", "det_s", "gt_s", 6.0, "gt_idx"
+    )
     return found.select("det_idx", "gt_idx", _r("dt").alias("dt"))
 
 
 @query
 def asof_event_id(spark, sf_dir):
-    d, t = bridge.detections(spark, sf_dir), bridge.truth(spark, sf_dir).select("video", "gt_idx", "gt_s")
-    found = matching.nearest(d, t, "det_idx", "det_s", "gt_s", 15.0, "gt_idx", ["video"], strict=True)
+    """Clip and second come from the event's id."""
+    d, t = _named(spark, sf_dir)
+    found = matching.by_event_id(d.select("event_id", "det_idx"), t.select("gt_idx", "gt_s", "video_source"), "event_id")
     return found.select("det_idx", "gt_idx", _r("dt").alias("dt"))
 
 
+@query
+def plate_dataset(spark, sf_dir):
+    """Plate candidates with what the ground truth says of them."""
+    d, t = _named(spark, sf_dir)
+    records = t.select(
+        "gt_idx", F.col("gt_s").alias("approx_timestamp"), "video_source", F.concat(F.lit("GT_"), F.col("gt_idx").cast("string")).alias("ground_truth_id"),
+        F.col("plate").alias("plate_text"), F.col("legible").alias("plate_legible"), F.lit(None).cast("string").alias("province"), F.lit("car").alias("vehicle_type"),
+    )
+    found = matching.labelled(d.select("event_id", F.when(F.col("det_idx") % 53 != 0, F.col("det_s")).alias("timestamp")), records, "gt_idx")
+    return found.select("event_id", "ground_truth_id", "ground_truth_plate", "plate_legible", "province", "vehicle_type")
+
+
 @query
 def band_fuzzy_pairs(spark, sf_dir):
     found = matching.candidate_pairs(bridge.audit(spark, sf_dir), _audit_events(spark, sf_dir))
@@ -390,13 +415,59 @@ def fuzzy_plate_equality(spark, sf_dir):
     return pairs.select("audit_idx", "evt_idx", plates.same_plate(F.col("audit_plate"), F.col("event_plate")).alias("same"))
 
 
+def _windows(spark, sf_dir):
+    span = bridge.plate_events(spark, sf_dir).agg(F.max("t_s").alias("top")).first().top or 0.0
+    n = int(span // 325) + 1
+    return spark.range(n).where("id % 3 <> 1").select(F.col("id").alias("win_idx"), (F.col("id") * 325.0).alias("win_start"), (F.col("id") * 325.0 + 330.0).alias("win_end"))
+
+
 @query
 def clip_windows(spark, sf_dir):
     a = bridge.audit(spark, sf_dir).select("audit_idx", "audit_s")
-    span = bridge.plate_events(spark, sf_dir).agg(F.max("t_s").alias("top")).first().top or 0.0
-    n = int(span // 325) + 1
-    w = spark.range(n).where("id % 3 <> 1").select(F.col("id").alias("win_idx"), (F.col("id") * 325.0).alias("win_start"), (F.col("id") * 325.0 + 330.0).alias("win_end"))
-    return matching.in_windows(a, w, "audit_s", 15.0, 330.0).select("audit_idx", "win_idx")
+    return matching.in_windows(a, _windows(spark, sf_dir), "audit_s", 15.0, 330.0).select("audit_idx", "win_idx")
+
+
+def _audit_report(spark, sf_dir):
+    a = bridge.audit(spark, sf_dir)
+    a = a.withColumn("audit_s", F.when(F.col("audit_idx") % 29 != 0, F.col("audit_s")))
+    return matching.audit_report(a, _audit_events(spark, sf_dir), _windows(spark, sf_dir), 20.0, 330.0)
+
+
+@query
+def audit_report(spark, sf_dir):
+    """Entries within the clips' windows against events; some entries have no time."""
+    return _audit_report(spark, sf_dir)
+
+
+@query
+def audit_recall(spark, sf_dir):
+    return matching.audit_recall(_audit_report(spark, sf_dir)).withColumn("recall", _r("recall", 4))
+
+
+@query
+def match_outcomes(spark, sf_dir):
+    """Entries by how they were matched, one to one and then by plate alone, and the events left over."""
+    a, e = bridge.audit(spark, sf_dir), _audit_events(spark, sf_dir)
+    taken = matching.one_to_one(matching.candidate_pairs(a, e), "audit_idx", "evt_idx", ["tier", "score"], keeper(spark, "outcomes"))
+    return matching.outcomes(a, e, taken)
+
+
+@query
+def audit_log(spark, sf_dir):
+    """Rows of a thirteen-column sheet."""
+    e = bridge.plate_events(spark, sf_dir)
+    k = F.col("event_id")
+    h, m = F.pmod("user_id", F.lit(30)).cast("string"), F.lpad(F.pmod("k", F.lit(60)).cast("string"), 2, "0")
+    time = F.when(k % 5 == 0, F.lit(None).cast("string")).when(k % 5 == 1, F.lit("noon")).when(k % 5 == 2, F.concat(h, F.lit(":"), m)).otherwise(F.concat(h, F.lit(": "), m, F.lit(":"), m))
+    none = F.lit(None).cast("string")
+    cells = F.array(F.when(k % 6 != 0, F.concat(F.lit(" "), F.lower("true_plate"))), F.lit(" car "), none, F.lit(""), time, *[none] * 3, (k % 4).cast("string"), none, *[none] * 3)
+    return files.audit_log(e.select(k.alias("row_idx"), cells.alias("cells")))
+
+
+@query
+def audit_clip_start(spark, sf_dir):
+    c = bridge.clips(spark, sf_dir)
+    return c.select("clip_id", F.date_format(clocks.audit_clip_start(F.col("clip_id")), "yyyy-MM-dd HH:mm:ss").alias("start"))
 
 
 @query
@@ -511,6 +582,25 @@ def param_sweep(spark, sf_dir):
     return telemetry.sweep(r, {"limit": [0.6, 0.7, 0.8, 0.9], "beta": [0.0, 0.05, 0.1]}, [F.count(F.when(ok, 1)).alias("accepted"), F.count("*").alias("n")], [])
 
 
+@query
+def ocr_matrix(spark, sf_dir):
+    """Three models, three numbers of readings, two fusions and four priors over all readings."""
+    r = bridge.readings(spark, sf_dir)
+    made = [("a", F.col("text"), F.col("ocr_conf")), ("b", F.col("text"), F.col("ocr_conf") * 0.9), ("c", F.translate("text", "7", "1"), F.col("ocr_conf"))]
+    models = F.array(*[F.struct(F.lit(m).alias("model"), t.alias("text"), c.alias("ocr_conf")) for m, t, c in made])
+    reads = r.select("event_id", "ord", "plate_score", F.inline(models))
+    truth = bridge.order_plates(spark, sf_dir).select("event_id", "plate", (F.col("event_id") % 3 != 0).alias("legible"))
+    return fusion.matrix(reads, truth, "event_id", "ord")
+
+
+@query
+def largest_crops(spark, sf_dir):
+    b = bridge.boxes(spark, sf_dir)
+    size = F.concat((F.col("x2") - F.col("x1")).cast("int").cast("string"), F.lit("x"), (F.col("y2") - F.col("y1")).cast("int").cast("string"))
+    crops = b.select((F.col("frame_id") % 500).alias("target"), "frame_id", "det_idx", size.alias("crop_size"))
+    return fusion.largest_crops(crops, ["target"], "crop_size", ["frame_id", "det_idx"])
+
+
 @query
 def detector_bench(spark, sf_dir):
     b = bridge.boxes(spark, sf_dir).groupBy("frame_id").agg(F.count(F.when(F.col("conf") >= 0.6, 1)).alias("n_found"), F.max("conf").alias("best_conf"), F.max("sharpness").alias("ms"))

@@ -80,6 +80,14 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_plates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, plate): the true plates behind readings()."""
+    k = F.col("o_orderkey")
+    letter = lambda m: F.char(F.lit(65) + F.pmod(k * m, F.lit(26)))
+    plate = F.concat(letter(3), letter(5), letter(9), F.lpad(F.pmod(k * 37, F.lit(10000)).cast("string"), 4, "0"))
+    return table(spark, sf_dir, "orders").select(k.alias("event_id"), plate.alias("plate"))
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(frame_id, det_idx, x1, y1, x2, y2, conf, class_id, sharpness): an order is a frame, its lines are detections in
     the crop."""

@@ -93,13 +93,14 @@ def ground_truth(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(GROUND_TRUTH).option("multiLine", True).json(path)
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).option("multiLine", True).json(path)
+def manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Candidates of one JSON array, or of JSON lines as store.write_records writes them."""
+    return spark.read.schema(MANIFEST).option("multiLine", not lines).json(path)
 
 
 def crop_files(spark: SparkSession, folder: str) -> DataFrame:
     """(event, paths): crops by the event that their names begin with, in the order of names."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(folder).select("path")
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpg,png}").load(folder).select("path")
     event = F.regexp_extract(clocks.basename(F.col("path")), r"^(EVT_\(\d+\)_\d+_\d+)", 1)
     return rows.where(event != "").groupBy(event.alias("event")).agg(F.sort_array(F.collect_list("path")).alias("paths"))
 
@@ -118,6 +119,23 @@ def audit_sheet(rows: DataFrame) -> DataFrame:
     ).to(AUDIT)
 
 
+def audit_log(rows: DataFrame) -> DataFrame:
+    """(row_idx, plate, vehicle_type, axles, time_cam1, time_cam2, cam2_s, note) of the thirteen-column sheet's rows
+    (row_idx, cells); rows with neither a plate nor a second time are dropped.
+
+    cam2_s is the second of the day of two or three numbers with colons between them, null for anything else.
+    """
+    cell = lambda k: F.get("cells", F.lit(k))
+    filled = lambda k: F.coalesce(cell(k) != "", F.lit(False))
+    part = lambda k: F.nullif(F.regexp_extract(cell(4), r"^\s*(\d{1,9})\s*:\s*(\d{1,9})\s*(?::\s*(\d{1,9})\s*)?$", k), F.lit("")).cast("int")
+    h, m, s = part(1), part(2), F.coalesce(part(3), F.lit(0))
+    return rows.where(filled(0) | filled(4)).select(
+        "row_idx", F.when(filled(0), F.upper(F.trim(cell(0)))).alias("plate"), F.when(filled(1), F.trim(cell(1))).alias("vehicle_type"), cell(8).alias("axles"),
+        F.when(filled(3), cell(3)).alias("time_cam1"), F.when(filled(4), cell(4)).alias("time_cam2"),
+        F.when((h < 24) & (m < 60) & (s < 60), h * 3600 + m * 60 + s).alias("cam2_s"), F.coalesce(cell(9), F.lit("")).alias("note"),
+    )
+
+
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 

@@ -100,6 +100,11 @@ def write_rejections(path: str, **producers: DataFrame) -> None:
     rejections(**producers).write.mode("append").json(path)
 
 
+def write_records(rows: DataFrame, path: str) -> None:
+    """Manifests and data sets as JSON lines, one file for each partition; nulls are written, letters stay as they are."""
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
