@@ -56,8 +56,8 @@ def consensus(reads: DataFrame, by: str | list[str], order: str, s: Settings = D
 
 
 def log_odds(reads: DataFrame, by: str | list[str], order: str, beta: float | Column = 0.0) -> DataFrame:
-    """(*by, text, score, consensus_conf): the text whose readings' weighted log-odds sum highest; the earlier text wins
-    ties."""
+    """(*by, text, score, consensus_conf): the text whose readings' weighted log-odds sum highest, to nine places, so
+    that the order of adding decides nothing; the earlier text wins ties, then the greater one."""
     text = plates.clean(F.col("text"))
     c = F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col("ocr_conf")))
     by = [by] if isinstance(by, str) else by
@@ -65,7 +65,7 @@ def log_odds(reads: DataFrame, by: str | list[str], order: str, beta: float | Co
     weight = F.greatest(F.lit(0.1), F.col("plate_score")) * F.ln(c / (1 - c)) + bonus
     sums = (
         reads.where(F.length(text) >= 5).select(*by, order, text.alias("text"), weight.alias("w"))
-        .groupBy(*by, "text").agg(F.sum("w").alias("score"), F.min(order).alias("at"))
+        .groupBy(*by, "text").agg(F.round(F.sum("w"), 9).alias("score"), F.min(order).alias("at"))
     )
     best = sums.groupBy(*by).agg(F.max(F.struct("score", (-F.col("at")).alias("early"), "text")).alias("b"))
     return best.select(*by, F.col("b.text").alias("text"), F.col("b.score").alias("score"), F.lit(0.85).alias("consensus_conf"))

@@ -209,9 +209,9 @@ _MODELS = f"""modelled AS (SELECT event_id, ord, plate_score, unnest(['a', 'b',
   cells AS (SELECT * FROM ranked JOIN (SELECT unnest([3, 5, 7]) AS top_k) k ON n <= top_k CROSS JOIN (SELECT unnest([0.0, 0.05, 0.10, 0.20]::DOUBLE[]) AS beta_p) b),
   {_consensus(["model", "top_k", "beta_p", "event_id"], "cells", "own.beta_p")},
   voted AS (SELECT model, top_k, beta_p, event_id, arg_max(text, (score, text)) AS text FROM scored GROUP BY ALL),
-  odds AS (SELECT model, top_k, beta_p, event_id, text, min(ord) AS seen, sum(greatest(0.1::DOUBLE, plate_score) * ln(c / (1 - c)) + CASE WHEN starts_with(text, 'P') THEN 2 * beta_p ELSE 0.0::DOUBLE END) AS score
+  odds AS (SELECT model, top_k, beta_p, event_id, text, min(ord) AS seen, round(sum(greatest(0.1::DOUBLE, plate_score) * ln(c / (1 - c)) + CASE WHEN starts_with(text, 'P') THEN 2 * beta_p ELSE 0.0::DOUBLE END), 9) AS score
     FROM (SELECT *, greatest(0.01::DOUBLE, least(0.99::DOUBLE, ocr_conf)) AS c FROM cells) WHERE length(text) >= 5 GROUP BY ALL),
-  summed AS (SELECT model, top_k, beta_p, event_id, arg_max(text, (score, -seen)) AS text FROM odds GROUP BY ALL),
+  summed AS (SELECT model, top_k, beta_p, event_id, arg_max(text, (score, -seen, text)) AS text FROM odds GROUP BY ALL),
   fused AS (SELECT model, top_k, beta_p, event_id, 'char_voting' AS fusion, text FROM voted UNION ALL
     SELECT v.model, v.top_k, v.beta_p, v.event_id, 'logprob_sum', coalesce(s.text, '') FROM voted v LEFT JOIN summed s USING (model, top_k, beta_p, event_id))"""
 
@@ -298,8 +298,8 @@ ORACLES = {
         then=_consensus(["event_id"], "readings", "0.10::DOUBLE")),
     "logodds_fusion": rel(
         """SELECT event_id, text, round(score, 6) AS score, 0.85::DOUBLE AS consensus_conf FROM (
-             SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, seen) AS r FROM (
-               SELECT event_id, text, min(ord) AS seen, sum(greatest(0.1::DOUBLE, plate_score) * ln(c / (1 - c)) + CASE WHEN starts_with(text, 'P') THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END) AS score
+             SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, seen, text DESC) AS r FROM (
+               SELECT event_id, text, min(ord) AS seen, round(sum(greatest(0.1::DOUBLE, plate_score) * ln(c / (1 - c)) + CASE WHEN starts_with(text, 'P') THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END), 9) AS score
                FROM (SELECT *, greatest(0.01::DOUBLE, least(0.99::DOUBLE, ocr_conf)) AS c FROM readings) WHERE length(text) >= 5 GROUP BY ALL)) WHERE r = 1""", "readings"),
     "two_tier_combine": rel(
         """SELECT event_id, ord, CASE WHEN ok THEN substr(text, 1, 2) || substr(text, 3, 2 + ord) END AS text,
