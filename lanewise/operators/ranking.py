@@ -49,8 +49,11 @@ def top_apart(frames: DataFrame, by: list[str], arrival: list[str], most: int, a
     return frames.groupBy(*by).applyInPandas(fold, schema)
 
 
-def votes_list(reads: DataFrame, by: list[str], tie: str) -> DataFrame:
-    """(by, votes): texts with rounded confidence, surest first, then by plate score, then by a tie column."""
-    entry = F.struct((-F.col("ocr_conf")).alias("a"), (-F.col("plate_score")).alias("b"), F.col(tie).alias("c"), F.col("text"), F.round("ocr_conf", 3).alias("conf"))
+def votes_list(reads: DataFrame, by: list[str], *ties: str) -> DataFrame:
+    """(by, votes): texts with rounded confidence, surest first, then by plate score, then by the tie columns."""
+    entry = F.struct(
+        (-F.col("ocr_conf")).alias("a"), (-F.col("plate_score")).alias("b"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(ties)],
+        F.col("text"), F.round("ocr_conf", 3).alias("conf"),
+    )
     ordered = F.transform(F.sort_array(F.collect_list(entry)), lambda v: F.struct(v["text"].alias("text"), v["conf"].alias("conf")))
     return reads.groupBy(*by).agg(F.to_json(ordered).alias("votes"))

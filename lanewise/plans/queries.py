@@ -221,7 +221,8 @@ def top_m_diverse(spark, sf_dir):
 
 @query
 def vote_order(spark, sf_dir):
-    found = ranking.votes_list(bridge.readings(spark, sf_dir), ["event_id"], "ord")
+    """Readings that their figures don't tell apart stay as they came: by their place in the file."""
+    found = ranking.votes_list(bridge.readings(spark, sf_dir, placed=True), ["event_id"], "ord", "file", "row")
     return found.select("event_id", F.get_json_object("votes", "$[0].text").alias("first"), F.json_array_length("votes").cast("bigint").alias("n"))
 
 

@@ -60,9 +60,9 @@ def plate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def readings(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
     """(event_id, ord, text, ocr_conf, det_conf, plate_score): an order is an event, its lines are readings of one
-    plate, some with a wrong character."""
+    plate, some with a wrong character.  Placed ones also tell where they stand: (file, row)."""
     i = F.col("l_linenumber")
     seed = F.col("l_orderkey")
     letter = lambda m: F.char(F.lit(65) + F.pmod(seed * m, F.lit(26)))
@@ -77,6 +77,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(0.55) + F.pmod(F.col("l_suppkey"), F.lit(45)).cast("double") / 100.0).alias("ocr_conf"),
         (F.lit(0.40) + F.pmod(F.col("l_partkey"), F.lit(60)).cast("double") / 100.0).alias("det_conf"),
         (F.lit(0.20) + F.pmod(F.col("l_partkey"), F.lit(80)).cast("double") / 100.0).alias("plate_score"),
+        *([F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")] if placed else []),
     )
 
 
