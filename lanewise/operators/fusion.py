@@ -2,48 +2,57 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..config import DEFAULT, Settings
 from ..functions import plates
-from . import voting
+from . import grid
 
 #: Numbers of readings, ways to fuse them, and priors that are compared.
 TOP_K, FUSIONS, BETAS = (3, 5, 7), ("char_voting", "logprob_sum"), (0.0, 0.05, 0.10, 0.20)
 
 
-def matrix(reads: DataFrame, truth: DataFrame, key: str, order: str, s: Settings = DEFAULT) -> DataFrame:
+def matrix(reads: DataFrame, truth: DataFrame, key: str, order: str) -> DataFrame:
     """A row for each model, number of readings, fusion and prior: shares of exact plates, right characters and right
     first letters, first letters wrongly read as P, and events compared.
 
     reads(model, key, order, text, ocr_conf, plate_score) are every model's readings, truth(key, plate, legible) the
-    plates; readings of one place in the order count by text and figures.  The grid is exploded beside each reading, so
-    nothing is cross-joined; an event's readings meet in one group of each cell.
+    plates; readings of one place in the order count by text and figures.  Readings and plates meet in one shuffle and
+    one sort; there each event's readings are judged in all cells at once, and each text that wins cells is compared with
+    the plate once.
     """
-    place = F.row_number().over(Window.partitionBy("model", key).orderBy(order, "text", "ocr_conf", "plate_score"))
-    ranked = reads.where(plates.clean(F.col("text")).isNotNull()).withColumn("_n", place)
-    cells = ranked.withColumn("top_k", F.explode(F.array(*[F.lit(k) for k in TOP_K]))).where("_n <= top_k")
-    cells = cells.withColumn("beta_p", F.explode(F.array(*[F.lit(b) for b in BETAS])))
-    by = ["model", "top_k", "beta_p", key]
-    voted = voting.consensus(cells, by, order, s, F.col("beta_p")).select(*by, F.col("text").alias(FUSIONS[0]))
-    summed = voting.log_odds(cells, by, order, F.col("beta_p")).select(*by, F.col("text").alias(FUSIONS[1]))
-    pair = F.array(*[F.struct(F.lit(f).alias("fusion"), F.col(f).alias("text")) for f in FUSIONS])
     strip = lambda c: F.upper(F.replace(c, F.lit("-"), F.lit("")))
-    known = truth.select(key, strip(F.col("plate")).alias("gt")).where(F.coalesce(F.col("legible"), F.lit(True)) & (F.col("gt") != ""))
-    # Every cell of an event has a voted text, so the votes are the list of cells.
-    read = voted.join(summed, by, "left").select(*by, F.inline(pair)).join(known, key)
-    text, gt = F.coalesce(strip(F.col("text")), F.lit("")), F.col("gt")
+    shown = reads.select(
+        F.col(key).alias("k"), F.lit(True).alias("read"), "model", F.col(order).alias("at"), "text",
+        F.col("ocr_conf").alias("conf"), F.col("plate_score").alias("score"),
+    )
+    known = truth.where(F.coalesce(F.col("legible"), F.lit(True))).select(F.col(key).alias("k"), F.lit(False).alias("read"), strip(F.col("plate")).alias("text"))
+    both = shown.unionByName(known.where("text != ''"), allowMissingColumns=True).where("k is not null")
+    # Most texts are clean, and seeing that costs less than cleaning.
+    clean = F.when(~F.col("read") | F.col("text").rlike(r"\A[A-Z0-9]+\z"), F.col("text")).otherwise(plates.clean(F.col("text")))
+    rows = both.repartition("k").sortWithinPartitions("k", "read", "model", "at", "text", "conf", "score").select(
+        "k", "read", "model", "at", clean.alias("text"), F.col("conf").cast("double").alias("conf"), F.col("score").cast("double").alias("score")
+    ).where("text is not null")
+    schema = T.StructType([reads.schema["model"], T.StructField("cells", T.LongType()), T.StructField("gt", T.StringType()), T.StructField("text", T.StringType())])
+    found = rows.mapInArrow(grid.winners(TOP_K, BETAS), schema).withColumn("text", strip(F.col("text")))
+    text, gt = F.col("text"), F.col("gt")
     distance, first = F.levenshtein(gt, text), F.substring(text, 1, 1)
+    # Few sets of cells win together.
+    sums = found.groupBy("model", "cells").agg(
+        F.sum((distance == 0).cast("int")).alias("exact"), F.sum(F.greatest(F.lit(0), F.length(gt) - distance)).alias("right"), F.sum(F.length(gt)).alias("chars"),
+        F.sum(((text != "") & (first == F.substring(gt, 1, 1))).cast("int")).alias("firsts"), F.count(F.when((first == "P") & ~gt.startswith("P"), 1)).alias("wrong_p"), F.count("*").alias("n"),
+    )
+    cell = [F.struct(F.lit(k).alias("top_k"), F.lit(f).alias("fusion"), F.lit(b).alias("beta_p")) for k, b, f in product(TOP_K, BETAS, FUSIONS)]
+    won = F.array_compact(F.array(*[F.when(F.col("cells").bitwiseAND(1 << i) != 0, c) for i, c in enumerate(cell)]))
     # Tenths of a percent by whole numbers, so that halves go up whatever a double makes of them.
-    pct = lambda a, b: F.coalesce(F.floor(F.try_divide(F.sum(a) * 2000 + b, b * 2)) / 10, F.lit(0.0))
-    return read.groupBy("model", "top_k", "fusion", "beta_p").agg(
-        pct((distance == 0).cast("int"), F.count("*")).alias("exact_match_pct"),
-        pct(F.greatest(F.lit(0), F.length(gt) - distance), F.sum(F.length(gt))).alias("char_acc_pct"),
-        pct(((text != "") & (first == F.substring(gt, 1, 1))).cast("int"), F.count("*")).alias("pos0_acc_pct"),
-        F.count(F.when((first == "P") & ~gt.startswith("P"), 1)).alias("non_p_corrupted"),
-        F.count("*").alias("evaluated_events"),
+    pct = lambda a, b: F.coalesce(F.floor(F.try_divide(F.sum(a) * 2000 + F.sum(b), F.sum(b) * 2)) / 10, F.lit(0.0))
+    return sums.select("*", F.inline(won)).groupBy("model", "top_k", "fusion", "beta_p").agg(
+        pct("exact", "n").alias("exact_match_pct"), pct("right", "chars").alias("char_acc_pct"), pct("firsts", "n").alias("pos0_acc_pct"),
+        F.sum("wrong_p").alias("non_p_corrupted"), F.sum("n").alias("evaluated_events"),
     )
 
 
