@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -16,28 +16,32 @@ from . import grid
 TOP_K, FUSIONS, BETAS = (3, 5, 7), ("char_voting", "logprob_sum"), (0.0, 0.05, 0.10, 0.20)
 
 
-def matrix(reads: DataFrame, truth: DataFrame, key: str, order: str) -> DataFrame:
+def matrix(reads: DataFrame, truth: DataFrame, key: str, order: str, models: Column | None = None) -> DataFrame:
     """A row for each model, number of readings, fusion and prior: shares of exact plates, right characters and right
     first letters, first letters wrongly read as P, and events compared.
 
     reads(model, key, order, text, ocr_conf, plate_score) are every model's readings, truth(key, plate, legible) the
-    plates; readings of one place in the order count by text and figures.  Readings and plates meet in one shuffle and
-    one sort; there each event's readings are judged in all cells at once, and each text that wins cells is compared with
-    the plate once.
+    plates; readings of one place in the order count by text and figures.  `models` makes an array of (model, text,
+    ocr_conf) of a reading, if reads has no model.  Readings and plates meet in one shuffle, sorted by their key alone, and
+    only then become each model's; each event's readings are judged in all cells at once, and each text that wins cells
+    is compared with the plate once.
     """
     strip = lambda c: F.upper(F.replace(c, F.lit("-"), F.lit("")))
-    shown = reads.select(
-        F.col(key).alias("k"), F.lit(True).alias("read"), "model", F.col(order).alias("at"), "text",
-        F.col("ocr_conf").alias("conf"), F.col("plate_score").alias("score"),
+    own = F.array(F.struct("model", "text", "ocr_conf")) if models is None else models
+    kind = reads.select(F.inline(own).alias("model", "text", "ocr_conf")).schema
+    known = truth.where(F.coalesce(F.col("legible"), F.lit(True))).select(key, strip(F.col("plate")).alias("_plate")).where("_plate != ''")
+    both = reads.unionByName(known, allowMissingColumns=True).where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key)
+    plate = F.array(F.struct(*[(F.col("_plate") if f.name == "text" else F.lit(None).cast(f.dataType)).alias(f.name) for f in kind]))
+    each = both.select(
+        F.col(key).alias("k"), F.col("_plate").isNull().alias("read"), F.col(order).alias("at"), F.col("plate_score").cast("double").alias("score"),
+        F.inline(F.when(F.col("_plate").isNull(), own).otherwise(plate)).alias("model", "text", "conf"),
     )
-    known = truth.where(F.coalesce(F.col("legible"), F.lit(True))).select(F.col(key).alias("k"), F.lit(False).alias("read"), strip(F.col("plate")).alias("text"))
-    both = shown.unionByName(known.where("text != ''"), allowMissingColumns=True).where("k is not null")
     # Most texts are clean, and seeing that costs less than cleaning.
     clean = F.when(~F.col("read") | F.col("text").rlike(r"\A[A-Z0-9]+\z"), F.col("text")).otherwise(plates.clean(F.col("text")))
-    rows = both.repartition("k").sortWithinPartitions("k", "read", "model", "at", "text", "conf", "score").select(
-        "k", "read", "model", "at", clean.alias("text"), F.col("conf").cast("double").alias("conf"), F.col("score").cast("double").alias("score")
-    ).where("text is not null")
-    schema = T.StructType([reads.schema["model"], T.StructField("cells", T.LongType()), T.StructField("gt", T.StringType()), T.StructField("text", T.StringType())])
+    rows = each.withColumn("clean", clean).where("clean is not null").select(
+        "k", "read", "model", "at", F.col("clean").alias("text"), F.expr("nullif(text, clean)").alias("raw"), F.col("conf").cast("double").alias("conf"), "score"
+    )
+    schema = T.StructType([kind["model"], T.StructField("cells", T.LongType()), T.StructField("gt", T.StringType()), T.StructField("text", T.StringType())])
     found = rows.mapInArrow(grid.winners(TOP_K, BETAS), schema).withColumn("text", strip(F.col("text")))
     text, gt = F.col("text"), F.col("gt")
     distance, first = F.levenshtein(gt, text), F.substring(text, 1, 1)

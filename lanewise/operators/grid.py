@@ -176,43 +176,79 @@ def _by_prior(best: Callable, some: np.ndarray, betas: tuple) -> list[np.ndarray
     return out
 
 
+def numbered(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Each text's number, and the different texts, in the order of their bytes."""
+    coded = pc.dictionary_encode(texts)
+    order = pc.array_sort_indices(coded.dictionary.cast(pa.binary())).to_numpy()
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    return number[coded.indices.to_numpy()], coded.dictionary.take(pa.array(order))
+
+
+def _figures(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers, and which of them are missing."""
+    return values.to_numpy(zero_copy_only=False).astype(float), np.asarray(values.is_null())
+
+
+class Arranged:
+    """The readings at some rows by key, model, order, text and figures: their rows, groups and places, texts and figures.
+    Nulls come first, what is no number last."""
+
+    def __init__(self, rows: pa.RecordBatch, key: np.ndarray, at: np.ndarray):
+        part = rows.take(pa.array(at))
+        self.code, self.texts = numbered(part["text"])
+        as_read = self.code if part["raw"].null_count == len(part["raw"]) else numbered(pc.coalesce(part["raw"], part["text"]))[0]
+        model = pc.dictionary_encode(part["model"], null_encoding="encode").indices.to_numpy().astype(np.int64)
+        if pa.types.is_floating(part["at"].type):
+            _, rank = np.unique(part["at"].to_numpy(zero_copy_only=False), return_inverse=True)
+        else:
+            rank = pc.rank(part["at"], null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+        self.seen = np.where(np.asarray(part["at"].is_null()), LATE, rank)
+        self.conf, self.no_conf = _figures(part["conf"])
+        self.score, self.no_score = _figures(part["score"])
+        rank = np.where(self.seen == LATE, -1, rank) + 1
+        # One number for what it takes few to tell apart.
+        head = key[at] * (model.max() + 1) + model
+        tail = rank * (as_read.max() + 1) + as_read
+        figures = [v for c, gone in ((self.score, self.no_score), (self.conf, self.no_conf)) for v in ((c, ~gone) if gone.any() else (c,))]
+        order = np.lexsort((*figures, tail, head))
+        self.rows, head = at[order], head[order]
+        for name in ("code", "seen", "conf", "no_conf", "score", "no_score"):
+            setattr(self, name, getattr(self, name)[order])
+        self.starts = np.ones(len(head), bool)
+        self.starts[1:] = head[1:] != head[:-1]
+        self.place = places(self.starts)
+
+
 def cells(rows: pa.RecordBatch, top_k: tuple, betas: tuple) -> Iterator[pa.RecordBatch]:
     """(model, cells, gt, text): for each plate and model the texts that some cells read, the cells as bits in the order
     of the numbers of readings, the priors, and the two fusions; an empty text where a fusion has none.
 
-    rows(k, read, model, at, text, conf, score) come in that order, whole keys only; those without `read` are plates.
+    rows(k, read, model, at, text, raw, conf, score) come by their key, whole keys only; those without `read` are plates.
+    raw is what was read where it isn't text.
     """
     starts = changes(rows["k"])
     read = np.asarray(rows["read"])
-    group = starts | changes(rows["read"]) | changes(rows["model"])
-    key, place = np.cumsum(starts) - 1, places(group)
-    truths, most = np.bincount(key, ~read).astype(np.int64), max(top_k)
-    picked = np.flatnonzero(read & (place < most) & (truths[key] > 0))
+    key, most = np.cumsum(starts) - 1, max(top_k)
+    truths = np.bincount(key, ~read).astype(np.int64)
+    picked = np.flatnonzero(read & (truths[key] > 0))
     if not len(picked):
         return
-    # Texts are numbered in the order of their bytes.
-    coded = pc.dictionary_encode(rows["text"].take(pa.array(picked)))
-    order = pc.array_sort_indices(coded.dictionary.cast(pa.binary())).to_numpy()
-    number = np.empty(len(order), np.int64)
-    number[order] = np.arange(len(order))
-    texts, at_once = Texts(coded.dictionary.take(pa.array(order))), number[coded.indices.to_numpy()]
-    heads = np.flatnonzero(place[picked] == 0)
-    g, slot = np.cumsum(place[picked] == 0) - 1, place[picked]
+    found = Arranged(rows, key, picked)
+    texts, kept = Texts(found.texts), found.place < most
+    g, slot = np.cumsum(found.starts)[kept] - 1, found.place[kept]
+    heads = found.rows[found.starts]
 
     def spread(values: np.ndarray, gap) -> np.ndarray:
         out = np.full((len(heads), most), gap, values.dtype)
-        out[g, slot] = values
+        out[g, slot] = values[kept]
         return out
 
-    number_of = lambda c: rows[c].take(pa.array(picked)).to_numpy(zero_copy_only=False).astype(float)
-    conf, score = number_of("conf"), number_of("score")
-    no_conf, no_score = (np.asarray(rows[c].is_null())[picked] for c in ("conf", "score"))
-    w = conf * np.maximum(0.1, np.where(no_score, 1.0, score) + texts.bonus[at_once])
-    c = np.maximum(0.01, np.fmin(0.99, np.where(no_conf, 0.99, conf)))
-    odds = np.maximum(0.1, np.where(no_score, 0.1, score)) * np.log(c / (1 - c))
-    seen = np.cumsum(group | changes(rows["at"]))[picked]
-    seen[np.asarray(rows["at"].is_null())[picked]] = LATE
-    code, w, odds, seen = spread(at_once, -1), spread(np.where(no_conf, -np.inf, w), 0.0), spread(odds, 0.0), spread(seen, LATE)
+    conf, score = found.conf, found.score
+    w = conf * np.maximum(0.1, np.where(found.no_score, 1.0, score) + texts.bonus[found.code])
+    c = np.maximum(0.01, np.fmin(0.99, np.where(found.no_conf, 0.99, conf)))
+    odds = np.maximum(0.1, np.where(found.no_score, 0.1, score)) * np.log(c / (1 - c))
+    code, w, odds, seen = spread(found.code, -1), spread(np.where(found.no_conf, -np.inf, w), 0.0), spread(odds, 0.0), spread(found.seen, LATE)
     size, edits = (code >= 0).sum(1), distances(code, texts)
 
     wins = np.empty((len(heads), len(top_k), len(betas), 2), np.int64)
@@ -238,10 +274,10 @@ def cells(rows: pa.RecordBatch, top_k: tuple, betas: tuple) -> Iterator[pa.Recor
     who = np.concatenate([np.flatnonzero(alike), np.repeat(mixed, wins.shape[1])[edge]])
     what = np.concatenate([wins[alike, 0], sorted_wins.ravel()[edge]])
     which = np.concatenate([np.full(alike.sum(), bits.sum()), joined])
-    # Each plate of the key, which stand first in it.
-    row = picked[heads[who]]
+    # Each plate of the key.
+    row, plates = heads[who], np.flatnonzero(~read)
     times = truths[key[row]]
-    plate = np.repeat(np.flatnonzero(starts)[key[row]], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    plate = plates[np.repeat((np.cumsum(truths) - truths)[key[row]], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
     named = pa.array([*texts.all, ""]).take(pa.array(np.repeat(what, times) % (len(texts.all) + 1)))
     yield pa.record_batch({
         "model": rows["model"].take(pa.array(np.repeat(row, times))), "cells": pa.array(np.repeat(which, times)),
@@ -250,8 +286,7 @@ def cells(rows: pa.RecordBatch, top_k: tuple, betas: tuple) -> Iterator[pa.Recor
 
 
 def winners(top_k: tuple, betas: tuple) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """cells() over a stream of sorted rows, in blocks that end with a key; of a key that goes on, only the readings that
-    count are kept."""
+    """cells() over a stream of rows by their key, in blocks that end with a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, limit = [], ROWS
@@ -263,15 +298,22 @@ def winners(top_k: tuple, betas: tuple) -> Callable[[Iterator[pa.RecordBatch]],
             cut = int(np.flatnonzero(changes(rows["k"]))[-1])
             if cut:
                 yield from cells(rows.slice(0, cut), top_k, betas)
-            rest = rows.slice(cut)
-            place = places(changes(rest["read"]) | changes(rest["model"]))
-            rest = rest.filter(pa.array(~np.asarray(rest["read"]) | (place < max(top_k))))
-            held, limit = [rest], max(ROWS, 2 * rest.num_rows)
+            held = [_counting(rows.slice(cut), max(top_k))]
+            limit = max(ROWS, 2 * held[0].num_rows)
         if sum(b.num_rows for b in held):
             yield from cells(_whole(held), top_k, betas)
 
     return run
 
 
+def _counting(rows: pa.RecordBatch, most: int) -> pa.RecordBatch:
+    """The plates of a key that goes on, and if it is large, only the readings that may still count."""
+    read = np.asarray(rows["read"])
+    if read.sum() < ROWS // 2:
+        return rows
+    found = Arranged(rows, np.zeros(len(read), np.int64), np.flatnonzero(read))
+    return rows.take(pa.array(np.concatenate([np.flatnonzero(~read), found.rows[found.place < most]])))
+
+
 def _whole(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]

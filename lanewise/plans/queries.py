@@ -589,9 +589,8 @@ def ocr_matrix(spark, sf_dir):
     r = bridge.readings(spark, sf_dir)
     made = [("a", F.col("text"), F.col("ocr_conf")), ("b", F.col("text"), F.col("ocr_conf") * 0.9), ("c", F.translate("text", "7", "1"), F.col("ocr_conf"))]
     models = F.array(*[F.struct(F.lit(m).alias("model"), t.alias("text"), c.alias("ocr_conf")) for m, t, c in made])
-    reads = r.select("event_id", "ord", "plate_score", F.inline(models))
     truth = bridge.order_plates(spark, sf_dir).select("event_id", "plate", (F.col("event_id") % 3 != 0).alias("legible"))
-    return fusion.matrix(reads, truth, "event_id", "ord")
+    return fusion.matrix(r, truth, "event_id", "ord", models)
 
 
 @query
