@@ -37,6 +37,21 @@ def free_prefix(docs: DataFrame, prefix: str) -> str:
     return prefix
 
 
+def give_back() -> None:
+    """Gives back the memory that this Python process holds and nothing refers to."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run for mapInArrow, which at the end of a task gives back the memory that it held: an executor keeps its Python
     workers, and those of earlier stages stand beside those of later ones."""
@@ -45,17 +60,7 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
         try:
             yield from run(batches)
         finally:
-            import ctypes
-            import gc
-
-            import pyarrow
-
-            gc.collect()
-            pyarrow.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # not every C library has it
-                pass
+            give_back()
 
     return tidied
 

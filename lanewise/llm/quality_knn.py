@@ -13,11 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import adding, restored, through_arrow, tidy
 from .samples import bounded, one_text
+from .storage import release
 from .textnum import WordHasher, text_chunks
 
 CLASSES = 16
@@ -148,30 +150,72 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Quality
     picked = F.broadcast(bounded(known, most, "label"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sample = one_text(texts.join(picked, "doc_id"), "doc_id", "label").select("doc_id", "text", "label").repartition(8)
-    found = sample.mapInArrow(tidy(count), "doc_id long, label int, terms array<int>, counts array<float>").toPandas()
-    found = found.sort_values(["doc_id", "label"], kind="stable").reset_index(drop=True)
-    counts = np.zeros((len(found), TERMS), np.float32)
-    for k, (terms, values) in enumerate(zip(found.terms, found["counts"], strict=True)):
-        counts[k, terms] = values
-    some = counts.any(axis=1)
-    counts, labels = counts[some], found.label.to_numpy(np.float32)[some]
-    rarity = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
-    x = damped(counts, rarity)  # in place
+    found = sample.mapInArrow(tidy(count), "doc_id long, label int, terms array<int>, counts array<float>").toArrow()
+    model = _fitted(found, totals, prior)
+    del found
+    release(docs.sparkSession)
+    return model
+
+
+class Rows:
+    """Rows of TERMS values of which few aren't zero.  Only these are kept; a block of rows at a time is spread out."""
+
+    def __init__(self, sizes: np.ndarray, columns: np.ndarray, values: np.ndarray):
+        self.starts, self.columns, self.values = np.concatenate([[0], np.cumsum(sizes)]), columns, values
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def blocks(self) -> Iterator[tuple[slice, np.ndarray]]:
+        for a in range(0, len(self), _BLOCK):
+            at = self.starts[a : a + _BLOCK + 1]
+            out, rows = np.zeros((len(at) - 1, TERMS), np.float32), np.repeat(np.arange(len(at) - 1), np.diff(at))
+            out[rows, self.columns[at[0] : at[-1]]] = self.values[at[0] : at[-1]]
+            yield slice(a, a + len(out)), out
+
+    def damped(self, rarity: np.ndarray) -> Rows:
+        """damped() of all rows; zeros stay zero."""
+        values = np.empty(len(self.values), np.float32)
+        for at, block in self.blocks():
+            ends = self.starts[at.start : at.stop + 1]
+            rows = np.repeat(np.arange(len(block)), np.diff(ends))
+            values[ends[0] : ends[-1]] = damped(block, rarity)[rows, self.columns[ends[0] : ends[-1]]]
+        return Rows(np.diff(self.starts), self.columns, values)
+
+    def times(self, q: np.ndarray) -> np.ndarray:
+        return np.concatenate([block @ q for _, block in self.blocks()])
+
+    def across(self, q: np.ndarray) -> np.ndarray:
+        """The transposed rows times q."""
+        return sum(block.T @ q[at] for at, block in self.blocks())
+
+
+def _fitted(found: pa.Table, totals: dict[int, int], prior: float) -> QualityModel:
+    """A model from found(doc_id, label, terms, counts).  The driver holds the counts that aren't zero, not a matrix."""
+    found = found.sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    sizes = pc.list_value_length(found["terms"]).to_numpy()
+    columns, values = (pc.list_flatten(found[c]).to_numpy() for c in ("terms", "counts"))
+    labels = found["label"].to_numpy().astype(np.float32)[sizes > 0]
+    counts = Rows(sizes[sizes > 0], columns, values)
+    rarity = np.log((1 + len(counts)) / (1 + np.bincount(columns, minlength=TERMS))).astype(np.float32) + 1
+    x = counts.damped(rarity)
     directions = leading_directions(x, RANK)
     shares = np.array([totals.get(k, 0) / max(1, (labels == k).sum()) for k in (0, 1)])
     votes = shares[labels.astype(int)] if len(labels) else np.zeros(0)
     model = QualityModel(rarity, directions, np.zeros((0, directions.shape[1]), np.float32), labels, votes, prior)
-    model.vectors = unit(x @ directions).astype(np.float32) if len(x) else model.vectors
+    model.vectors = unit(x.times(directions)).astype(np.float32) if len(x) else model.vectors
     return model
 
 
-def leading_directions(x: np.ndarray, rank: int) -> np.ndarray:
+def leading_directions(x: Rows, rank: int) -> np.ndarray:
     """The leading right singular vectors of x by subspace iteration from a fixed start, as columns."""
-    start = np.random.Generator(np.random.PCG64(5)).standard_normal((x.shape[1], rank + 16)).astype(np.float32)
-    q = np.linalg.qr(x @ start)[0] if len(x) else np.zeros((0, 0), np.float32)
+    if not len(x):
+        return np.zeros((TERMS, 0), np.float32)
+    start = np.random.Generator(np.random.PCG64(5)).standard_normal((TERMS, rank + 16)).astype(np.float32)
+    q = np.linalg.qr(x.times(start))[0]
     for _ in range(4):
-        q = np.linalg.qr(x @ np.linalg.qr(x.T @ q)[0])[0]
-    _, size, right = np.linalg.svd(q.T @ x, full_matrices=False) if len(x) else (None, np.zeros(0), np.zeros((0, x.shape[1])))
+        q = np.linalg.qr(x.times(np.linalg.qr(x.across(q))[0]))[0]
+    _, size, right = np.linalg.svd(x.across(q).T, full_matrices=False)
     good = min(rank, int((size > 1e-5 * size.max(initial=0)).sum()))
     return right[:good].T.astype(np.float32)
 

@@ -7,6 +7,7 @@ import re
 import struct
 import time
 import tracemalloc
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from lanewise.llm import fingerprint, html_text, language, mixing, near_dup, pieces, quality_knn, quality_rules, secrets, sharding, textnum
 from lanewise.llm.components import components
 from lanewise.llm.queries import PIECE_MODEL
-from lanewise.llm.storage import Scratch
+from lanewise.llm.storage import Scratch, release
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 WORDS = [a + b for a in ("ka", "lo", "mi", "ne", "ru", "sa", "to", "ve") for b in ("n", "r", "s", "t", "lin", "mor", "dex")]
@@ -466,6 +467,47 @@ def test_quality_knn_equals_plain_voting(spark):
     assert model.score(counts)[0] == pytest.approx((w * model.labels[best]).sum() / w.sum(), abs=1e-4)
 
 
+def test_quality_knn_learns_without_a_dense_matrix(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    docs = quality_docs(spark, 2000).cache()
+    labels, texts = docs.select("doc_id", "label"), docs.orderBy("doc_id").collect()
+    quality_knn.train(docs, labels.limit(10))  # what is loaded once isn't meant
+    monkeypatch.setattr(quality_knn, "release", lambda spark: "")
+    tracemalloc.start()
+    model = quality_knn.train(docs, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n = len(model.labels)
+    assert n > 1500 and peak < 0.8 * n * quality_knn.TERMS * 4
+
+    # The same rows as a matrix.
+    kept = quality_knn.bounded(labels, quality_knn.TRAIN_ROWS, "label").select("doc_id").collect()
+    ids = sorted(r.doc_id for r in kept)
+    counts = np.concatenate(list(quality_knn.term_counts(pa.array([texts[i].text for i in ids]))))
+    assert [texts[i].label for i in ids] == list(model.labels)
+    rarity = np.log((1 + n) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
+    assert (rarity == model.rarity).all()
+    x = quality_knn.damped(counts, rarity)
+    assert np.abs(quality_knn.unit(x @ model.directions) - model.vectors).max() < 1e-5
+    size = np.linalg.svd(x, compute_uv=False)[:4]
+    assert np.linalg.norm(x @ model.directions, axis=0)[:4] == pytest.approx(size, rel=1e-3)
+    docs.unpersist()
+
+
+def test_driver_gives_memory_back(spark):
+    assert "Trim native heap" in release(spark)
+    said = []
+    scratch = Scratch(spark, "swept")
+    kept = scratch.keep(spark.range(3), "few")
+    assert kept.count() == 3
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("lanewise.llm.storage.release", said.append)
+        scratch.sweep("few")
+    assert said == [spark] and not re.search("few", " ".join(map(str, Path(scratch.root.removeprefix("file:")).glob("*"))))
+
+
 # Quality rules -----------------------------------------------------------------------------------------------------
 
 
